@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fingerprints, line_dedup, packing, sharding, url_filters
+from . import fingerprints, line_dedup, packing, quality, sharding, url_filters
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filters": url_filters.op8_url_filters,
     "op10_sharding": sharding.op10_sharding,
 }
