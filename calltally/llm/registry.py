@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fingerprints, line_dedup, packing, quality, sharding, url_filters
+from . import fingerprints, line_dedup, packing, quality, sharding, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
 }
