@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fingerprints, line_dedup, packing, quality, sharding, substring_dedup, url_filters
+from . import fingerprints, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -9,10 +9,12 @@ QUERIES = {
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
+    "op9_ngram_jaccard_join": jaccard_join.ORACLE,
 }
