@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fingerprints, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, url_filters
+from . import fingerprints, jaccard_join, line_dedup, packing, pii, quality, sharding, substring_dedup, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_pii": pii.op6_pii,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
