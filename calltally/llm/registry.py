@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fingerprints, jaccard_join, line_dedup, packing, pii, quality, sharding, substring_dedup, url_filters
+from . import fingerprints, jaccard_join, line_dedup, packing, pii, quality, sentencepiece_sampling, sharding, substring_dedup, url_filters
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_sentencepiece_sampling": sentencepiece_sampling.op2_sentencepiece_sampling,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
