@@ -24,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpointed, partitions, table
+from .common import WORD_CLASS, checkpointed, packed, partitions, table
 from .components import components
 from .rolling import U, Words, cut_points, decode, edges, encode, windows
 
 SHINGLE = 4
 PERCENT = 85
+#: What a stage of a pipeline takes.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 TOKEN_BITS = 48  # in the count, where a collision only makes a shingle look more frequent
 SET_BITS = 56  # in the exact check of a pair
 #: Sets up to this size are considered for enumeration; the cost decides how far it goes.
@@ -238,11 +241,12 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``t1`` and ``t2`` (key of the text), ``n_shingles`` and ``component_id`` of every row of ``docs``.
+    """``doc_id``, ``t1`` and ``t2`` (key of the text), ``n_shingles``, ``component_id`` and ``group`` of every row of ``docs``.
 
-    ``component_id`` is the smallest id that links reach. A null text and one without words have no shingles and link
-    with nothing, not even with each other. Equal texts link (rows with equal ids too). Null ids are passed over for the
-    smallest; a component of null ids alone has a null id.
+    ``group`` numbers the components (null: a text without shingles), ``component_id`` is the smallest id that links
+    reach. A null text and one without words have no shingles and link with nothing, not even with each other. Equal
+    texts link (rows with equal ids too). Null ids are passed over for the smallest; a component of null ids alone has a
+    null id.
     """
     sets = shingle_sets(docs, shingle, percent, id_col, text_col)
     lists = sets.where(F.size("list") > 0).select("node", "n", F.explode("list").alias("e")).select("node", "n", "e.token", "e.pos").distinct()
@@ -275,10 +279,27 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     nodes = sets.select("t1", "t2", "node", "n", "least_id").join(near, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label").join(far, "c", "left")
     nodes = nodes.select("t1", "t2", "n", "least_id", F.coalesce("far", "c").alias("c"))
     least = nodes.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("least_id").alias("component_id"))
-    nodes = nodes.join(least, "c", "left").select("t1", "t2", "n", "component_id")
+    nodes = nodes.join(least, "c", "left").select("t1", "t2", "n", "component_id", F.col("c").alias("group"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t1"), F.hash(F.col(f"`{text_col}`")).alias("t2"))
     out = rows.join(nodes, ["t1", "t2"], "left")
-    return out.select("doc_id", "t1", "t2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "t1", "t2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its own columns, without near duplicates: of each component the row with the smallest id stays.
+
+    Of rows with equal ids one stays, by the hash of its text; null ids come last. Texts without shingles all stay.
+    """
+    linked = checkpointed(link_documents(docs, shingle, percent, id_col, text_col).where(F.col("group").isNotNull()).select("doc_id", "t1", "t2", "group"))
+    best = linked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("m")).select("m.doc_id", "m.t1", "m.t2")
+    keep = best.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    row = F.col("row")
+    keyed = packed(docs).select("row", row[id_col].alias("_doc"), F.xxhash64(row[text_col]).alias("_a"), F.hash(row[text_col]).alias("_b"), F.coalesce(row[text_col].rlike(WORD_CLASS), F.lit(False)).alias("_full"))
+    same = keyed["_doc"].eqNullSafe(keep["_id"]) & (keyed["_a"] == keep["_t1"]) & (keyed["_b"] == keep["_t2"])
+    joined = keyed.join(keep.withColumn("_hit", F.lit(True)), same, "left").where(~F.col("_full") | F.col("_hit"))
+    # Rows equal in id and text: the first of them.
+    nth = F.row_number().over(Window.partitionBy("_doc", "_a", "_b").orderBy("_full"))
+    return joined.withColumn("_nth", nth).where(~F.col("_full") | (F.col("_nth") == 1)).select("row.*")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
