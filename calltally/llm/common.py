@@ -34,6 +34,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(spark: SparkSession, count: int) -> list[int]:
+    """``count`` different numbers (a multiple of ``partitions``) that hash partitioning deals out evenly, in turn.
+
+    Groups numbered 0, 1, 2 ... meet in some partitions and leave others empty; these don't.
+    """
+    n = partitions(spark)
+    each = count // n
+    ids = spark.range(24 * count + 200 * n).select(F.col("id").cast("int").alias("i"))
+    of = ids.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.slice(F.sort_array(F.collect_list("i")), 1, each).alias("l"))
+    lists = {r["p"]: r["l"] for r in of.collect()}
+    return [lists[p][k] for k in range(each) for p in range(n)]
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """All columns in one struct ``row``, so that no column of the caller clashes with ours."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

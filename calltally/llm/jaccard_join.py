@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_CLASS, checkpointed, packed, partitions, table
+from .common import WORD_CLASS, checkpointed, packed, partitions, spread, table
 from .components import components
 from .rolling import U, Words, cut_points, decode, edges, encode, windows
 
@@ -80,7 +80,7 @@ class _Sets:
         self.first = np.searchsorted(self.doc, np.arange(len(words.counts) + 1))
 
 
-_PARTS = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_PARTS = pa.schema([("r", pa.int32()), ("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _SETS_SQL = "t1 long, t2 int, least_id {id}, node long, n int, list array<struct<token: long, pos: int>>, tokens binary"
 
 
@@ -99,10 +99,11 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text_
     """One row per different text: its key, smallest id, set (``node``), size, prefix lists, and tokens where needed."""
     spark = docs.sparkSession
     n = partitions(spark)
-    n_groups = n_ranges = 4 * n
+    n_groups, n_ranges = 4 * n, n
+    groups, ranges = spread(spark, n_groups), np.array(spread(spark, n_ranges))
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    source = source.withColumns({"g": F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int"), "t1": F.xxhash64("text"), "t2": F.hash("text")})
+    source = source.withColumns({"g": F.get(F.array(*map(F.lit, groups)), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int")), "t1": F.xxhash64("text"), "t2": F.hash("text")})
     dealt = source.repartition(n, "g")
     reps = source.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "g")).alias("r"), F.min("doc_id").alias("least_id"))
     reps = checkpointed(reps.select("r.g", F.lit(-1).alias("b"), F.lit(None).cast("binary").alias("blob"), "r.doc_id", "t1", "t2", "least_id"))
@@ -117,7 +118,7 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text_
             at, times = cut_points(u, edges(n_ranges, TOKEN_BITS)), np.minimum(times, 65535).astype("<u2")
             for b in np.flatnonzero(np.diff(at)):
                 s = slice(at[b], at[b + 1])
-                rows.append((int(b), g, encode(u[s]), times[s].view(np.uint8).reshape(-1, 2).T.tobytes()))
+                rows.append((int(ranges[b]), int(b), g, encode(u[s]), times[s].view(np.uint8).reshape(-1, 2).T.tobytes()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PARTS)], schema=_PARTS)
 
     def rank(part: pa.Table) -> pa.Table:
@@ -165,8 +166,8 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text_
                     c.append(v)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    parts = dealt.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(count, "b int, g int, hashes binary, counts binary")
-    told = parts.groupBy("b").applyInArrow(rank, "g int, b int, blob binary")
+    parts = dealt.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(count, "r int, b int, g int, hashes binary, counts binary")
+    told = parts.groupBy("r").applyInArrow(rank, "g int, b int, blob binary")
     told = told.select("g", "b", "blob", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("t1"), F.lit(None).cast("int").alias("t2"), F.lit(None).cast(id_type).alias("least_id")).union(reps)
     return checkpointed(dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(prefix, _SETS_SQL.format(id=id_type)))
 
