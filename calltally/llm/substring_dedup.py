@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, spread, table
 from .rolling import U, Words, bits, cut_points, decode, edges, encode, unbits, windows
 
 WIDTH = 35
@@ -52,7 +52,8 @@ class _Group:
         first = np.repeat(self.words.first[:-1], self.words.counts)
         starts = (hits[:, None] - np.arange(self.width - self.block + 1)[None, :]).ravel()
         near = np.maximum(starts, 0)
-        starts = starts[(starts >= np.repeat(first[hits], self.width - self.block + 1)) & (near + self.width <= np.repeat(self.ends[hits], self.width - self.block + 1))]
+        # (An even width leaves room for two blocks in some windows.)
+        starts = np.unique(starts[(starts >= np.repeat(first[hits], self.width - self.block + 1)) & (near + self.width <= np.repeat(self.ends[hits], self.width - self.block + 1))])
         h = windows(self.sums, starts, self.width)
         k = (windows(self.words.sums(1), starts, self.width) >> U(32)).astype(np.uint32)
         order = np.lexsort((k, h))
@@ -77,9 +78,9 @@ def _answered(ordered: np.ndarray, ends: np.ndarray, answers: dict[int, bytes])
     return out
 
 
-_PARTS = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("many", pa.binary())])
+_PARTS = pa.schema([("r", pa.int32()), ("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("many", pa.binary())])
 _ANSWERS = pa.schema([("g", pa.int32()), ("step", pa.int32()), ("b", pa.int32()), ("bits", pa.binary())])
-_PARTS_SQL, _ANSWERS_SQL = "b int, g int, hashes binary, more binary, many binary", "g int, step int, b int, bits binary"
+_PARTS_SQL, _ANSWERS_SQL = "r int, b int, g int, hashes binary, more binary, many binary", "g int, step int, b int, bits binary"
 
 
 def _by_step(answers: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
@@ -98,10 +99,11 @@ def mark_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    n_groups = n_ranges = 4 * n
+    n_groups, n_ranges = 4 * n, n
+    groups, ranges = spread(spark, n_groups), np.array(spread(spark, n_ranges))
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    dealt = source.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int")).repartition(n, "g")
+    dealt = source.withColumn("g", F.get(F.array(*map(F.lit, groups)), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int"))).repartition(n, "g")
 
     def probe(group: pa.Table) -> pa.Table:
         g, own = group.column("g")[0].as_py(), _Group(group.column("text"), width)
@@ -111,7 +113,7 @@ def mark_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         at, rows = cut_points(u, edges(n_ranges, PROBE_BITS)), []
         for b in np.flatnonzero(np.diff(at)):
             s = slice(at[b], at[b + 1])
-            rows.append((int(b), g, encode(u[s]), bits(asked[s]), bits(count[s] > 1)))
+            rows.append((int(ranges[b]), int(b), g, encode(u[s]), bits(asked[s]), bits(count[s] > 1)))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PARTS)], schema=_PARTS)
 
     def hit(part: pa.Table) -> pa.Table:
@@ -138,7 +140,7 @@ def mark_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             at = cut_points(h, edges(n_ranges, 64))
             for b in np.flatnonzero(np.diff(at)):
                 s = slice(at[b], at[b + 1])
-                rows.append((int(b), g, encode(h[s]), k[s].tobytes(), bits(count[s] > 1)))
+                rows.append((int(ranges[b]), int(b), g, encode(h[s]), k[s].tobytes(), bits(count[s] > 1)))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PARTS)], schema=_PARTS)
 
     def meet(part: pa.Table) -> pa.Table:
@@ -176,8 +178,8 @@ def mark_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             kept.append(b" ".join(compress(words, ~out) if removed[d] else words).decode())
         return pa.Table.from_arrays([group.column("doc_id"), pa.array(own.words.counts), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    hits = dealt.groupBy("g").applyInArrow(probe, _PARTS_SQL).groupBy("b").applyInArrow(hit, _ANSWERS_SQL)
-    found = dealt.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(extend, _PARTS_SQL).groupBy("b").applyInArrow(meet, _ANSWERS_SQL)
+    hits = dealt.groupBy("g").applyInArrow(probe, _PARTS_SQL).groupBy("r").applyInArrow(hit, _ANSWERS_SQL)
+    found = dealt.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(extend, _PARTS_SQL).groupBy("r").applyInArrow(meet, _ANSWERS_SQL)
     answers = hits.unionByName(found)
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(remove, f"doc_id {id_type}, n_words long, n_removed long, kept string")
 
