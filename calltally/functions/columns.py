@@ -36,12 +36,19 @@ def token_estimate(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(n / 4.0, 0).cast("long"))).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often a lambda inside refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.coalesce(F.round(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), 6), F.lit(0.0))
+
+    def of(chars: Column) -> Column:
+        counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars).cast("double"))
+        return F.round(F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)), 6)
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), of), F.lit(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -769,3 +769,84 @@ def stable_prompts(spark, sf_dir):
     n = F.col("item_id")
     lead = F.when(n % 3 == 0, "2024-01-02 ").when(n % 3 == 1, F.concat(F.lit("id:ab-"), n, F.lit(" "))).otherwise("")
     return table(spark, sf_dir, "benchmark").select("item_id", C.stable_prompt(F.concat(lead, "text")).alias("stable"))
+
+
+# ---- what-ifs, streams ----------------------------------------------------------------------------------------------
+
+
+@q()
+def shadow_savings(spark, sf_dir):
+    from ..operators import whatif
+
+    return A.map_totals(whatif.shadow_savings(table(spark, sf_dir, "pages"), "html"), "shadow_savings")
+
+
+@q()
+def marginal_savings(spark, sf_dir):
+    from ..operators import whatif
+
+    out = whatif.marginal_savings(table(spark, sf_dir, "documents"), "text", ("prefix_stabilize", "command_trim", "compress_json"))
+    return out.select("doc_id", "compression_detail")
+
+
+@q("SELECT list_distinct(list(l_returnflag)).list_sort() AS tools, l_orderkey FROM lineitem GROUP BY l_orderkey", fact=False)
+def slim_tools(spark, sf_dir):
+    from ..operators import whatif
+
+    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit('"'), "l_returnflag", F.lit('"'))).alias("t"))
+    return t.select("l_orderkey", F.array_sort(F.transform(whatif.slim_tools(F.col("t")), lambda x: F.replace(x, F.lit('"'), F.lit("")))).alias("tools"))
+
+
+@q("SELECT event_id, ts, signal, cache_saving_usd FROM (SELECT *, CASE WHEN duplicate_history_tokens - cache_read_tokens >= 2000 AND cache_read_tokens < duplicate_history_tokens / 2 THEN 'cache_inefficiency' WHEN input_tokens > 0 AND duplicate_history_tokens / input_tokens >= 0.6 THEN 'context_bloat' WHEN input_tokens + output_tokens BETWEEN 1 AND 350 AND NOT is_retry_loop THEN 'routing_hint' END AS signal FROM facts) WHERE signal IS NOT NULL")
+def signal_feed(spark, sf_dir):
+    from ..streaming import jobs
+
+    return jobs.signal_feed(call_log(spark, sf_dir), dims.prices(spark))
+
+
+def _events(spark, sf_dir):
+    from ..streaming import jobs
+
+    schema = table(spark, sf_dir, "events").schema
+    s = jobs.file_stream(spark, sf_dir, "events.parquet", schema)
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that the stream has now, as a table."""
+    spark = stream.sparkSession
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@q("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 4) AS cost, count(*) FILTER (event_type = 'error') AS retries FROM events GROUP BY 1, 2", fact=False)
+def stream_live_rollup(spark, sf_dir):
+    from ..streaming import jobs
+
+    out = _drained(jobs.live_rollup(_events(spark, sf_dir)), "stream_live_rollup", "complete")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@q("""SELECT user_id, count(*) AS calls, round(sum(value), 4) AS cost, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL)::INT AS new FROM events)) GROUP BY user_id, s""", fact=False)
+def stream_burn_sessions(spark, sf_dir):
+    from ..streaming import jobs
+
+    out = _drained(jobs.burn_sessions(_events(spark, sf_dir)), "stream_burn_sessions", "complete")
+    return out.withColumn("first_ts", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@q("SELECT event_id FROM events", fact=False)
+def stream_once_each(spark, sf_dir):
+    from ..streaming import jobs
+
+    e = _events(spark, sf_dir)
+    return _drained(jobs.once_each(e.union(e)), "stream_once_each").select("event_id")
+
+
+@q()
+def stream_debounce(spark, sf_dir):
+    from ..streaming import state
+
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("event_id"), "ts")
+    return _drained(state.debounce(e, 86_400), "stream_debounce")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.privacy import pseudonym
 from ..operators.attribution import attribute, work_type_of_branch
@@ -15,8 +14,8 @@ from . import dims
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins: of the rows of a key the greatest by ``order``. An aggregate, so it combines before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
-    top = F.max(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in rest])).alias("_m")
-    return rows.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_m._{c}").alias(c) for c in rest])
+    top = F.max_by(F.struct(*rest), F.struct(*order)).alias("_m")
+    return rows.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
