@@ -850,3 +850,114 @@ def stream_debounce(spark, sf_dir):
 
     e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("event_id"), "ts")
     return _drained(state.debounce(e, 86_400), "stream_debounce")
+
+
+# ---- more gates and lookups -----------------------------------------------------------------------------------------
+
+
+@q("SELECT event_id, coalesce(CASE WHEN event_id LIKE '%-1' THEN 'override-tool' END, tool) AS tool, coalesce(CASE WHEN event_id LIKE '%-2' THEN 'ZZ-9' END, ticket_id) AS ticket_id FROM facts")
+def context_overrides(spark, sf_dir):
+    """An explicit value wins over a detected one; a ticket comes from the override or the branch."""
+    c = call_log(spark, sf_dir).withColumn("ticket_id", F.when(F.col("event_id").endswith("-2"), "ZZ-9"))
+    given = F.when(F.col("event_id").endswith("-1"), "override-tool")
+    return c.select("event_id", F.coalesce(given, "tool").alias("tool"), F.coalesce("ticket_id", C.ticket_of(F.col("git_branch"))).alias("ticket_id"))
+
+
+#: Tools with capture tier, fidelity flags and other names (of the test tables).
+CAPABILITIES = [("URGENT", 1, True, True, ("urgent-cli",)), ("HIGH", 2, True, False, ("high-cli", "HIGH-IDE")), ("MEDIUM", 2, True, False, ()), ("LOW", 3, False, False, ())]
+
+
+@q("""SELECT event_id, tier, has_tokens, has_messages FROM facts LEFT JOIN (VALUES ('URGENT', 1, true, true), ('HIGH', 2, true, false), ('MEDIUM', 2, true, false), ('LOW', 3, false, false)) c(t, tier, has_tokens, has_messages) ON tool = t""")
+def tool_capabilities(spark, sf_dir):
+    dim = spark.createDataFrame(CAPABILITIES, "name string, tier int, has_tokens boolean, has_messages boolean, aliases array<string>")
+    names = dim.select(F.explode(F.array_union(F.array("name"), "aliases")).alias("tool"), "tier", "has_tokens", "has_messages")
+    return facts(spark, sf_dir).join(F.broadcast(names), "tool", "left").select("event_id", "tier", "has_tokens", "has_messages")
+
+
+@q("SELECT event_id, cost_usd FROM facts WHERE actor_pseudonym = (SELECT min(actor_pseudonym) FROM facts) AND ts >= '1996-01-01' AND ts < '1999-01-01'")
+def own_rows_in_window(spark, sf_dir):
+    return A.in_window(_me(facts(spark, sf_dir)), datetime(1996, 1, 1), datetime(1999, 1, 1)).select("event_id", "cost_usd")
+
+
+@q("SELECT event_id, NOT is_retry_loop AND output_tokens > 0 AS solved FROM facts")
+def solved_proxy(spark, sf_dir):
+    return facts(spark, sf_dir).select("event_id", (~F.col("is_retry_loop") & (F.col("output_tokens") > 0)).alias("solved"))
+
+
+@q("SELECT work_type, work_type IN ('feature','exploration') AS net_new, count(*) AS calls FROM facts GROUP BY ALL")
+def net_new_calls(spark, sf_dir):
+    return facts(spark, sf_dir).groupBy("work_type").agg(F.count("*").alias("calls")).withColumn("net_new", C.is_net_new(F.col("work_type")))
+
+
+@q("SELECT actor_pseudonym, arg_max(event_id, (ts, event_id)) AS event_id FROM facts GROUP BY 1")
+def latest_signal(spark, sf_dir):
+    s = facts(spark, sf_dir).select(F.col("actor_pseudonym").alias("actor"), "ts", "event_id")
+    return matching.latest_signals(s).select(F.col("actor").alias("actor_pseudonym"), "event_id")
+
+
+@q("SELECT objective_label, arg_max(work_type, (c, work_type)) AS work_type FROM (SELECT objective_label, work_type, round(sum(cost_usd), 6) AS c FROM facts WHERE objective_label IS NOT NULL GROUP BY ALL) GROUP BY 1")
+def dominant_work_type(spark, sf_dir):
+    per = facts(spark, sf_dir).where("objective_label IS NOT NULL").groupBy("objective_label", "work_type").agg(F.round(F.sum("cost_usd"), 6).alias("c"))
+    return per.groupBy("objective_label").agg(F.max_by("work_type", F.struct("c", "work_type")).alias("work_type"))
+
+
+@q("SELECT DISTINCT least(a, b) || '|' || greatest(a, b) AS pair FROM (SELECT 'u' || user_id AS a, 'u' || (event_id % 20) AS b FROM events)", fact=False)
+def pair_keys(spark, sf_dir):
+    return event_matches(spark, sf_dir).select(C.pair_key(F.col("a"), F.col("b")).alias("pair")).distinct()
+
+
+@q("SELECT date_trunc('month', ts)::TIMESTAMP AS month_start, (date_trunc('month', ts) + INTERVAL 1 MONTH)::TIMESTAMP AS month_end, count(*) AS calls FROM facts GROUP BY ALL")
+def month_bounds(spark, sf_dir):
+    m = F.date_trunc("month", F.col("ts").cast("timestamp"))
+    return facts(spark, sf_dir).groupBy(m.cast("timestamp_ntz").alias("month_start"), (m + F.expr("interval 1 month")).cast("timestamp_ntz").alias("month_end")).agg(F.count("*").alias("calls"))
+
+
+@q("SELECT conv_id, sha256(left(arg_min(coalesce(text, ''), turn), 200)) AS key FROM conversations WHERE role = 'user' GROUP BY 1", fact=False)
+def conversation_keys(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.groupBy("conv_id").agg(F.sha2(F.substring(F.min_by(F.coalesce("text", F.lit("")), "turn"), 1, 200).cast("binary"), 256).alias("key"))
+
+
+@q("""WITH p AS (SELECT DISTINCT a AS owner, b AS peer, topic FROM (SELECT 'u' || user_id AS a, 'u' || (event_id % 20) AS b, event_type AS topic FROM events)) SELECT topic, count(DISTINCT x) AS participants FROM (SELECT topic, owner AS x FROM p UNION SELECT topic, peer FROM p) GROUP BY 1""", fact=False)
+def cluster_participants(spark, sf_dir):
+    e = event_matches(spark, sf_dir).select("topic", F.explode(F.array("a", "b")).alias("x")).distinct()
+    return e.groupBy("topic").agg(F.count("*").alias("participants"))
+
+
+@q("""SELECT l_orderkey, greatest(0, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END))::DOUBLE > 25 AND count(*) < 4 AS eligible FROM lineitem GROUP BY 1""", fact=False)
+def cache_breakpoints(spark, sf_dir):
+    """Breakpoint eligibility over orders as requests: system text of 80 characters a unit, lines as markers."""
+    from ..operators import whatif
+
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0)).alias("u"), F.count("*").alias("markers"))
+    system = F.repeat(F.lit("x"), F.when(F.col("u") > 25, 2000).otherwise(80))
+    return g.select("l_orderkey", whatif.breakpoint_eligible(F.lit("anthropic"), system, F.col("markers"), F.lit(False)).alias("eligible"))
+
+
+@q("SELECT event_id, cost_usd FROM facts")
+def proposal_prices(spark, sf_dir):
+    from ..operators import whatif
+
+    return whatif.price_proposals(call_log(spark, sf_dir), dims.prices(spark)).select("event_id", "cost_usd")
+
+
+@q("SELECT 'o' || o_orderkey AS outcome_id, 'obj' || (o_custkey % 20 + 1) % 8 AS objective_id, o_orderstatus = 'F' AS merged, greatest(0, floor(o_totalprice / 1000)::BIGINT - 50) AS lines_added FROM orders", fact=False)
+def outcome_feed(spark, sf_dir):
+    from ..sources import telemetry
+
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.concat(F.lit("o"), "o_orderkey").alias("outcome_id"), F.lit(None).cast("string").alias("objective_id"), F.concat(F.lit("B"), F.pmod("o_custkey", F.lit(20)) + 1, F.lit("-7")).alias("ticket_id"),
+        (F.col("o_orderstatus") == "F").cast("string").alias("merged"), F.lit("no").alias("reverted"), (F.floor(F.col("o_totalprice") / 1000) - 50).cast("string").alias("lines_added"), F.lit("x").alias("lines_removed"),
+    )
+    return telemetry.outcome_feed(rows, dims.prefixes(spark)).select("outcome_id", "objective_id", "merged", "lines_added")
+
+
+@q("SELECT 'org' || user_id % 7 AS org, event_type AS metric, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_id % 5 > 0 GROUP BY 1, 2", fact=False)
+def submission_upsert(spark, sf_dir):
+    from ..sources import telemetry
+
+    e = table(spark, sf_dir, "events")
+    raw = e.select("event_id", "ts", F.concat(F.lit("org"), F.pmod("user_id", F.lit(7))).alias("org"), F.create_map("event_type", F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))).alias("metrics"))
+    rows = raw.select("event_id", "ts", "org", F.explode("metrics").alias("metric", "value")).withColumn("value", F.col("value").try_cast("double")).where("value IS NOT NULL")
+    return tables.upsert(rows, ["org", "metric"], ["ts", "event_id"]).select("org", "metric", "value")
