@@ -961,3 +961,18 @@ def submission_upsert(spark, sf_dir):
     raw = e.select("event_id", "ts", F.concat(F.lit("org"), F.pmod("user_id", F.lit(7))).alias("org"), F.create_map("event_type", F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))).alias("metrics"))
     rows = raw.select("event_id", "ts", "org", F.explode("metrics").alias("metric", "value")).withColumn("value", F.col("value").try_cast("double")).where("value IS NOT NULL")
     return tables.upsert(rows, ["org", "metric"], ["ts", "event_id"]).select("org", "metric", "value")
+
+
+@q()
+def salient_intents(spark, sf_dir):
+    from ..functions import salience
+
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", salience.salient_intent(F.col("text")).alias("intent"), salience.keyphrases(F.col("text")).alias("keyphrases"))
+
+
+@q()
+def text_embeddings(spark, sf_dir):
+    from ..functions import salience
+
+    return table(spark, sf_dir, "documents").select("doc_id", salience.embed(F.col("text")).alias("embedding"))

@@ -295,3 +295,18 @@ def test_entry_imports_without_the_training_data_operators():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_salience(spark):
+    from calltally.functions import salience
+
+    short = "please fix the login bug"
+    assert val(spark, salience.salient_intent(F.col("x")), short) == short
+    filler = "Here is the module that we talked about in the long meeting last week with everybody. "
+    long = filler * 5 + "Fix the retry bug in the webhook queue. " + filler + "\nimport os\n```\ncode = 1\n```\n" + filler
+    got = val(spark, salience.salient_intent(F.col("x")), long)
+    assert "Fix the retry bug in the webhook queue." in got and "Here is" not in got and len(got) <= 400 and "code" not in got
+    assert val(spark, salience.keyphrases(F.col("x")), long) == "fix retry bug webhook queue."
+    assert val(spark, salience.salient_intent(F.col("x")), "{" + "a;" * 400) == ""
+    v = val(spark, salience.embed(F.col("x")), "a b a")
+    assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-5 and val(spark, salience.embed(F.col("x")), None) == [0.0] * 64
