@@ -10,12 +10,13 @@ have been among them.
 
 Pieces don't cross spaces or line breaks, so the lattice is a chain of small ones, which are built for all different
 words of a batch at once. Sets far down a path are almost never opened; beyond ``SPLITS`` pieces they are kept as one
-set, from which a path is drawn again until it is a new one. Draws are counter-based hashes of (row key, path, place,
+set, which is split only if it comes up. Draws are counter-based hashes of (row key, path, place,
 step), so they depend on the row alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,11 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.child = np.append(np.array(list(children.values()), np.int64)[order], 0)
-        self.ends = np.full(len(children) + 2, -1, np.int64)
+        self.start = np.zeros(0x110000, np.int32)  # the node of each first character, 0: none
+        for (n, c), child in children.items():
+            if n == 0:
+                self.start[c] = child
+        self.ends = np.full(len(children) + 2, -1, np.int32)
         self.ends[list(ends)] = list(ends.values())
 
 
@@ -95,21 +101,22 @@ class Lattices:
         last[self.first[1:] - 1] = True
         ahead = np.repeat(self.first[1:] - 1, lengths + 1)  # last node of the node's word
         at = np.flatnonzero(~last)
-        state, node, found = np.zeros(len(at), np.int64), at, []
-        depth = 0
+        # All places walk down the trie together; the zero between words is in no piece, so none walks past its word.
+        state = v.start[chars[at]]
+        node, state = at[state > 0].astype(np.int32), state[state > 0].astype(np.int64)
+        found, depth = [], 1
         while len(node):
+            piece = v.ends[state]
+            is_piece = piece >= 0
+            found.append((node[is_piece], piece[is_piece], depth))
             want = state << 21 | chars[node + depth]
             k = np.searchsorted(v.keys, want)
             hit = v.keys[k] == want
             node, state = node[hit], v.child[k[hit]]
             depth += 1
-            piece = v.ends[state]
-            is_piece = piece >= 0
-            found.append((node[is_piece], piece[is_piece], depth))
-            more = node + depth < ahead[node]
-            node, state = node[more], state[more]
         lone = np.ones(n, bool)
-        lone[found[0][0]] = False  # no piece of one character: its bytes instead
+        if found:
+            lone[found[0][0]] = False  # no piece of one character: its bytes instead
         lone[last] = False
         lone = np.flatnonzero(lone)
         code = chars[lone]
@@ -120,13 +127,13 @@ class Lattices:
         count[lone] += 1
         self.ptr = np.concatenate([[0], np.cumsum(count)])
         m = int(self.ptr[-1])
-        self.to, self.piece, w = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+        self.to, self.piece, w = np.zeros(m, np.int32), np.zeros(m, np.int32), np.zeros(m)
         slot = self.ptr[1:] - 1
         for x, piece, depth in found:  # longest first within a node
             self.to[slot[x]], self.piece[slot[x]], w[slot[x]] = x + depth, piece, v.weight[piece]
             slot[x] -= 1
         self.to[slot[lone]], self.piece[slot[lone]], w[slot[lone]] = lone + 1, -1 - code, n_bytes * v.weight[v.byte_id[0]]
-        source = np.repeat(np.arange(n), count)
+        source = np.repeat(np.arange(n, dtype=np.int32), count)
         # Log weight of all ways from a node to its word's end, from the end backwards.
         beta = np.zeros(n)
         left = ahead - np.arange(n)
@@ -166,10 +173,10 @@ class Lattices:
             who, node, key = who[live], node[live], key[live]
             step += 1
         if not where:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         count = np.bincount(np.concatenate(where), minlength=len(live) and int(where[0].max()) + 1)
         first = np.cumsum(count) - count
-        out, owner = np.zeros(int(count.sum()), np.int64), np.repeat(np.arange(len(count)), count)
+        out, owner = np.zeros(int(count.sum()), np.int32), np.repeat(np.arange(len(count), dtype=np.int32), count)
         for s, (x, e) in enumerate(zip(where, edges, strict=True)):
             out[first[x] + s] = e
         return owner, out
@@ -239,12 +246,30 @@ class _Search:
             t = step + int(open_[i])
             self.push(float(g[i]), r, t, (int(path[t]),), float(before[open_[i]]))
         if stop < len(path):
-            self._tail(r, stop, (path[stop:].tobytes(),), bound, float(log_q[:stop].sum()))
+            rest = float(log_q[stop:].sum())
+            if rest < 0:
+                mass = float(log_q[:stop].sum()) + math.log(-math.expm1(rest))
+                self.push(_one_below(mass, bound, _uniform(self.draw(2, r))), r, stop, (), 0.0)
 
-    def _tail(self, r: int, stop: int, gone: tuple, bound: float, before: float) -> None:
-        left = 1.0 - sum(math.exp(float(self.l.log_q[np.frombuffer(x, np.int64)].sum())) for x in gone)
-        if left > 1e-15:
-            self.push(_one_below(before + math.log(left), bound, _uniform(self.draw(2, r, len(gone)))), r, stop, gone, before)
+    def split(self, r: int, stop: int, bound: float, k: int) -> None:
+        """The set of all paths that part from path ``r`` beyond ``SPLITS`` pieces, as the sets that part at each of them.
+
+        One of them, drawn by its probability, holds the maximum; the others stay below it.
+        """
+        path = self.paths[r][0]
+        log_q = self.l.log_q[path]
+        here = log_q[stop:]
+        before = float(log_q[:stop].sum()) + np.cumsum(here) - here
+        with np.errstate(divide="ignore"):
+            mass = before + np.log(-np.expm1(here))
+        open_ = np.flatnonzero(mass > -np.inf)
+        share = np.cumsum(np.exp(mass[open_] - mass[open_].max()))
+        best = min(int(np.searchsorted(share, _uniform(self.draw(8, r)) * share[-1], "right")), len(open_) - 1)
+        g = _gumbel_below(mass[open_], bound, uniform(mix(open_.astype(np.uint64) + U(self.draw(9, r))), 0))
+        g[best] = bound
+        for i in np.argsort(-g, kind="stable")[: k + 1]:
+            t = stop + int(open_[i])
+            self.push(float(g[i]), r, t, (int(path[t]),), float(before[open_[i]]))
 
     def branch(self, r: int, t: int, gone: tuple, bound: float, before: float) -> int | None:
         """The edge that opens a set parted at piece ``t``, and what is left of it beside that edge."""
@@ -275,7 +300,7 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
     place = [numbers[:n] for n in sizes]
     searches = [_Search(int(key) & (1 << 64) - 1, l) for key in keys]
     # (text, kept start of the path, first node of the rest in its word, that word's place, bound, step)
-    jobs = [(d, np.zeros(0, np.int64), None, 0, 0.0, 0) for d in range(len(texts))]
+    jobs = [(d, np.zeros(0, np.int32), None, 0, 0.0, 0) for d in range(len(texts))]
     for r in range(k):
         nodes, who = [], []
         for d, _, node, word, _, _ in jobs:
@@ -296,7 +321,7 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
         jobs = []
         if r + 1 < k:
             for d, s in enumerate(searches):
-                job = _next(s, d, l, words[d])
+                job = _next(s, d, l, words[d], k)
                 if job is not None:
                     jobs.append(job)
         if not jobs:
@@ -313,34 +338,17 @@ def _inclusion(x: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
-def _next(s: _Search, d: int, l: Lattices, words: list[int]):
+def _next(s: _Search, d: int, l: Lattices, words: np.ndarray, k: int):
     """The job that opens the best set on the agenda."""
-    if not s.agenda or not len(words):
-        return None
-    bound, _, (r, t, gone, before) = heapq.heappop(s.agenda)
-    bound = -bound
-    path = s.paths[r][0]
-    if isinstance(gone[0], bytes):  # many pieces at once: draw until the path is a new one
-        tries = 0
-        while True:
-            node, word = _node_before(l, path, t), _word_of(l, path, t)
-            first = l.first[words[word:]]
-            first[0] = node
-            owner, tail = l.walk(first, mix(np.arange(len(first), dtype=np.uint64)) ^ U(s.draw(7, r, t, len(gone), tries)))
-            if tail.tobytes() not in gone:
-                break
-            tries += 1
-        s._tail(r, t, (*gone, tail.tobytes()), bound, before)
-        new = np.concatenate([path[:t], tail])
-        s.paths.append((new, bound, float(l.log_q[new].sum())))
-        return None
-    e = s.branch(r, t, gone, bound, before)
-    word, node = _word_of(l, path, t), int(l.to[e])
-    return d, np.append(path[:t], e), node, word, bound, t + 1
-
-
-def _node_before(l: Lattices, path: np.ndarray, t: int) -> int:
-    return int(np.searchsorted(l.ptr, path[t], "right") - 1)
+    while s.agenda and len(words):
+        bound, _, (r, t, gone, before) = heapq.heappop(s.agenda)
+        if not gone:  # many pieces at once
+            s.split(r, t, -bound, k)
+            continue
+        e = s.branch(r, t, gone, -bound, before)
+        path = s.paths[r][0]
+        return d, np.append(path[:t], np.int32(e)), int(l.to[e]), _word_of(l, path, t), -bound, t + 1
+    return None
 
 
 def _word_of(l: Lattices, path: np.ndarray, t: int) -> int:
@@ -366,37 +374,39 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode_samples(docs: DataFrame, n_samples: int = N_SAMPLES, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+def encode_samples(docs: DataFrame, n_samples: int = N_SAMPLES, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, digest: bool = False) -> DataFrame:
     """Up to ``n_samples`` rows a text: doc_id, sample, ids (little-endian 32 bits), log_prob, perturbed, log_inclusion.
 
     A null or empty text has one segmentation, without pieces. A text with fewer segmentations than asked for has each of
     them, with inclusion score 0. Rows equal in id and text get equal samples. A U+2581 in a text is a space.
+    ``digest``: instead of ids their number, their CRC-32 and the SHA-256 of the text that they decode to, in one pass.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    own = [("n_pieces", pa.int64(), "long"), ("ids_crc32", pa.int64(), "long"), ("decoded_sha256", pa.string(), "string")] if digest else [("ids", pa.binary(), "binary")]
+    columns = [("sample", pa.int32(), "int"), *own, *((c, pa.float64(), "double") for c in ("log_prob", "perturbed", "log_inclusion"))]
+    names, types = ["doc_id", *(c[0] for c in columns)], [c[1] for c in columns]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
-        names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
         for b in parts:
-            texts = [t or "" for t in b.column(2).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
             keys = b.column(1).to_numpy(zero_copy_only=False)
             a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= BATCH_CHARS):
-                    size += len(texts[z])
-                    z += 1
+            while a < b.num_rows:
+                z = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[a:]), BATCH_CHARS, "right")))
+                texts = [t or "" for t in b.column(2).slice(a, z - a).to_pylist()]
                 who, rows = [], []
-                for d, found in enumerate(sample_batch(texts[a:z], keys[a:z], n_samples, v)):
+                for d, found in enumerate(sample_batch(texts, keys[a:z], n_samples, v)):
                     for s, (ids, log_p, g, inclusion) in enumerate(found):
                         who.append(a + d)
-                        rows.append((s, ids.astype("<u4").tobytes(), log_p, g, inclusion))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), *(pa.array([r[i] for r in rows], types[i + 1]) for i in range(5))], names)
+                        blob = ids.astype("<u4").tobytes()
+                        own = (len(ids), zlib.crc32(blob), hashlib.sha256(decode_ids(ids, v).encode()).hexdigest()) if digest else (blob,)
+                        rows.append((s, *own, log_p, g, inclusion))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)
                 a = z
 
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(run, f"doc_id {id_type}, sample int, ids binary, log_prob double, perturbed double, log_inclusion double")
+    return source.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, _, t in columns))
 
 
 def decode_samples(samples: DataFrame, model: str = MODEL) -> DataFrame:
@@ -416,5 +426,4 @@ def decode_samples(samples: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode_samples(encode_samples(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encode_samples(table(spark, sf_dir, "documents"), digest=True)
