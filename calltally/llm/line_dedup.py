@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, row_keys, table, texts_of, unpacked
+from .common import checkpointed, packed, row_keys, table, texts_of, unpacked
 
 MIN_DOCS = 10
 MIN_KEY_CHARS = 1
@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
             take = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(hashes, pa.binary()), pa.array(at, pa.list_(pa.int32()))], ["_k", "_k2", "h", "at"])
 
-    bad = frequent_lines(docs, min_docs, min_chars, text_col)
+    # Written out: a join of two shuffles, so that Spark can split a line that very many documents hold, or broadcast few.
+    bad = checkpointed(frequent_lines(docs, min_docs, min_chars, text_col))
     keyed = packed(docs).select("row", *row_keys(F.col("row")[id_col], F.col("row")[text_col]))
     lines = keyed.select("_k", "_k2", F.col("row")[text_col].alias("text")).mapInArrow(explode, "_k long, _k2 int, h binary, at array<int>")
     # Rows equal in id and text give equal places: collect_set keeps one of each, map side already.
