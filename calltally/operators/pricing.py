@@ -1,4 +1,4 @@
-"""Pricing: longest-prefix match over the distinct models, then an equi-join; costs are column arithmetic."""
+"""Pricing: longest-prefix match of a model's family name; costs are column arithmetic."""
 
 from __future__ import annotations
 
@@ -27,7 +27,18 @@ def match_prices(models: DataFrame, prices: DataFrame, model_col: str = "request
     return joined.groupBy("model").agg(best).select("model", "p.*")
 
 
+#: Up to so many prices are matched by an expression over the calls themselves, in one pass.
+MAX_PRICE_ROWS = 1000
+
+
 def with_prices(calls: DataFrame, prices: DataFrame, model_col: str = "request_model", prefix: str = "") -> DataFrame:
+    """``calls`` with their price columns (null: unpriced). Longer tables of prices are joined through the distinct models."""
+    rows = prices.limit(MAX_PRICE_ROWS + 1).collect()
+    if 0 < len(rows) <= MAX_PRICE_ROWS:
+        rows = sorted(rows, key=lambda r: -len(r["price_key"]))
+        known = [F.when(F.col("_norm").startswith(r["price_key"]), F.struct(*[F.lit(r[c]).alias(c) for c in prices.columns])) for r in rows]
+        out = calls.withColumn("_norm", normal_model(F.col(model_col))).withColumn("_price", F.coalesce(*known))
+        return out.select(*[F.col(f"`{c}`") for c in calls.columns], *[F.col(f"_price.{c}").alias(prefix + c) for c in prices.columns])
     matched = match_prices(calls, prices, model_col)
     matched = matched.select(F.col("model").alias(f"{prefix}model"), *[F.col(c).alias(prefix + c) for c in prices.columns])
     return calls.join(matched, calls[model_col] == F.col(f"{prefix}model"), "left").drop(f"{prefix}model")
