@@ -3,7 +3,8 @@
 Per language and source, the minimum covariance determinant is approached by concentration steps: a location and
 scatter give every document a Mahalanobis distance, the closest share ``SUPPORT`` gives the next location and scatter.
 All sums, cross products and quantiles are plain aggregates with partial sums on the map side, so a hot source costs no
-more than any other. A document whose distance is beyond the cutoff is rejected.
+more than any other. A document whose distance is beyond the cutoff is rejected. Documents of small groups are judged by
+the estimates of their whole language, those of small languages by the whole corpus's.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SUPPORT = 0.75
 STEPS = 3
-#: Smallest group that gets estimates of its own; documents of smaller ones only face the fixed rules.
+#: Smallest group that gets estimates of its own; smaller ones are judged by their language's, small languages by the corpus's.
 MIN_GROUP = 40
+#: Source of a language's pool, language and source of the corpus's.
+ALL = "\0all"
+#: Deviations that a corpus of fewer than MIN_GROUP documents is shrunk to, the more the fewer they are.
+PRIOR = (1.2, 0.15, 0.40, 0.50, 0.40)
+#: Distances aren't scaled up further than this: where most documents are alike, all scatter is FLOOR's.
+MAX_SCALE = 5.0
 #: Median of a chi-squared variable with five degrees of freedom, to which the median distance is scaled.
 CHI2_MEDIAN = 4.351
 #: Scaled squared distance beyond which a document goes: far outside the 0.9999 quantile (25.7), as clean text has long tails.
@@ -97,13 +104,15 @@ def _distances(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     return joined.withColumn("d2", d2).select(*rows.columns, "d2", "scale")
 
 
-def _factored(groups: DataFrame) -> DataFrame:
-    """Location, and the Cholesky factor of the scatter with FLOOR added, from a group's sums."""
+def _factored(groups: DataFrame, least: float) -> DataFrame:
+    """Location, and the Cholesky factor of the scatter with FLOOR added, from a group's sums; few documents: shrunk to PRIOR."""
     n = F.col("n").cast("double")
+    own = F.least(F.lit(1.0), n / F.lit(least))
     out = groups.select("_lang", "_source", "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIM)], *[f"s{i}{j}" for i in range(DIM) for j in range(i + 1)])
     for i in range(DIM):
         for j in range(i + 1):
-            v = F.greatest(F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) + FLOOR[i] ** 2 if i == j else F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")
+            v = F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")
+            v = own * F.greatest(v, F.lit(0.0)) + (1 - own) * PRIOR[i] ** 2 + FLOOR[i] ** 2 if i == j else own * v
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
@@ -115,16 +124,44 @@ def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *sums)
 
 
-def minimum_covariance(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> tuple[DataFrame, bool]:
-    """Estimates per (_lang, _source) from the columns x0 to x4, and whether there are few enough to broadcast.
+def _pools(rows: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
+    """Per (_lang, _source): ``judged``, the pool whose estimates its documents face, and ``pools``, all that they count for.
+
+    A pool is the group itself, its language or the corpus. Also whether there are few enough groups to broadcast.
+    """
+    groups = checkpointed(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n")))
+    few = groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+    pool = lambda lang, source: F.struct(lang.alias("_lang"), source.alias("_source"))
+    small = F.col("n") < min_group
+    langs = groups.groupBy("_lang").agg(F.sum("n").alias("n_lang"), F.max(small).alias("some"))
+    whole = langs.agg(F.coalesce(F.max(F.col("n_lang") < min_group), F.lit(False)).alias("whole"))
+    groups = groups.join(langs, "_lang").crossJoin(F.broadcast(whole))
+    own, of_lang, of_all = pool(F.col("_lang"), F.col("_source")), pool(F.col("_lang"), F.lit(ALL)), pool(F.lit(ALL), F.lit(ALL))
+    rare = F.col("n_lang") < min_group
+    pools = F.array_compact(F.array(F.when(~small, own), F.when(F.col("some") & ~rare, of_lang), F.when(F.col("whole"), of_all)))
+    judged = F.when(~small, own).when(~rare, of_lang).otherwise(of_all)
+    return checkpointed(groups.select("_lang", "_source", judged.alias("judged"), pools.alias("pools"))), few
+
+
+def _with_pool(rows: DataFrame, groups: DataFrame, few: bool, pool: Column, how: str) -> DataFrame:
+    """``rows`` with _lang and _source of a pool in the place of their own."""
+    if few:
+        joined = rows.join(F.broadcast(groups), ["_lang", "_source"], how)
+    else:
+        salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.hash(*[f"x{i}" for i in range(DIM)]), F.lit(SALTS))).join(salted, ["_lang", "_source", "_salt"], how)
+    joined = joined.select(*rows.drop("_lang", "_source").columns, pool.alias("_pool"))
+    return joined.select("*", "_pool._lang", "_pool._source").drop("_pool")
+
+
+def minimum_covariance(rows: DataFrame, few: bool, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """Estimates per (_lang, _source) from the columns x0 to x4.
 
     The start is the coordinate-wise median and median absolute deviation. ``scale`` brings the median squared distance
     of a group to CHI2_MEDIAN.
     """
     by = ["_lang", "_source"]
-    medians = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(DIM)]).where(F.col("n") >= min_group)
-    medians = checkpointed(medians.drop("n"))
-    few = medians.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+    medians = checkpointed(rows.groupBy(*by).agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(DIM)]))
     diagonal = lambda g: g.withColumns({f"l{i}{j}": F.lit(0.0) for i in range(DIM) for j in range(i)})
     start = diagonal(medians.withColumns({f"l{i}{i}": F.lit(1.0) for i in range(DIM)})).withColumn("scale", F.lit(1.0))
     # Median absolute deviations: the distances of each coordinate alone.
@@ -139,15 +176,16 @@ def minimum_covariance(rows: DataFrame, support: float = SUPPORT, steps: int = S
         bounds = seen.groupBy(*by).agg(F.percentile_approx("d2", support, 10_000).alias("_q"))
         bounds = checkpointed(bounds)
         inner = seen.join(F.broadcast(bounds) if few else bounds, by).where(F.col("d2") <= F.col("_q"))
-        estimates = checkpointed(_factored(_sums(inner)).drop("n").withColumn("scale", F.lit(1.0)))
+        estimates = checkpointed(_factored(_sums(inner), support * min_group).drop("n").withColumn("scale", F.lit(1.0)))
     final = _distances(rows, estimates, few).where(F.col("d2").isNotNull()).groupBy(*by).agg(F.percentile_approx("d2", 0.5, 10_000).alias("_med"))
-    estimates = estimates.drop("scale").join(final, by).withColumn("scale", CHI2_MEDIAN / F.greatest(F.col("_med"), F.lit(1e-6))).drop("_med")
-    return checkpointed(estimates), few
+    estimates = estimates.drop("scale").join(final, by).withColumn("scale", F.least(F.lit(MAX_SCALE), CHI2_MEDIAN / F.greatest(F.col("_med"), F.lit(1e-6)))).drop("_med")
+    return checkpointed(estimates)
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """One row per document: doc_id, its key, the statistics, ``base_failed``, ``distance`` (null: none) and ``kept``.
+    """One row per document: doc_id, its key, the statistics, ``base_failed``, ``distance`` and ``kept``.
 
+    Every document that passes the fixed rules has a distance; one that fails them has none where its group has no other.
     Null texts have no words and so fail. Null languages and sources form groups of their own. Repeated rows count as
     often as they are there. The estimates come from documents that pass the fixed rules.
     """
@@ -160,10 +198,11 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stats = text_statistics(packed(docs.select(*[f"`{c}`" for c in needed])).withColumn("_t", row[text_col]), "_t", keep)
     stats = stats.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     stats = checkpointed(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector(stats))]))
-    passed = stats.where(~F.col("base_failed"))
-    estimates, few = minimum_covariance(passed)
-    out = _distances(stats, estimates, few).withColumn("distance", F.sqrt(F.col("d2") * F.col("scale")))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= float(cutoff) ** 0.5)
+    passed = stats.where(~F.col("base_failed")).select("_lang", "_source", *[f"x{i}" for i in range(DIM)])
+    groups, few = _pools(passed, MIN_GROUP)
+    estimates = minimum_covariance(_with_pool(passed, groups, few, F.explode("pools"), "inner"), few)
+    out = _distances(_with_pool(stats, groups, few, F.col("judged"), "left"), estimates, few).withColumn("distance", F.sqrt(F.col("d2") * F.col("scale")))
+    kept = ~F.col("base_failed") & (F.col("distance") <= float(cutoff) ** 0.5)
     return out.withColumn("kept", kept).select("doc_id", "_k", "_k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 

@@ -177,6 +177,19 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert quality.filter_quality(few).count() == 10  # too few for estimates of their own
 
 
+def test_outliers_of_small_groups_go(spark):
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(900)]
+    text = lambda mark="": " ".join(r.choice(words) + mark for _ in range(r.randrange(60, 300)))
+    rows = [(text(), "en", f"s{i % 30}") for i in range(300)] + [(text(), "xx", "s0") for _ in range(5)]  # 10 to a source, 5 to a language
+    rows += [(text("***"), "en", "s3"), (text("***"), "en", "own"), (text("***"), "xx", "s0"), (text("***"), None, None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    out = quality.judge_quality(df).collect()
+    assert {x.doc_id for x in out if not x.kept} == set(range(305, 309)) and all(x.distance is not None for x in out)
+    few = df.where("doc_id < 20 OR doc_id = 305")  # fewer in the whole corpus than a group needs
+    assert {x.doc_id for x in quality.judge_quality(few).collect() if not x.kept} == {305}
+
+
 def test_packing(docs, plain, none):
     n_ids = defaultdict(int)
     encode = packing.encoder(packing.VOCABULARY)
