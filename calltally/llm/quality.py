@@ -30,8 +30,12 @@ MAX_SCALE = 5.0
 CHI2_MEDIAN = 4.351
 #: Scaled squared distance beyond which a document goes: far outside the 0.9999 quantile (25.7), as clean text has long tails.
 CUTOFF = 225.0
-#: Deviations added to the scatter: smaller differences don't matter (one repeated line in a short text), none is singular.
-FLOOR = (0.15, 0.05, 0.10, 0.50, 0.40)
+#: Deviations added to the scatter: smaller differences don't matter, none is singular. Small enough that each statistic
+#: alone can cross CUTOFF: the last two reach log1p(10) and log1p(5), which is 256 and 265 unscaled.
+FLOOR = (0.15, 0.05, 0.10, 0.15, 0.11)
+#: Repeats that any text may have: one line, and the words of one such line and its first copy.
+FREE_LINES = 1
+FREE_WORDS = 20
 #: Up to so many groups the estimates (some 250 bytes each) are broadcast; beyond, the join is salted.
 MAX_BROADCAST_GROUPS = 100_000
 SALTS = 16
@@ -83,8 +87,8 @@ def _vector(s: DataFrame) -> list[Column]:
         F.log1p(n.cast("double")),
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
         F.log1p(20 * F.col("n_symbols") / n),
-        F.log1p(10 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.log1p(10 * F.col("n_repeat_words") / n),
+        F.log1p(10 * F.greatest(F.col("n_dup_lines") - FREE_LINES, F.lit(0)) / F.greatest(F.col("n_lines"), F.lit(1))),
+        F.log1p(10 * F.greatest(F.col("n_repeat_words") - FREE_WORDS, F.lit(0)) / n),
     ]
 
 

@@ -190,6 +190,25 @@ def test_outliers_of_small_groups_go(spark):
     assert {x.doc_id for x in quality.judge_quality(few).collect() if not x.kept} == {305}
 
 
+def test_an_outlier_in_each_statistic_goes(spark):
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(100_000):05d}" for _ in range(n)]
+    rows = [" ".join(words(r.randrange(60, 300))) for _ in range(200)]
+    rows += ["\n".join([" ".join(words(20)), x := " ".join(words(8)), x, " ".join(words(20))]) for _ in range(3)]  # one repeated line stays
+    lines, seen, few = words(2), set(), words(20)
+    while len(lines) < 150:  # lines of one word, no three of them twice
+        w = r.choice(few)
+        if (*lines[-2:], w) not in seen:
+            seen.add((*lines[-2:], w))
+            lines.append(w)
+    passage = words(48)
+    rows += [" ".join(words(60_000)), " ".join(w * 10 for w in words(120)), " ".join(w + "***" for w in words(120)), "\n".join(lines), " ".join(passage + words(104) + passage)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    out = {x.doc_id: x for x in quality.judge_quality(df).collect()}
+    assert not any(x.base_failed for x in out.values()) and (out[206].n_repeat_words, out[207].n_dup_lines) == (0, 0)
+    assert {i for i, x in out.items() if not x.kept} == set(range(203, 208))
+
+
 def test_packing(docs, plain, none):
     n_ids = defaultdict(int)
     encode = packing.encoder(packing.VOCABULARY)
