@@ -11,7 +11,10 @@ from ..schema import upgrade
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """A stream over the Parquet files called ``name`` in a folder."""
+    """A stream over the Parquet table ``name`` in a folder: a single file, or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 

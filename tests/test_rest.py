@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -15,6 +16,7 @@ from calltally.functions import privacy as P
 from calltally.functions import text as X
 from calltally.operators import aggregates as A
 from calltally.operators import attribution, matching, pricing, reports, tables, waste, whatif
+from calltally.plans import catalog
 from calltally.schema import DERIVED, backfill_tenant, upgrade
 from calltally.sources import dims, telemetry
 from calltally.streaming import jobs, state
@@ -310,3 +312,11 @@ def test_salience(spark):
     assert val(spark, salience.salient_intent(F.col("x")), "{" + "a;" * 400) == ""
     v = val(spark, salience.embed(F.col("x")), "a b a")
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-5 and val(spark, salience.embed(F.col("x")), None) == [0.0] * 64
+
+
+def test_streams_read_tables_of_several_part_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_live_rollup", "stream_burn_sessions", "stream_once_each", "stream_debounce"):
+        got, want = (Counter(map(repr, catalog.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert got == want and got
