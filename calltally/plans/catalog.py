@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -813,11 +815,11 @@ def _events(spark, sf_dir):
 
 
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that the stream has now, as a table."""
-    spark = stream.sparkSession
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """All that the stream has now, as a table in the shared folder of spark.checkpoint.dir."""
+    from ..streaming import jobs
+
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calltally-streams-")
+    return jobs.drained(stream, f"{shared}/{name}-{uuid.uuid4()}", mode)
 
 
 @q("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 4) AS cost, count(*) FILTER (event_type = 'error') AS retries FROM events GROUP BY 1, 2", fact=False)

@@ -38,6 +38,22 @@ def burn_sessions(stream: DataFrame, gap: str = "6 hours", delay: str = "1 hour"
     return g.agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("cost")).select(F.col("w.start").alias("first_ts"), "user_id", "calls", "cost")
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that the stream has now, as a table of Parquet files under ``folder``, which all executors share.
+
+    Executors write and read it. In complete mode every batch is the whole result and overwrites the one before.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        w = w.format("parquet").option("path", out)
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(out)  # for a stream that never has a batch
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def write_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
     """A micro-batch under its own number: a batch that runs again replaces itself."""
     batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")

@@ -320,3 +320,12 @@ def test_streams_read_tables_of_several_part_files(spark, tmp_path):
     for name in ("stream_live_rollup", "stream_burn_sessions", "stream_once_each", "stream_debounce"):
         got, want = (Counter(map(repr, catalog.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
         assert got == want and got
+
+
+def test_drained_streams_are_files_and_not_rows_of_the_driver(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_live_rollup", "stream_burn_sessions", "stream_once_each", "stream_debounce"):
+        out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert out.inputFiles() and out.count() > 0
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
