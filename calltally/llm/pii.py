@@ -33,12 +33,16 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 #: Words with a digit or an at sign: what may be an identifier.
 TOKEN = rf"{WORD_CLASS}*[0-9@]{WORD_CLASS}*+"
+#: A label glued to what follows it, in any script.
+LABEL = r"\p{L}[\p{L}\p{M}_.-]*[=:]"
 #: Different seeds that a pattern needs, confidence that a pattern and an identifier need, and rounds of scoring.
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.6
 ROUNDS = 3
 #: Up to so many patterns (some 50 bytes each) are broadcast to the count of all words; beyond, all words are counted.
 MAX_BROADCAST_PATTERNS = 200_000
+#: Up to so many keys of repeated rows (some 20 bytes each) are broadcast; beyond, they are joined by a shuffle.
+MAX_BROADCAST_REPEATS = 200_000
 
 
 def _found(text: Column, pattern: str, guard: Column, kind: str) -> Column:
@@ -80,11 +84,13 @@ def _matches(keyed: DataFrame, text: Column) -> DataFrame:
     arrays = [_found(text, PATTERNS[k], text.rlike(GUARDS[k]), k) for k in KINDS] + [_found(text, TOKEN, text.rlike("[0-9@]"), "token")]
     source = keyed.where(text.rlike("[0-9@]")).select("_k", "_k2", F.array(*arrays).alias("_all"))
     rows = source.select("_k", "_k2", F.explode("_all").alias("_one")).select("_k", "_k2", F.posexplode("_one").alias("at", "m"))
-    # The gap's last word and length are all that is needed of it.
+    # The gap's last word and length are all that is needed of it, and whether the word before is another token.
     gap = F.col("m.gap")
     last = F.regexp_extract(F.substring(gap, -400, 400), rf"({WORD_CLASS}+){WS_CLASS}+$", 1)
-    rows = rows.select("_k", "_k2", F.col("m.kind").alias("kind"), "at", F.length(gap).alias("gap"), last.alias("before"), F.col("m.value").alias("value")).distinct()
-    so_far = Window.partitionBy("_k", "_k2", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("_k", "_k2", F.col("m.kind").alias("kind"), "at", F.length(gap).alias("gap"), last.alias("before"), (~gap.rlike(WORD_CLASS)).alias("next_to"), F.col("m.value").alias("value")).distinct()
+    w = Window.partitionBy("_k", "_k2", "kind").orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("before", F.when((F.col("kind") == "token") & F.col("next_to"), F.coalesce(F.lag("value").over(w), F.lit(""))).otherwise(F.col("before"))).drop("next_to")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(so_far))
     return rows.withColumn("start", F.col("end") - F.length("value")).where((F.col("kind") == "token") | _valid(F.col("kind"), F.col("value")))
 
@@ -101,10 +107,10 @@ def _instances(matches: DataFrame) -> DataFrame:
     )
     t = m.where(~base & (F.coalesce("covered", F.lit(-1)) <= F.col("start")))
     starts_seed = F.coalesce((F.col("next_kind") != "token") & (F.col("next_start") < F.col("end")), F.lit(False))
-    label = F.regexp_extract("value", r"^[(\[\"']*([A-Za-z][A-Za-z_.-]*[=:])", 1)
+    label = F.regexp_extract("value", rf"^[(\[\"']*({LABEL})", 1)
     glued = F.when(starts_seed, (F.length(label) > 0) & (F.col("next_start") - F.col("start") >= F.length(label))).otherwise(F.length(label) > 0)
-    core = F.regexp_replace(F.regexp_replace("value", r"^[(\[\"'<]*(?:[A-Za-z][A-Za-z_.-]*[=:])?[(\[\"'<]*", ""), r"[.,;:!?)\]\"'>]+$", "")
-    skipped = F.length(F.regexp_extract("value", r"^[(\[\"'<]*(?:[A-Za-z][A-Za-z_.-]*[=:])?[(\[\"'<]*", 0))
+    core = F.regexp_replace(F.regexp_replace("value", rf"^[(\[\"'<]*(?:{LABEL})?[(\[\"'<]*", ""), r"[.,;:!?)\]\"'>]+$", "")
+    skipped = F.length(F.regexp_extract("value", rf"^[(\[\"'<]*(?:{LABEL})?[(\[\"'<]*", 0))
     pattern = F.when(glued, F.concat(F.lit("in "), F.lower(label))).when(F.length("before") > 0, F.concat(F.lit("after "), F.lower("before")))
     t = t.select(
         "_k", "_k2", pattern.alias("pattern"),
@@ -121,7 +127,7 @@ def _word_patterns(text: Column) -> Column:
     words = F.split(F.trim(text, F.lit(" \t\n\x0b\x0c\r")), f"{WS_CLASS}+", -1)
     return F.concat(
         F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.concat(F.lit("after "), F.lower(w))),
-        F.transform(F.filter(words, lambda w: w.rlike(r"^[(\[\"']*[A-Za-z][A-Za-z_.-]*[=:].")), lambda w: F.concat(F.lit("in "), F.lower(F.regexp_extract(w, r"^[(\[\"']*([A-Za-z][A-Za-z_.-]*[=:])", 1)))),
+        F.transform(F.filter(words, lambda w: w.rlike(rf"^[(\[\"']*{LABEL}.")), lambda w: F.concat(F.lit("in "), F.lower(F.regexp_extract(w, rf"^[(\[\"']*({LABEL})", 1)))),
     )
 
 
@@ -132,14 +138,21 @@ def discovered(keyed: DataFrame, text: Column, matches: DataFrame) -> DataFrame:
     patterns = seeded.groupBy("pattern").agg(F.max(F.struct("seeds", "seed")).alias("m"), F.sum("seeds").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
     patterns = checkpointed(patterns.select("pattern", F.col("m.seed").alias("kind")))
     few = patterns.limit(MAX_BROADCAST_PATTERNS + 1).count() <= MAX_BROADCAST_PATTERNS
-    words = keyed.select(F.explode(_word_patterns(text)).alias("pattern"))
+    # Rows of equal keys count once, as among the instances: their words are counted apart by the rows of their key.
+    repeats = checkpointed(keyed.groupBy("_k", "_k2").agg(F.count("*").alias("copies")).where("copies > 1"))
+    n_repeats = repeats.limit(MAX_BROADCAST_REPEATS + 1).count()
+    texts = keyed.select("_k", "_k2", text.alias("_text"))
+    if n_repeats:
+        texts = texts.join(F.broadcast(repeats) if n_repeats <= MAX_BROADCAST_REPEATS else repeats, ["_k", "_k2"], "left")
+    copies = F.coalesce("copies", F.lit(1)) if n_repeats else F.lit(1)
+    words = texts.select(copies.cast("long").alias("copies"), F.explode(_word_patterns(F.col("_text"))).alias("pattern"))
     if few:
-        totals = words.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
-    else:
-        totals = words.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.select("pattern"), "pattern", "left_semi")
+        words = words.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+    totals = words.groupBy("pattern", "copies").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.sum(F.expr("n div copies")).alias("total"))
+    if not few:
+        totals = totals.join(patterns.select("pattern"), "pattern", "left_semi")
     patterns = checkpointed(patterns.join(totals, "pattern"))
     edges = checkpointed(instances.join(patterns, "pattern", "left_semi").groupBy("pattern", "core").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    # Rows of equal keys were counted once among the instances and as often as they are there in the totals.
     scores = patterns.select("pattern", F.lit(0.0).alias("confidence"))
     for _ in range(ROUNDS):
         known = edges.join(scores, "pattern").groupBy("core").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("confidence"))).alias("belief"))

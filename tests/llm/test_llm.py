@@ -159,6 +159,20 @@ def test_context_finds_identifiers_that_no_pattern_has(spark):
     assert {d: x for d, x in more.items() if x} == {20 + i: [f"0151-{2345 + i}-778"] for i in range(4)}
 
 
+def test_context_counts_repeated_rows_once_and_takes_any_label(spark, monkeypatch):
+    r = random.Random(1)
+    words = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "the", "sit"]) for _ in range(n))
+    marks = ("Telephone: ", "T\u00e9l\u00e9phone:", "tel2 ")
+    seeds = [f"{words(9)} {m}+1 (415) 555-{1000 + i} {words(9)}" for m in marks for i in range(20)]
+    rows = list(enumerate(seeds + [f"{words(5)} {m}0151-{2345 + i}-778, {words(5)}" for i, m in enumerate(marks)]))
+    for all_rows in (rows, rows + rows, rows + rows[60:61] * 50):
+        for most in (pii.MAX_BROADCAST_REPEATS, 1):
+            monkeypatch.setattr(pii, "MAX_BROADCAST_REPEATS", most)
+            df = spark.createDataFrame(all_rows, "doc_id long, text string")
+            more = {x.row.doc_id: [x.row.text[s.start : s.end] for s in x.spans if not s.base] for x in pii.find_personal_data(df).collect()}
+            assert {d: x for d, x in more.items() if x} == {60 + i: [f"0151-{2345 + i}-778"] for i in range(3)}
+
+
 def test_statistics(docs, plain, none):
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge_quality(docs).collect()]
     same(got, [(d, *brute.statistics(t)) for d, t in plain])
