@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import array
 import base64
+import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,18 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str, pattern: str = PATTERN) -> Callable[[str], list[int]]:
-    """``text -> ids``; special tokens' strings in a text are ordinary text."""
+    """``text -> ids``; strings of the added tokens that the vocabulary's JSON names become their ids, as in that tokenizer."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = {}
+    if os.path.exists(named := os.path.splitext(public_tokenizers.path(vocabulary))[0] + ".json"):
+        with open(named, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    encoding = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return partial(encoding.encode, allowed_special=set(added), disallowed_special=()) if added else encoding.encode_ordinary
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:

@@ -257,6 +257,20 @@ def test_ids_are_those_of_the_json_vocabulary(texts):
         assert encode(x) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(packing.VOCABULARY)
+    cases = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext |>", "<|endoftext|"]
+    for x in cases:
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+    assert encode(cases[0]) == [64, 220, 50256, 275]
+    rows = packing.pack_documents(spark.createDataFrame([(1, cases[0])], "doc_id long, text string"), with_ids=True).collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in sorted(rows, key=lambda r: r.start)] == [[64, 220, 50256, 275], [1]]
+
+
 def test_vector_limits():
     bins = packing.fill([100, 900, 30, 4000, 0, 512], [90, 0, 0, 1000, 0, 512], 1024, 3, 600)
     taken = defaultdict(list)
