@@ -133,6 +133,7 @@ def _judge_by_join(urls: DataFrame, rules: DataFrame, url_col: str, default: str
     cut = packed(urls).withColumns({"host": url_host(F.col("row")[url_col]), "path": url_path(F.col("row")[url_col])})
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_union(suffixes, F.array(F.lit("")))  # rules of any host
     keys = cut.select("host", "path").distinct()
     tried = keys.select("host", "path", F.explode(suffixes).alias("_h")).select(
         "host", "path", "_h", F.explode(F.expr("transform(sequence(0, length(path)), n -> substring(path, 1, n))")).alias("_p")
@@ -141,7 +142,7 @@ def _judge_by_join(urls: DataFrame, rules: DataFrame, url_col: str, default: str
     best = (
         tried.join(ranked, ["_h", "_p"])
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.size(F.split("_h", r"\.")), F.length("_p"), F.concat("_h", "_p").alias("rule"), F.col("_a").alias("action"))).alias("_b"))
+        .agg(F.max(F.struct(F.when(F.col("_h") == "", 0).otherwise(F.size(F.split("_h", r"\."))), F.length("_p"), F.concat("_h", "_p").alias("rule"), F.col("_a").alias("action"))).alias("_b"))
         .select("host", "path", F.col("_b.rule").alias("rule"), F.col("_b.action").alias("_v"))
     )
     return cut.join(best, ["host", "path"], "left").select("row", "host", "path", "rule", F.coalesce("_v", F.lit(default)).alias("verdict"))

@@ -353,6 +353,16 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+def test_rules_of_any_host_hold_beyond_the_bound_too(spark, monkeypatch):
+    rules = [("block", "", "/en/long/"), ("allow", "com", "/en/"), ("block", "", "/")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.com/en/long/x", "http://a.net/en/long/x", "http://a.net/", "http:///x", "http://a.net"])], "page_id long, url string")
+    out = []
+    for most in (url_filters.MAX_BROADCAST_RULES, 1):
+        monkeypatch.setattr(url_filters, "MAX_BROADCAST_RULES", most)
+        out.append({r.row.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(df, rules).collect()})
+    assert out[0] == out[1] and out[1][0] == ("com/en/", "allow") and out[1][1] == ("/en/long/", "block")
+
+
 def test_sampled_segmentations(docs, plain, none):
     samples = sentencepiece_sampling.encode_samples(docs, 3)
     rows = sentencepiece_sampling.decode_samples(samples).collect()
