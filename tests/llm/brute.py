@@ -86,3 +86,38 @@ def statistics(text):
     covered = {p for i, g in enumerate(grams) if seen[g] > 1 for p in (i, i + 1, i + 2)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def fill(sizes, leads, max_tokens, max_segments, max_loss):
+    """Bins of pieces (item, start, length), by a look at every piece for every choice."""
+    start, out = [0] * len(sizes), []
+    left = lambda i: sizes[i] - start[i]
+    quiet = lambda i: max(0, min(leads[i], sizes[i]) - start[i])
+    for i in range(len(sizes)):
+        while left(i) >= max_tokens and quiet(i) + max_loss >= max_tokens:
+            out.append([(i, start[i], max_tokens)])
+            start[i] += max_tokens
+    while any(left(i) for i in range(len(sizes))):
+        pool = [i for i in range(len(sizes)) if left(i)]
+        mean = lambda f: sum(map(f, pool)) / len(pool)
+        w = (mean(left) / max_tokens**3, 1 / max_segments**3, mean(lambda i: left(i) - quiet(i)) / max_loss**3)
+        room, pieces = [max_tokens, max_segments, max_loss], []
+        while room[0] and room[1] and pool:
+            fits = [i for i in pool if left(i) <= room[0] and left(i) - quiet(i) <= room[2]]
+            if fits:
+                key = lambda i: (left(i) * (w[0] * room[0]) + (left(i) - quiet(i)) * (w[2] * room[2]), left(i), left(i) - quiet(i), -i)
+                i = max(fits, key=key)
+                take = left(i)
+            else:
+                longest = lambda i: min(left(i), room[0], quiet(i) + room[2])
+                i = max(pool, key=lambda i: (longest(i), left(i), left(i) - quiet(i), -i))
+                take = longest(i)
+                if not take:
+                    break
+            loss = max(0, take - quiet(i))
+            pieces.append((i, start[i], take))
+            start[i] += take
+            room = [room[0] - take, room[1] - 1, room[2] - loss]
+            pool.remove(i)
+        out.append(pieces)
+    return out

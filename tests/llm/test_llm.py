@@ -223,28 +223,47 @@ def test_an_outlier_in_each_statistic_goes(spark):
     assert {i for i, x in out.items() if not x.kept} == set(range(203, 208))
 
 
-def test_packing(docs, plain, none):
-    n_ids = defaultdict(int)
+def test_packing(docs, plain, none, spark, monkeypatch):
     encode = packing.encoder(packing.VOCABULARY)
     ids = {(d, t): np.array([*encode(t or ""), 1], "<u4") for d, t in plain}
-    rows = packing.pack_documents(docs, with_ids=True).collect()
-    of, pieces = defaultdict(list), defaultdict(list)
-    for r in rows:
-        pieces[r.sequence_id].append(r)
-        of[r.doc_id].append(r)
-        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length > 0
-        n_ids[r.sequence_id] += r.length
-    for own in pieces.values():
-        own.sort(key=lambda r: r.offset)
-        assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and len(own) <= packing.MAX_SEGMENTS
-    assert all(n == 2048 or n & (n - 1) == 0 for n in n_ids.values())
-    for d, t in plain:
-        if sum(x == d for x, _ in plain) == 1:
-            own = sorted(of[d], key=lambda r: r.start)
-            assert [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
-            assert b"".join(r.ids for r in own) == ids[(d, t)].tobytes() and own[0].doc_tokens == len(ids[(d, t)])
-    assert sum(n_ids.values()) == sum(len(ids[x]) for x in plain)
+    for lot in (packing.LOT_TOKENS, 3000):
+        monkeypatch.setattr(packing, "LOT_TOKENS", lot)
+        for rows in (packing.pack_documents(docs, with_ids=True).collect(), packing.pack(packing.tokenize(docs), with_ids=True).collect()):
+            of, pieces = defaultdict(list), defaultdict(list)
+            for r in rows:
+                pieces[r.sequence_id].append(r)
+                of[r.doc_id].append(r)
+                assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length > 0
+            for own in pieces.values():
+                own.sort(key=lambda r: r.offset)
+                assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and len(own) <= packing.MAX_SEGMENTS
+                n = sum(r.length for r in own)
+                assert n == 2048 or n & (n - 1) == 0
+                assert sum(r.length - r.no_loss for r in own) <= packing.MAX_LOSS_TOKENS
+            for d, t in plain:
+                if sum(x == d for x, _ in plain) == 1:
+                    own, x = sorted(of[d], key=lambda r: r.start), ids[(d, t)]
+                    assert [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+                    assert b"".join(r.ids for r in own) == x.tobytes() and own[0].doc_tokens == len(x)
+                    assert sum(r.no_loss for r in own) == 256 * (len(x) // 2048) + min(256, len(x) % 2048 // 4)
+            assert sum(r.length for r in rows) == sum(len(ids[x]) for x in plain)
     assert packing.pack_documents(none).count() == 0
+    lead = spark.createDataFrame([(1, np.arange(3000, dtype="<u4").tobytes(), 1000), (2, b"", 5), (3, None, None), (4, np.arange(70, dtype="<u4").tobytes(), None)], "doc_id long, ids binary, lead int")
+    rows = packing.pack(lead, lead_col="lead").collect()
+    assert {d: (sum(r.length for r in rows if r.doc_id == d), sum(r.no_loss for r in rows if r.doc_id == d)) for d in (1, 2, 3, 4)} == {1: (3000, 1000), 2: (0, 0), 3: (0, 0), 4: (70, 0)}
+
+
+def test_bins_are_those_of_a_plain_version():
+    r = random.Random(11)
+    for _ in range(60):
+        n, limits = r.randrange(0, 60), (r.choice((16, 50, 64)), r.choice((2, 5, 64)), r.choice((7, 30, 64)))
+        sizes = [r.choice((0, 1, 3, 3, 8, 15, 30, 49, 70, 200)) + r.randrange(3) for _ in range(n)]
+        lead = [r.randrange(0, s + 9) if r.random() < 0.7 else 0 for s in sizes]
+        assert packing.fill(sizes, lead, *limits) == brute.fill(sizes, lead, *limits)
+    parts = [x for _ in range(2000) for x in packing.stretches(int(r.lognormvariate(6, 1.5)) + 1, None, 2048)]
+    bins = packing.fill([n for _, n, _ in parts], [q for *_, q in parts], 2048, 64, 1792)
+    loss = [sum(n - max(0, min(n, parts[i][2] - s)) for i, s, n in b) for b in bins]
+    assert max(loss) == 1792 and sum(sum(n for *_, n in b) == 2048 for b in bins) > 0.99 * len(bins)  # the limit binds, and bins are full
 
 
 def test_ids_are_those_of_the_json_vocabulary(texts):
@@ -254,7 +273,7 @@ def test_ids_are_those_of_the_json_vocabulary(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.encoder(packing.VOCABULARY)
     for x in [*filter(None, texts), "  two  spaces\n\n\n it's 12,345 ", "tabs\t\t\r\n…“ ”"]:
-        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_added_tokens_have_their_ids(spark):
@@ -265,10 +284,10 @@ def test_added_tokens_have_their_ids(spark):
     encode = packing.encoder(packing.VOCABULARY)
     cases = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext |>", "<|endoftext|"]
     for x in cases:
-        assert encode(x) == t.encode(x, add_special_tokens=False).ids
-    assert encode(cases[0]) == [64, 220, 50256, 275]
+        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert encode(cases[0]).tolist() == [64, 220, 50256, 275]
     rows = packing.pack_documents(spark.createDataFrame([(1, cases[0])], "doc_id long, text string"), with_ids=True).collect()
-    assert [np.frombuffer(r.ids, "<u4").tolist() for r in sorted(rows, key=lambda r: r.start)] == [[64, 220, 50256, 275], [1]]
+    assert [x for r in sorted(rows, key=lambda r: r.start) for x in np.frombuffer(r.ids, "<u4").tolist()] == [64, 220, 50256, 275, 1]
 
 
 def test_vector_limits():
@@ -353,6 +372,19 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+def test_a_very_long_url_is_looked_up_at_once(spark):
+    import time
+
+    trie = url_filters.build_trie(url_filters.RULES)
+    began = time.time()
+    for path in ("/en/7" + "x" * 1_000_000, "/" + "x" * 1_000_000, "/x" * 500_000):
+        url_filters.lookup(trie, "a.example.com", path)
+    assert time.time() - began < 1 and url_filters.lookup(trie, "a.example.com", "/en/7" + "x" * 1_000_000) == ("example.com/en/7", "allow")
+    df = spark.createDataFrame([(0, "http://example.com/en/7" + "y" * 300_000), (1, None)], "page_id long, url string")
+    rules = spark.createDataFrame(url_filters.RULES, "action string, host string, path string")
+    assert {r.row.page_id: r.rule for r in url_filters._judge_by_join(df, rules, "url", "allow").collect()} == {0: "example.com/en/7", 1: None}
+
+
 def test_rules_of_any_host_hold_beyond_the_bound_too(spark, monkeypatch):
     rules = [("block", "", "/en/long/"), ("allow", "com", "/en/"), ("block", "", "/")]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.com/en/long/x", "http://a.net/en/long/x", "http://a.net/", "http:///x", "http://a.net"])], "page_id long, url string")
@@ -382,6 +414,13 @@ def test_sampled_segmentations(docs, plain, none):
     assert sentencepiece_sampling.encode_samples(none).count() == 0
 
 
+def sentence_parts(text):
+    """A text's words with the marks before them, and its line breaks."""
+    import re
+
+    return re.findall("▁*[^▁\n]+|▁+|\n", "▁" + text.replace(" ", "▁"))
+
+
 def test_samples_follow_the_distribution_without_replacement():
     import math
 
@@ -395,15 +434,54 @@ def test_samples_follow_the_distribution_without_replacement():
             if (p := look.get(t[:j])) is not None:
                 yield from all_paths(t[j:], (*ids, p), w + v.weight[p])
 
-    paths = dict(all_paths("▁then"))
-    total = sum(math.exp(w) for w in paths.values())
-    p = {k: math.exp(w) / total for k, w in paths.items()}
-    n = 3000
-    found = sentencepiece_sampling.sample_batch(["then"] * n, np.arange(n) * 7919, 2, v)
-    first, second = (Counter(tuple(f[i][0].tolist()) for f in found) for i in (0, 1))
-    for k, q in p.items():
-        later = sum(p[a] * q / (1 - p[a]) for a in p if a != k)
-        assert abs(first[k] / n - q) < 0.035 and abs(second[k] / n - later) < 0.035
+    for text in ("then", "a\nof the", "on  it"):
+        parts = sentence_parts(text)
+        paths = {(): 0.0}
+        for part in parts:
+            ways = dict(all_paths(part)) if part != "\n" else {(int(v.byte_id[10]),): float(v.weight[v.byte_id[10]])}
+            paths = {a + b: x + y for a, x in paths.items() for b, y in ways.items()}
+        total = math.log(sum(math.exp(w) for w in paths.values()))
+        p = {k: math.exp(w - total) for k, w in paths.items()}
+        n = 4000
+        found = sentencepiece_sampling.sample_batch([text] * n, np.arange(n) * 7919, 2, v)
+        ids = [tuple(found.ids[a:b].tolist()) for a, b in zip(found.at[:-1], found.at[1:], strict=True)]
+        assert all(abs(math.exp(x) - p[i]) < 1e-9 for x, i in zip(found.log_prob, ids, strict=True))
+        first, second = (Counter(i for i, s in zip(ids, found.sample, strict=True) if s == k) for k in (0, 1))
+        for k, q in p.items():
+            later = sum(p[a] * q / (1 - p[a]) for a in p if a != k)
+            assert abs(first[k] / n - q) < 0.035 and abs(second[k] / n - later) < 0.035
+        # Inclusion scores are those of a conditional Poisson design: dividing by them gives sums over all paths their value.
+        weight = sum(math.exp(x - y) for x, y in zip(found.log_prob, found.inclusion, strict=True)) / n
+        assert abs(weight - 1) < 0.1
+
+
+def test_all_segmentations_come_where_more_are_asked_for():
+    v = sentencepiece_sampling.vocabulary()
+    found = sentencepiece_sampling.sample_batch(["to", "", "\U0001fad8"], np.array([1, 2, 3]), 50, v)
+    look = {p: i for i, p in enumerate(v.pieces) if i >= 259}
+
+    def count(t):
+        return 1 if not t else sum(count(t[j:]) for j in range(1, len(t) + 1) if t[:j] in look)
+
+    n = Counter(found.text.tolist())
+    assert n == {0: count("▁to"), 1: 1, 2: 1}
+    ids = [tuple(found.ids[a:b].tolist()) for a, b in zip(found.at[:-1], found.at[1:], strict=True)]
+    assert len(set(ids[: n[0]])) == n[0] and found.inclusion.tolist() == [0.0] * len(ids)
+    assert len(ids[-1]) == 1 + 4  # the mark and four bytes
+
+
+def test_words_that_are_forgotten_give_the_same(monkeypatch):
+    v = sentencepiece_sampling.vocabulary()
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("aeioustrn") for _ in range(r.randrange(1, 9))) for _ in range(30)) for _ in range(20)]
+    key = np.arange(20)
+    whole = sentencepiece_sampling.sample_batch(texts, key, 3, v)
+    monkeypatch.setattr(sentencepiece_sampling, "KEPT_CHARS", 200)
+    monkeypatch.setattr(sentencepiece_sampling, "ADDED_CHARS", 50)
+    sentencepiece_sampling.lattices(v).forget()
+    alone = [sentencepiece_sampling.sample_batch(texts[i : i + 1], key[i : i + 1], 3, v) for i in range(20)]
+    assert whole.ids.tolist() == [x for a in alone for x in a.ids.tolist()]
+    assert whole.perturbed.tolist() == [x for a in alone for x in a.perturbed.tolist()]
 
 
 def test_pipeline(spark, docs, plain, tmp_path):
