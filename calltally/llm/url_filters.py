@@ -44,9 +44,11 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
     """Nested dicts: host labels from the last one on, then under key ``None`` a trie of path segments.
 
     A path ``/a/b`` has the segments ``/a`` and ``/b``. Its last segment may end inside a segment of a URL, so it is
-    kept under key ``""`` as an entry (segment prefix, rule, action); the others are edges.
+    kept under key ``""`` as an entry (segment prefix, rule, action); the others are edges. Under key ``0`` are the
+    lengths of a node's entries, longest first, so that a lookup tries those alone, however long the URL is.
     """
     root: dict = {}
+    with_ends: dict[int, dict] = {}
     for action, host, path in rules:
         node = root
         for label in reversed(host.split(".")) if host else ():
@@ -59,6 +61,9 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         last = segments[-1] if segments else ""
         if ends.get(last, ("", ""))[1] != "block":
             ends[last] = (f"{host}{path}", action)
+        with_ends[id(node)] = node
+    for node in with_ends.values():
+        node[0] = sorted({len(x) for x in node[""]}, reverse=True)
     return root
 
 
@@ -72,8 +77,8 @@ def _longest(paths: dict, segments: list[str]) -> tuple[str, str] | None:
     for s in [*segments, ""]:
         ends = node.get("")
         if ends:
-            for n in range(len(s), -1, -1):
-                if s[:n] in ends:
+            for n in node[0]:
+                if n <= len(s) and s[:n] in ends:
                     best = ends[s[:n]]
                     break
         node = node.get(s) if s else None
@@ -132,17 +137,21 @@ def _judge_by_join(urls: DataFrame, rules: DataFrame, url_col: str, default: str
     """Beyond the bound: equi-join each host suffix and path prefix of a URL with the rules."""
     cut = packed(urls).withColumns({"host": url_host(F.col("row")[url_col]), "path": url_path(F.col("row")[url_col])})
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    suffixes = F.array_union(suffixes, F.array(F.lit("")))  # rules of any host
-    keys = cut.select("host", "path").distinct()
-    tried = keys.select("host", "path", F.explode(suffixes).alias("_h")).select(
-        "host", "path", "_h", F.explode(F.expr("transform(sequence(0, length(path)), n -> substring(path, 1, n))")).alias("_p")
+    n_labels = lambda h: F.when(h == "", 0).otherwise(F.size(F.split(h, r"\.")))
+    # Only prefixes and suffixes as long as some rule's are tried: one row of lengths, bounded by the longest rule.
+    lengths = F.broadcast(rules.agg(F.collect_set(F.length("path")).alias("_paths"), F.collect_set(n_labels(F.col("host"))).alias("_hosts")))
+    keys = cut.select("host", "path").distinct().join(lengths)
+    suffixes = F.transform(
+        F.filter("_hosts", lambda n: n <= n_labels(F.col("host"))), lambda n: F.when(n == 0, "").otherwise(F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    )
+    tried = keys.select("host", "path", "_paths", F.explode(suffixes).alias("_h")).select(
+        "host", "path", "_h", F.explode(F.transform(F.filter("_paths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("_p")
     )
     ranked = rules.groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(F.max("action").alias("_a"))  # block > allow
     best = (
         tried.join(ranked, ["_h", "_p"])
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.when(F.col("_h") == "", 0).otherwise(F.size(F.split("_h", r"\."))), F.length("_p"), F.concat("_h", "_p").alias("rule"), F.col("_a").alias("action"))).alias("_b"))
+        .agg(F.max(F.struct(n_labels(F.col("_h")), F.length("_p"), F.concat("_h", "_p").alias("rule"), F.col("_a").alias("action"))).alias("_b"))
         .select("host", "path", F.col("_b.rule").alias("rule"), F.col("_b.action").alias("_v"))
     )
     return cut.join(best, ["host", "path"], "left").select("row", "host", "path", "rule", F.coalesce("_v", F.lit(default)).alias("verdict"))
