@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from them (DataFrame functions only).
 
-The entities that the fixed patterns find are seeds. The word before a seed, or the label glued to it (``mail:``), is a
-lexical pattern. Patterns and the identifier-like strings that follow them form a graph: a pattern's confidence is the
-confidence of all that follows it, over everything that follows it anywhere in the corpus; an identifier's confidence
-is that of its best pattern. Scores run to and fro a few times; strings that follow high-confidence patterns are
-identifiers of the kind of the patterns' seeds. A pattern needs several different seeds, so that one document's
-habit is no evidence, and its share counts all words after it, so that ``the`` is no pattern.
+The entities that the fixed patterns find are seeds. The word before an identifier-like string, the word after it and
+the label glued to it (``mail:``) are its lexical patterns; patterns and strings form a graph. A pattern's confidence is
+the belief in the strings it goes with over all words that it goes with anywhere in the corpus, so that ``the`` is no
+pattern. The belief in a string is 1 for a seed, else the confidence of its best pattern. Scores run to and fro until
+they rise no more. Strings that are believed in count as seeds for further patterns, which so come in round by round. A
+pattern needs several different seeds, as one document's habit is no evidence. Strings in high-confidence patterns are
+identifiers, of the kind of most of the pattern's seeds.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 #: Words with a digit or an at sign: what may be an identifier.
-TOKEN = rf"{WORD_CLASS}*[0-9@]{WORD_CLASS}*+"
+TOKEN = rf"(?<!{WORD_CLASS}){WORD_CLASS}*[0-9@]{WORD_CLASS}*+"
 #: A label glued to what follows it, in any script.
 LABEL = r"\p{L}[\p{L}\p{M}_.-]*[=:]"
-#: Different seeds that a pattern needs, confidence that a pattern and an identifier need, and rounds of scoring.
+#: Different seeds that a pattern needs, confidence that a pattern and an identifier need; scoring ends once no
+#: confidence rises by more than this.
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.6
-ROUNDS = 3
+RISE = 0.02
 #: Up to so many patterns (some 50 bytes each) are broadcast to the count of all words; beyond, all words are counted.
 MAX_BROADCAST_PATTERNS = 200_000
 #: Up to so many keys of repeated rows (some 20 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -46,9 +48,11 @@ MAX_BROADCAST_REPEATS = 200_000
 
 
 def _found(text: Column, pattern: str, guard: Column, kind: str) -> Column:
-    """Matches as an array of (kind, gap before the match, match)."""
+    """Matches as an array of (kind, gap before the match, match); for words also the gap after the last, with no match."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, m: F.struct(F.lit(kind).alias("kind"), g.alias("gap"), m.alias("value")))
+    gaps = F.split(text, pattern, -1)
+    gaps = gaps if kind == "token" else F.slice(gaps, F.lit(1), F.size(hits))
+    pairs = F.zip_with(gaps, hits, lambda g, m: F.struct(F.lit(kind).alias("kind"), g.alias("gap"), m.alias("value")))
     return F.when(guard, pairs).otherwise(F.array().cast("array<struct<kind:string,gap:string,value:string>>"))
 
 
@@ -76,27 +80,35 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _matches(keyed: DataFrame, text: Column) -> DataFrame:
-    """All matches with their places: (_k, _k2, kind, at, gap, value, start, end); rows of equal keys count once.
+    """All matches with their places: (_k, _k2, kind, at, gap, value, before, after, start, end); rows of equal keys count once.
 
-    Kind ``token`` has the identifier-like words. Code points, end exclusive. A text's matches are numbered by a window
-    over that text alone.
+    Kind ``token`` has the identifier-like words, with the words before and after them. Code points, end exclusive. A
+    text's matches are numbered by a window over that text alone.
     """
     arrays = [_found(text, PATTERNS[k], text.rlike(GUARDS[k]), k) for k in KINDS] + [_found(text, TOKEN, text.rlike("[0-9@]"), "token")]
     source = keyed.where(text.rlike("[0-9@]")).select("_k", "_k2", F.array(*arrays).alias("_all"))
     rows = source.select("_k", "_k2", F.explode("_all").alias("_one")).select("_k", "_k2", F.posexplode("_one").alias("at", "m"))
-    # The gap's last word and length are all that is needed of it, and whether the word before is another token.
-    gap = F.col("m.gap")
-    last = F.regexp_extract(F.substring(gap, -400, 400), rf"({WORD_CLASS}+){WS_CLASS}+$", 1)
-    rows = rows.select("_k", "_k2", F.col("m.kind").alias("kind"), "at", F.length(gap).alias("gap"), last.alias("before"), (~gap.rlike(WORD_CLASS)).alias("next_to"), F.col("m.value").alias("value")).distinct()
+    # Of a gap its length, first and last word are all that is needed.
+    token = F.col("m.kind") == "token"
+    gap = F.translate("m.gap", "\t\n\x0b\x0c\r", "     ")
+    rows = rows.select(
+        "_k", "_k2", F.col("m.kind").alias("kind"), "at", F.length("m.gap").alias("gap"), F.col("m.value").alias("value"),
+        F.when(token, F.substring_index(F.ltrim(gap), " ", 1)).alias("first"), F.when(token, F.substring_index(F.rtrim(gap), " ", -1)).alias("last"),
+    ).distinct()
     w = Window.partitionBy("_k", "_k2", "kind").orderBy("at")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("before", F.when((F.col("kind") == "token") & F.col("next_to"), F.coalesce(F.lag("value").over(w), F.lit(""))).otherwise(F.col("before"))).drop("next_to")
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(so_far))
-    return rows.withColumn("start", F.col("end") - F.length("value")).where((F.col("kind") == "token") | _valid(F.col("kind"), F.col("value")))
+    word = lambda own, other: F.when(F.length(own) > 0, own).otherwise(other)
+    rows = rows.withColumns(
+        {
+            "before": word(F.col("last"), F.lag("value").over(w)), "after": word(F.lead("first").over(w), F.lead("value").over(w)),
+            "end": F.sum(F.col("gap") + F.length("value")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    ).drop("first", "last")
+    rows = rows.where("value IS NOT NULL").withColumn("start", F.col("end") - F.length("value"))
+    return rows.where((F.col("kind") == "token") | _valid(F.col("kind"), F.col("value")))
 
 
 def _instances(matches: DataFrame) -> DataFrame:
-    """Identifier-like words: their pattern, core string and span, and the kind of the seed they start (null: no seed)."""
+    """Identifier-like words: their patterns, core string and span, and the kind of the seed they start (null: no seed)."""
     w = Window.partitionBy("_k", "_k2").orderBy("start", "order")
     base = F.col("kind") != "token"
     m = matches.withColumn("order", F.when(base, 1).otherwise(0)).withColumns(
@@ -111,55 +123,78 @@ def _instances(matches: DataFrame) -> DataFrame:
     glued = F.when(starts_seed, (F.length(label) > 0) & (F.col("next_start") - F.col("start") >= F.length(label))).otherwise(F.length(label) > 0)
     core = F.regexp_replace(F.regexp_replace("value", rf"^[(\[\"'<]*(?:{LABEL})?[(\[\"'<]*", ""), r"[.,;:!?)\]\"'>]+$", "")
     skipped = F.length(F.regexp_extract("value", rf"^[(\[\"'<]*(?:{LABEL})?[(\[\"'<]*", 0))
-    pattern = F.when(glued, F.concat(F.lit("in "), F.lower(label))).when(F.length("before") > 0, F.concat(F.lit("after "), F.lower("before")))
+    # A seed of several words hasn't its own next word here, but it is one word long for most kinds.
+    whole = ~starts_seed | (F.length("next_value") + F.col("next_start") <= F.col("end"))
+    patterns = F.array_compact(
+        F.array(
+            F.when(glued, F.concat(F.lit("in "), F.lower(label))).when(F.length("before") > 0, F.concat(F.lit("after "), F.lower("before"))),
+            F.when((F.length("after") > 0) & whole, F.concat(F.lit("before "), F.lower("after"))),
+        )
+    )
     t = t.select(
-        "_k", "_k2", pattern.alias("pattern"),
+        "_k", "_k2", patterns.alias("patterns"),
         F.when(starts_seed, F.col("next_value")).otherwise(core).alias("core"),
         F.when(starts_seed, F.col("next_kind")).alias("seed"),
         (F.col("start") + skipped).alias("start"),
-    ).where("pattern IS NOT NULL")
+    ).where(F.size("patterns") > 0)
     like = F.col("seed").isNotNull() | (F.length("core") >= 6) & ((F.length(_digits(F.col("core"))) >= 3) | F.col("core").contains("@"))
     return t.where(like).withColumn("end", F.col("start") + F.length("core"))
 
 
-def _word_patterns(text: Column) -> Column:
-    """Every pattern of every word of a text that has one after it, or a label glued to it."""
-    words = F.split(F.trim(text, F.lit(" \t\n\x0b\x0c\r")), f"{WS_CLASS}+", -1)
-    return F.concat(
-        F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: F.concat(F.lit("after "), F.lower(w))),
-        F.transform(F.filter(words, lambda w: w.rlike(rf"^[(\[\"']*{LABEL}.")), lambda w: F.concat(F.lit("in "), F.lower(F.regexp_extract(w, rf"^[(\[\"']*({LABEL})", 1)))),
-    )
-
-
-def discovered(keyed: DataFrame, text: Column, matches: DataFrame) -> DataFrame:
-    """Spans (_k, _k2, kind, start, end) that high-confidence patterns add to the fixed ones."""
-    instances = _instances(matches)
-    seeded = instances.where("seed IS NOT NULL").groupBy("pattern", "seed").agg(F.count_distinct("core").alias("seeds"))
-    patterns = seeded.groupBy("pattern").agg(F.max(F.struct("seeds", "seed")).alias("m"), F.sum("seeds").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    patterns = checkpointed(patterns.select("pattern", F.col("m.seed").alias("kind")))
+def _totals(keyed: DataFrame, text: Column, patterns: DataFrame) -> DataFrame:
+    """``pattern``, ``total``: how many words of the corpus each of the patterns goes with. Rows of equal keys count once."""
+    key = F.when(F.col("pattern").startswith("in "), F.col("pattern")).otherwise(F.regexp_replace("pattern", "^[a-z]+ ", ""))
+    patterns = checkpointed(patterns.select("pattern", key.alias("key")))
     few = patterns.limit(MAX_BROADCAST_PATTERNS + 1).count() <= MAX_BROADCAST_PATTERNS
-    # Rows of equal keys count once, as among the instances: their words are counted apart by the rows of their key.
+    # Rows of equal keys are counted apart, by the rows of their key.
     repeats = checkpointed(keyed.groupBy("_k", "_k2").agg(F.count("*").alias("copies")).where("copies > 1"))
     n_repeats = repeats.limit(MAX_BROADCAST_REPEATS + 1).count()
-    texts = keyed.select("_k", "_k2", text.alias("_text"))
+    texts = keyed.select("_k", "_k2", F.split(F.trim(text, F.lit(" \t\n\x0b\x0c\r")), f"{WS_CLASS}+", -1).alias("_words"))
     if n_repeats:
         texts = texts.join(F.broadcast(repeats) if n_repeats <= MAX_BROADCAST_REPEATS else repeats, ["_k", "_k2"], "left")
     copies = F.coalesce("copies", F.lit(1)) if n_repeats else F.lit(1)
-    words = texts.select(copies.cast("long").alias("copies"), F.explode(_word_patterns(F.col("_text"))).alias("pattern"))
-    if few:
-        words = words.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
-    totals = words.groupBy("pattern", "copies").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.sum(F.expr("n div copies")).alias("total"))
-    if not few:
-        totals = totals.join(patterns.select("pattern"), "pattern", "left_semi")
-    patterns = checkpointed(patterns.join(totals, "pattern"))
-    edges = checkpointed(instances.join(patterns, "pattern", "left_semi").groupBy("pattern", "core").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    scores = patterns.select("pattern", F.lit(0.0).alias("confidence"))
-    for _ in range(ROUNDS):
-        known = edges.join(scores, "pattern").groupBy("core").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("confidence"))).alias("belief"))
-        mass = edges.join(known, "core").groupBy("pattern").agg(F.sum(F.col("n") * F.col("belief")).alias("mass"))
-        scores = checkpointed(patterns.join(mass, "pattern").select("pattern", F.least(F.lit(1.0), F.col("mass") / F.greatest("total", F.lit(1))).alias("confidence")))
-    good = patterns.join(scores, "pattern").where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind")
-    return instances.where("seed IS NULL").join(good, "pattern").select("_k", "_k2", "kind", "start", "end")
+    words = texts.select(copies.cast("long").alias("copies"), (F.size("_words") - 1).alias("_last"), F.posexplode("_words").alias("_at", "_word"))
+    label = F.when(F.col("_word").rlike(rf"^[(\[\"']*{LABEL}."), F.concat(F.lit("in "), F.lower(F.regexp_extract("_word", rf"^[(\[\"']*({LABEL})", 1))))
+    keys = F.when(F.col("_word").rlike("[=:]"), F.array(F.lower("_word"), label)).otherwise(F.array(F.lower("_word")))
+    words = words.select("copies", (F.col("_at") < F.col("_last")).alias("next"), (F.col("_at") > 0).alias("previous"), F.explode(keys).alias("key"))
+    known = patterns.select("key").distinct()
+    words = words.join(F.broadcast(known) if few else known, "key", "left_semi")
+    counts = words.groupBy("key", "copies").agg(F.count_if("next").alias("a"), F.count_if("previous").alias("b"), F.count("*").alias("i"))
+    counts = counts.groupBy("key").agg(*[F.sum(F.expr(f"{c} div copies")).alias(c) for c in ("a", "b", "i")])
+    side = F.substring("pattern", 1, 1)
+    total = F.when(side == "i", F.col("i")).when(F.col("pattern").startswith("after "), F.col("a")).otherwise(F.col("b"))
+    return patterns.join(counts, "key").select("pattern", total.alias("total"))
+
+
+def discovered(keyed: DataFrame, text: Column, matches: DataFrame) -> DataFrame:
+    """Spans (_k, _k2, kind, start, end) that high-confidence patterns add to the fixed ones."""
+    instances = checkpointed(_instances(matches))
+    edges = instances.select(F.explode("patterns").alias("pattern"), "core", "seed").groupBy("pattern", "core").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = checkpointed(edges)
+    strong = edges.groupBy("pattern").agg(F.count("*").alias("cores")).where(F.col("cores") >= MIN_SEEDS).select("pattern")
+    totals = checkpointed(_totals(keyed, text, strong))
+    edges = checkpointed(edges.join(totals, "pattern"))
+    beliefs = checkpointed(edges.groupBy("core").agg(F.max("seed").alias("kind"), F.max("seed").isNotNull().alias("is_seed")).withColumn("belief", F.when(F.col("is_seed"), 1.0).otherwise(0.0)))
+    scores = totals.select("pattern", F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("kind"))
+    while True:
+        by_kind = edges.select("pattern", "core", "n", "total").join(beliefs, "core").groupBy("pattern", "total", "kind").agg(
+            F.count_if(F.col("belief") >= MIN_CONFIDENCE).alias("seeds"), F.sum(F.col("n") * F.col("belief")).alias("mass")
+        )
+        new = by_kind.groupBy("pattern", "total").agg(F.max(F.struct("seeds", "kind")).alias("m"), F.sum("seeds").alias("seeds"), F.sum("mass").alias("mass"))
+        confidence = F.when(F.col("seeds") >= MIN_SEEDS, F.least(F.lit(1.0), F.col("mass") / F.greatest("total", F.lit(1)))).otherwise(0.0)
+        new = checkpointed(new.select("pattern", confidence.alias("confidence"), F.col("m.kind").alias("kind")))
+        rise = new.join(scores.select("pattern", F.col("confidence").alias("old")), "pattern").agg(F.max(F.col("confidence") - F.col("old"))).first()[0]
+        scores = new
+        if rise is None or rise <= RISE:
+            break
+        best = edges.select("pattern", "core").join(scores.where("confidence > 0"), "pattern").groupBy("core").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+        told = beliefs.join(best, "core", "left")
+        beliefs = checkpointed(
+            told.select("core", F.when(F.col("is_seed"), F.col("kind")).otherwise(F.col("b.kind")).alias("kind"), "is_seed", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("b.confidence", F.lit(0.0))).alias("belief"))
+        )
+    good = scores.where(F.col("confidence") >= MIN_CONFIDENCE)
+    spans = instances.where("seed IS NULL").select("_k", "_k2", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    return spans.groupBy("_k", "_k2", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("_k", "_k2", "b.kind", "start", "end")
 
 
 def personal_spans(keyed: DataFrame, text: Column) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,3 +123,28 @@ def fill(sizes, leads, max_tokens, max_segments, max_loss):
             pool.remove(i)
         out.append(pieces)
     return out
+
+
+def minimum_covariance(x, support, floor, max_scale, median, inner, starts=300):
+    """Location and scatter of the subset of least determinant over many random starts, then of all within ``inner``; the scale."""
+    r, n, best = np.random.default_rng(1), len(x), None
+    h = int(support * n)
+    scatter = lambda y: np.cov(y.T, bias=True) + np.diag(np.square(floor))
+    d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(starts):
+        own = x[r.choice(n, x.shape[1] + 1, replace=False)]
+        m, c, before = own.mean(0), scatter(own), np.inf
+        while True:
+            own = x[np.argsort(d2(m, c))[:h]]
+            m, c = own.mean(0), scatter(own)
+            now = np.linalg.slogdet(c)[1]
+            if now >= before - 1e-9:
+                break
+            before = now
+        if best is None or now < best[0]:
+            best = (now, m, c)
+    scale = lambda m, c: min(max_scale, median / np.median(d2(m, c)))
+    _, m, c = best
+    own = x[d2(m, c) * scale(m, c) <= inner]
+    m, c = own.mean(0), scatter(own)
+    return m, c, scale(m, c)

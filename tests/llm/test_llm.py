@@ -191,6 +191,32 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert quality.filter_quality(few).count() == 10  # too few for estimates of their own
 
 
+def test_estimates_are_those_of_many_random_starts(spark):
+    g = np.random.default_rng(8)
+    groups = {}
+    for name, share, shift in (("clean", 0.0, 0), ("far", 0.2, 9), ("cluster", 0.23, 4), ("flat", 0.1, 6)):
+        mix = g.normal(size=(5, 5)) + 2 * np.eye(5)
+        x = g.normal(size=(500, 5)) @ mix.T + g.normal(size=5) * 10
+        if name == "flat":
+            x[:, 3] = 1.0
+        n = int(share * 500)
+        x[:n] += shift * (np.abs(x).std(0) + 0.3) * np.array([1, -1, 1, 1, -1]) + g.normal(size=(n, 5)) * 0.1
+        groups[name] = x
+    rows = [("en", name, *map(float, v)) for name, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "_lang string, _source string, " + ", ".join(f"x{i} double" for i in range(5)))
+    for few in (True, False):
+        got = {r._source: r for r in quality.minimum_covariance(df, few).collect()}
+        for name, x in groups.items():
+            m, c, scale = brute.minimum_covariance(x, quality.SUPPORT, quality.FLOOR, quality.MAX_SCALE, quality.CHI2_MEDIAN, quality.CHI2_INNER)
+            own = got[name]
+            low = np.array([[own[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+            off = np.array([own[f"m{i}"] for i in range(5)]) - m
+            assert off @ np.linalg.inv(c) @ off < 0.02 and abs(np.linalg.slogdet(low @ low.T)[1] - np.linalg.slogdet(c)[1]) < 0.35 and abs(own.scale / scale - 1) < 0.15
+            d2 = lambda mean, cov, k, x=x: k * np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            far = d2(m, c, scale) > 40
+            assert (far == (d2(m + off, low @ low.T, own.scale) > 40)).mean() > 0.99 and far.sum() >= 98 * (name == "far")
+
+
 def test_outliers_of_small_groups_go(spark):
     r = random.Random(5)
     words = [f"word{i}" for i in range(900)]
