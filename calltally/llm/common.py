@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,20 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the shared folder of spark.checkpoint.dir (never local)."""
+    """``df`` with its lineage cut, kept in the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine (master ``local``) takes a temporary folder; any other has to name one.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="calltally-checkpoint-"))
+        if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="calltally-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

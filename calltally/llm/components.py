@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node``, ``label`` for every node of ``links`` (columns ``a``, ``b``); rounds of large and small stars.
 
     A round links each node's larger neighbours, then its smaller ones, to the smallest of them, which keeps
-    components as they are and takes logarithmically many rounds. Minima are partial sums on the map side, so a node
+    components as they are and takes logarithmically many rounds; they end when nothing changes any more. Minima are partial sums on the map side, so a node
     with very many links is no burden. Null nodes and self links are ignored; no links, no rows.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         state = (state["n"], state["h"])
         if state == before or state[0] == 0:

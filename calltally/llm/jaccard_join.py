@@ -9,8 +9,10 @@ leave room for the overlap. Counting all shingles first is what makes this work:
 hold comes last in their order, and a shingle found once in the corpus needs no list at all.
 
 Links are not expanded to pairs within a group of copies. Texts that are equal are counted once; members of a list are
-first held against one pivot of the list and the links' components taken; only pairs of a list that are still in
-different components are then held against each other, all of them. So no link between different texts is lost.
+first held against one pivot of the list and the links' components taken. What is left are the pairs of a list that are
+still in different components. Lists with few of them a member are done with by checking those. A longer list is split:
+of two sets that link the first k common shingles lie in prefixes longer by k - 1, so its members meet again in lists of
+it and one later shingle, with a pivot each, and again in lists of three. So no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD_CLASS, checkpointed, packed, partitions, spread, table
 from .components import components
-from .rolling import U, Words, cut_points, decode, edges, encode, windows
+from .rolling import U, Words, cut_points, decode, edges, encode, mix, windows
 
 SHINGLE = 4
 PERCENT = 85
@@ -38,6 +40,12 @@ TOKEN_BITS = 48  # in the count, where a collision only makes a shingle look mor
 SET_BITS = 56  # in the exact check of a pair
 #: Sets up to this size are considered for enumeration; the cost decides how far it goes.
 LARGEST_SMALL = 40
+#: What a pair's check costs, in subsets: two sets are fetched and intersected for it, where a subset is one short row.
+PAIR_COST = 10
+#: Pairs of different components that a list may hold for each of its members before it is split, and shingles that the
+#: members of a list share at most: such lists are done with by checking their pairs, however many.
+MOST_PAIRS = 64
+MOST_SHARED = 3
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -56,6 +64,18 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def packed_tokens(h: np.ndarray) -> bytes:
+    """A set's shingles in the common order, each by its upper SET_BITS."""
+    return np.ascontiguousarray((h >> U(64 - SET_BITS)).view(np.uint8).reshape(-1, 8)[:, : SET_BITS // 8]).tobytes()
+
+
+def tokens_of(blob: bytes) -> np.ndarray:
+    own = np.frombuffer(blob, np.uint8).reshape(-1, SET_BITS // 8)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, : SET_BITS // 8] = own
+    return out.view(np.uint64).ravel()
+
+
 class _Sets:
     """The shingle sets of a group's texts: ``doc`` and ``h``, ordered by both."""
 
@@ -161,7 +181,7 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text_
                     order = np.lexsort((h, r))[single:p]
                     lists = [{"token": t, "pos": single + k} for k, t in enumerate(h[order].view(np.int64).tolist())]
                 node = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None
-                tokens = encode(h >> U(64 - SET_BITS)) if lists or 0 < n <= LARGEST_SMALL and r.all() else None
+                tokens = packed_tokens(h[np.lexsort((h, r))]) if lists else None  # no list: too many shingles found once to link
                 for c, v in zip(cols, (t1, t2, least[(t1, t2)], node, n, lists, tokens), strict=True):
                     c.append(v)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -173,12 +193,15 @@ def shingle_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text_
 
 
 def boundary(sets: DataFrame, lists: DataFrame, percent: int) -> int:
-    """The largest size up to which enumerating subsets costs no more than scanning lists, over the sets there are."""
+    """The largest size up to which enumerating subsets costs no more than scanning lists, over the sets there are.
+
+    In a list a set costs a row and, unless it is alone there, the check against the list's pivot.
+    """
     sizes = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
-    per_list = lists.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 1.0
+    met = lists.groupBy("token").count().agg(F.sum(F.when(F.col("count") > 1, F.col("count"))) / F.sum("count")).first()[0] or 0.0
     cost, best, at = 0.0, 0.0, 0
     for n in range(1, LARGEST_SMALL + 1):
-        cost += sizes.get(n, 0) * (subset_cost(n, percent) - prefix_length(n, percent) * per_list)
+        cost += sizes.get(n, 0) * (subset_cost(n, percent) - prefix_length(n, percent) * (1 + PAIR_COST * met))
         if cost <= best:
             best, at = cost, n
     return at
@@ -191,7 +214,7 @@ def _subset_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
         for b in parts:
             keys, nodes, large = [], [], []
             for node, n, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                tokens = decode(blob)
+                tokens = np.sort(tokens_of(blob))
                 for m in partner_sizes(n, percent):
                     c = least_overlap(n, m, percent)
                     if m > most or c > min(n, m):
@@ -211,18 +234,18 @@ def _subset_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
     return subsets.join(stars, "key").select(F.col("node").alias("a"), F.when(F.col("large"), F.col("pivot")).otherwise(F.col("other")).alias("b")).where("a <> b").distinct()
 
 
-def _may_link(percent: int, least_large: int) -> Column:
-    """Sizes and places of a list's shingle in sets a and b that allow a link."""
+def _may_link(percent: int, least_large: int, before: int = 0) -> Column:
+    """Sizes and places of a list's (last) shingle in sets a and b that allow a link, if they have so many in common before it."""
     n, m, i, j = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b"))
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
         & (F.greatest(n, m) > least_large)
-        & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
+        & ((100 + percent) * (before + F.least(n - i, m - j)) >= percent * (n + m))
     )
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs of sets that link, by their exact overlap."""
+    """The rows of ``pairs`` (columns a, b and others) whose sets link, by their exact overlap."""
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -230,15 +253,67 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             held: dict[bytes, np.ndarray] = {}
             for k, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
                 if y not in held:
-                    held = {y: decode(y)}
-                u, v = decode(x), held[y]
+                    held = {y: tokens_of(y)}
+                u, v = tokens_of(x), held[y]
                 overlap = len(np.intersect1d(u, v, assume_unique=True))
                 links[k] = (100 + percent) * overlap >= percent * (len(u) + len(v))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(links)), b.column("b").filter(pa.array(links))], ["a", "b"])
+            yield b.drop_columns(["x", "y"]).filter(pa.array(links))
 
     with_x = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = with_x.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    both = with_x.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select(*pairs.columns, "x", "y")
+    return both.mapInArrow(check, pairs.schema)
+
+
+def _side(rows: DataFrame, s: str) -> DataFrame:
+    return rows.select(F.col("key").alias(f"key_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("c").alias(f"c_{s}"))
+
+
+def _split_lists(rows: DataFrame, tokens: DataFrame, level: int, percent: int) -> DataFrame:
+    """Members of lists again in lists of one more shingle, later in the common order, within prefixes longer by one."""
+
+    def expand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            own = [b.column(k).to_pylist() for k in ("key", "n", "pos", "tokens")]
+            which, more, at = [], [], []
+            for i, (key, n, pos, blob) in enumerate(zip(*own, strict=True)):
+                later = np.arange(pos + 1, min(n, prefix_length(n, percent) + level - 1))
+                which.append(np.full(len(later), i))
+                more.append(mix(tokens_of(blob)[later] ^ mix(np.array([key], np.int64).view(U))).view(np.int64))
+                at.append(later)
+            if which:
+                take = pa.array(np.concatenate(which))
+                new = [pa.array(np.concatenate(more)), b.column("node").take(take), b.column("n").take(take), pa.array(np.concatenate(at).astype(np.int32)), b.column("c").take(take)]
+                yield pa.RecordBatch.from_arrays(new, ["key", "node", "n", "pos", "c"])
+
+    return rows.join(tokens, "node").select("key", "node", "n", "pos", "c", "tokens").mapInArrow(expand, "key long, node long, n int, pos int, c long")
+
+
+def _links_apart(rows: DataFrame, tokens: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links (``a``, ``b``) between the components ``c`` of the members of lists (``key``, ``node``, ``n``, ``pos``, ``c``)."""
+    found = None
+    level = 1
+    while True:
+        each = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
+        lists = each.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
+        lists = checkpointed(lists.where("parts > 1").select("key", (F.lit(level < MOST_SHARED) & (F.col("k") * F.col("k") - F.col("same") > 2 * MOST_PAIRS * F.col("k"))).alias("long"), F.col("m.c").alias("main")))
+        rows = checkpointed(rows.join(lists, "key"))
+        # Few pairs: those outside the largest component against all.
+        short = rows.where("NOT long")
+        pairs = _side(short.where("c <> main"), "a").join(_side(short, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") != F.col("c_b")) & _may_link(percent, most, level - 1))
+        long = rows.where("long").drop("long", "main")
+        more = level < MOST_SHARED and not long.isEmpty()
+        if more:
+            pivots = long.groupBy("key").agg(F.min(F.struct("pos", "node", "n", "c")).alias("p")).select("key", "p.*")
+            pairs = pairs.unionByName(_side(long, "a").join(_side(pivots, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") != F.col("c_b")) & _may_link(percent, most, level - 1)))
+        ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "c_a", "c_b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("c_b").alias("c_a"), F.col("c_a").alias("c_b")))
+        linked = _verified(pairs.select(ordered.alias("p")).select("p.*").distinct(), tokens, percent).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+        found = checkpointed(linked if found is None else found.unionByName(linked).distinct())
+        if not more:
+            return found
+        level += 1
+        near = components(found).select(F.col("node").alias("c"), "label")
+        rows = long.join(near, "c", "left").withColumn("c", F.coalesce("label", "c")).drop("label")
+        rows = _split_lists(rows, tokens, level, percent)
 
 
 def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,17 +339,9 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     first = _subset_links(sets, most, percent).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = components(_verified(first, tokens, percent))
 
-    # Pairs of a list in different components.
-    told = lists.join(near, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("c"))
-    told = checkpointed(told)
-    mixed = told.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
-    told = told.join(mixed, "token", "left_semi")
-    side = lambda s: told.select("token", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("c").alias(f"c_{s}"))
-    apart = (F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b")) & _may_link(percent, most)
-    left, right = side("a"), side("b").withColumnRenamed("token", "token_b")
-    rest = left.join(right, (F.col("token") == F.col("token_b")) & apart).select("a", "b", "c_a", "c_b").distinct()
-    rest = checkpointed(rest)
-    linked = _verified(rest.select("a", "b"), tokens, percent).join(rest, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    # Members of a list that are still in different components.
+    told = lists.join(near, "node", "left").select(F.col("token").alias("key"), "node", "n", "pos", F.coalesce("label", "node").alias("c"))
+    linked = _links_apart(checkpointed(told), tokens, percent, most)
     far = components(linked).select(F.col("node").alias("c"), F.col("label").alias("far"))
 
     nodes = sets.select("t1", "t2", "node", "n", "least_id").join(near, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label").join(far, "c", "left")

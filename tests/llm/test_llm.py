@@ -108,6 +108,42 @@ def test_jaccard_join_with_a_large_group_of_near_copies(spark):
     same(got, [(i, *x) for i, x in enumerate(brute.components(texts, list(range(len(texts))), 4, 85))])
 
 
+def test_lists_of_many_components_are_split(spark, monkeypatch):
+    """Documents of shared blocks: every list holds many that don't link, and some that do without their list's pivot."""
+    r = random.Random(12)
+    blocks = [" ".join(f"k{b}_{j}" for j in range(12)) for b in range(14)]
+    texts = [" ".join(blocks[b] for b in sorted(r.sample(range(14), 6))) for _ in range(150)]
+    for t in list(texts[::3]):
+        w = t.split()
+        w[r.randrange(len(w))] = "x"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, *x) for i, x in enumerate(brute.components(texts, list(range(len(texts))), 4, 85))]
+    levels = []
+    split = jaccard_join._split_lists
+    monkeypatch.setattr(jaccard_join, "_split_lists", lambda rows, tokens, level, percent: levels.append(level) or split(rows, tokens, level, percent))
+    for most in (64, 4):
+        levels.clear()
+        monkeypatch.setattr(jaccard_join, "MOST_PAIRS", most)
+        same([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link_documents(df).collect()], want)
+        assert bool(levels) == (most < 64)
+
+
+def test_small_sets_link_by_their_subsets(spark):
+    r = random.Random(13)
+    texts = [" ".join(f"s{j}" for j in range(i, i + r.randrange(9, 14))) for i in range(0, 400, 2)]
+    texts += [t + " more" for t in texts[::4]] + ["first " + t for t in texts[::5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, *x) for i, x in enumerate(brute.components(texts, list(range(len(texts))), 4, 85))]
+    same([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link_documents(df).collect()], want)
+    sets = jaccard_join.shingle_sets(df, 4, 85, "doc_id", "text").cache()
+    from pyspark.sql import functions as F
+
+    lists = sets.select("node", "n", F.explode("list").alias("e")).select("node", "n", "e.token", "e.pos")
+    most = jaccard_join.boundary(sets, lists, 85)
+    assert most >= 7 and jaccard_join._subset_links(sets, most, 85).count() > 20
+
+
 def test_small_sets_meet_in_subsets():
     assert jaccard_join.least_overlap(13, 13, 85) == 12 and jaccard_join.least_overlap(7, 7, 85) == 7
     assert jaccard_join.subset_cost(13, 85) > 13 and jaccard_join.prefix_length(20, 85) == 4
