@@ -44,7 +44,7 @@ LARGEST_SMALL = 40
 PAIR_COST = 10
 #: Pairs of different components that a list may hold for each of its members before it is split, and shingles that the
 #: members of a list share at most: such lists are done with by checking their pairs, however many.
-MOST_PAIRS = 64
+MOST_PAIRS = 4096
 MOST_SHARED = 3
 
 

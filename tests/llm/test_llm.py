@@ -122,7 +122,7 @@ def test_lists_of_many_components_are_split(spark, monkeypatch):
     levels = []
     split = jaccard_join._split_lists
     monkeypatch.setattr(jaccard_join, "_split_lists", lambda rows, tokens, level, percent: levels.append(level) or split(rows, tokens, level, percent))
-    for most in (64, 4):
+    for most in (4096, 4):
         levels.clear()
         monkeypatch.setattr(jaccard_join, "MOST_PAIRS", most)
         same([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link_documents(df).collect()], want)
