@@ -734,7 +734,13 @@ def hashing_embedding(spark, sf_dir):
 
 
 #: Words that teach nothing (fixed values).
-STOP = tuple("the this that with into from your you our for and but not please help need want make using use when what should could would there here just like some more very also then than them they have has can will are was were its it's code function method class file line issue thing stuff about which where how".split())
+STOP = (
+    "the", "this", "that", "with", "into", "from", "your", "you", "our", "for", "and", "but", "not", "please",
+    "help", "need", "want", "make", "using", "use", "when", "what", "should", "could", "would", "there",
+    "here", "just", "like", "some", "more", "very", "also", "then", "than", "them", "they", "have", "has",
+    "can", "will", "are", "was", "were", "its", "it's", "code", "function", "method", "class", "file", "line",
+    "issue", "thing", "stuff", "about", "which", "where", "how",
+)
 
 
 def _labelled(spark, sf_dir):

@@ -21,7 +21,7 @@ price AS (SELECT k AS price_key, a::DOUBLE AS p_in, b::DOUBLE AS p_out, c::DOUBL
 objective(objective_id, objective_label, client, ord, budget) AS (VALUES {_values(dims.OBJECTIVES)}),
 prefix(prefix, objective_id) AS (VALUES {_values(dims.PREFIXES)}),
 repo_map(repo_key, objective_id) AS (VALUES {_values([(r.lower(), o) for r, o in dims.REPOS])}),
-heads(head, head_work_type) AS (VALUES {_values([(h, w) for w, hs in dims.BRANCH_HEADS.items() for h in hs.split()])})"""
+heads(head, head_work_type) AS (VALUES {_values(dims.BRANCH_HEADS)})"""
 
 NORM_SQL = "regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(string_split(lower(trim(m)), '/')[-1], 'anthropic.', ''), 'google.', ''), 'openai.', ''), '^us\\.', ''), '^eu\\.', ''), '^apac\\.', '')"
 

@@ -12,38 +12,54 @@ _COUNTS = T.MapType(T.StringType(), T.LongType())
 #: Column names and types of the derived record (fixed values).
 DERIVED = T.StructType(
     [
-        T.StructField(name, kind)
-        for kind, names in [
-            (_S, "event_id"),
-            (T.TimestampType(), "ts"),
-            (_S, "tier provider actor_pseudonym request_model"),
-            (_L, "input_tokens output_tokens duplicate_history_tokens cache_read_tokens cache_creation_tokens"),
-            (_B, "tokens_estimated"),
-            (_D, "cost_usd"),
-            (_B, "cost_priced"),
-            (_S, "tool app_category repo host_os"),
-            (T.ArrayType(_D), "embedding"),
-            (_D, "quality_score acceptance"),
-            (_B, "is_retry_loop"),
-            (_D, "retry_similarity"),
-            (_S, "objective_id objective_label"),
-            (_B, "is_orphan"),
-            (_S, "attribution_method"),
-            (_D, "attribution_confidence"),
-            (_S, "ticket_id work_type work_type_source residency tenant_id"),
-            (_L, "saved_input_tokens"),
-            (T.ArrayType(_S), "compression"),
-            (_COUNTS, "compression_detail shadow_savings"),
-            (_B, "served_from_cache"),
-            (_S, "language original_model route_target"),
-            (_D, "route_saved_usd route_shadow_usd"),
-            (_S, "tm_tier"),
-            (_D, "tm_similarity"),
-            (_B, "tm_same_language"),
-            (_S, "tm_solver"),
-            (_D, "tm_shadow_usd"),
-        ]
-        for name in names.split()
+        T.StructField("event_id", _S),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("tier", _S),
+        T.StructField("provider", _S),
+        T.StructField("actor_pseudonym", _S),
+        T.StructField("request_model", _S),
+        T.StructField("input_tokens", _L),
+        T.StructField("output_tokens", _L),
+        T.StructField("duplicate_history_tokens", _L),
+        T.StructField("cache_read_tokens", _L),
+        T.StructField("cache_creation_tokens", _L),
+        T.StructField("tokens_estimated", _B),
+        T.StructField("cost_usd", _D),
+        T.StructField("cost_priced", _B),
+        T.StructField("tool", _S),
+        T.StructField("app_category", _S),
+        T.StructField("repo", _S),
+        T.StructField("host_os", _S),
+        T.StructField("embedding", T.ArrayType(_D)),
+        T.StructField("quality_score", _D),
+        T.StructField("acceptance", _D),
+        T.StructField("is_retry_loop", _B),
+        T.StructField("retry_similarity", _D),
+        T.StructField("objective_id", _S),
+        T.StructField("objective_label", _S),
+        T.StructField("is_orphan", _B),
+        T.StructField("attribution_method", _S),
+        T.StructField("attribution_confidence", _D),
+        T.StructField("ticket_id", _S),
+        T.StructField("work_type", _S),
+        T.StructField("work_type_source", _S),
+        T.StructField("residency", _S),
+        T.StructField("tenant_id", _S),
+        T.StructField("saved_input_tokens", _L),
+        T.StructField("compression", T.ArrayType(_S)),
+        T.StructField("compression_detail", _COUNTS),
+        T.StructField("shadow_savings", _COUNTS),
+        T.StructField("served_from_cache", _B),
+        T.StructField("language", _S),
+        T.StructField("original_model", _S),
+        T.StructField("route_target", _S),
+        T.StructField("route_saved_usd", _D),
+        T.StructField("route_shadow_usd", _D),
+        T.StructField("tm_tier", _S),
+        T.StructField("tm_similarity", _D),
+        T.StructField("tm_same_language", _B),
+        T.StructField("tm_solver", _S),
+        T.StructField("tm_shadow_usd", _D),
     ]
 )
 

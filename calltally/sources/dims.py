@@ -33,16 +33,40 @@ PRICES = [
 ]
 
 #: Branch head to work type (fixed values).
-BRANCH_HEADS = {
-    "feature": "feature feat feature-new new",
-    "fix": "fix bug bugfix hotfix patch",
-    "refactor": "refactor refac cleanup tidy",
-    "perf": "perf optimize",
-    "chore": "chore build ci ops deps release",
-    "exploration": "spike poc prototype experiment explore research",
-    "docs": "docs doc",
-    "test": "test tests qa",
-}
+BRANCH_HEADS = [
+    ("feature", "feature"),
+    ("feat", "feature"),
+    ("feature-new", "feature"),
+    ("new", "feature"),
+    ("fix", "fix"),
+    ("bug", "fix"),
+    ("bugfix", "fix"),
+    ("hotfix", "fix"),
+    ("patch", "fix"),
+    ("refactor", "refactor"),
+    ("refac", "refactor"),
+    ("cleanup", "refactor"),
+    ("tidy", "refactor"),
+    ("perf", "perf"),
+    ("optimize", "perf"),
+    ("chore", "chore"),
+    ("build", "chore"),
+    ("ci", "chore"),
+    ("ops", "chore"),
+    ("deps", "chore"),
+    ("release", "chore"),
+    ("spike", "exploration"),
+    ("poc", "exploration"),
+    ("prototype", "exploration"),
+    ("experiment", "exploration"),
+    ("explore", "exploration"),
+    ("research", "exploration"),
+    ("docs", "docs"),
+    ("doc", "docs"),
+    ("test", "test"),
+    ("tests", "test"),
+    ("qa", "test"),
+]
 NET_NEW = ("feature", "exploration")
 MAINTENANCE = ("fix", "refactor", "perf", "chore", "docs", "test")
 
@@ -58,7 +82,7 @@ def prices(spark: SparkSession, rows: Iterable[tuple] = PRICES) -> DataFrame:
 
 
 def branch_heads(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, w) for w, heads in BRANCH_HEADS.items() for h in heads.split()], "head string, head_work_type string")
+    return spark.createDataFrame(BRANCH_HEADS, "head string, head_work_type string")
 
 
 def objectives(spark: SparkSession, rows: Iterable[tuple] = OBJECTIVES) -> DataFrame:
@@ -73,6 +97,24 @@ def repos(spark: SparkSession, rows: Iterable[tuple] = REPOS) -> DataFrame:
     return spark.createDataFrame([(r.lower(), o) for r, o in rows], "repo_key string, objective_id string")
 
 
+def principals(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
+    """Registered people from a parsed principals file: pseudonym, display name, role, tenant and organisation; never tokens.
+
+    The role defaults to developer, the tenant to ``default``, the organisation to the tenant. Entries without a subject
+    are passed over; of entries with one subject the last counts.
+    """
+    of = {str(r["subject"]): r for r in rows if r.get("subject")}
+    listed = [(k, r.get("display_name") or k, r.get("role") or "developer", r.get("tenant_id") or "default", r.get("org") or r.get("tenant_id") or "default") for k, r in of.items()]
+    return with_pseudonyms(spark.createDataFrame(listed, "subject string, display_name string, role string, tenant_id string, org string"))
+
+
+def with_pseudonyms(people: DataFrame) -> DataFrame:
+    """``subject`` replaced by its pseudonym."""
+    from ..functions.privacy import pseudonym
+
+    return people.select(pseudonym(F.col("subject")).alias("pseudonym"), *[c for c in people.columns if c != "subject"])
+
+
 def knowledge_graph(spark: SparkSession, graph: dict) -> dict:
     """Dims from a parsed graph file: objectives, repos, ticket prefixes (case-folded), threshold (kept in (0, 1])."""
     listed = [(str(o["id"]), o.get("label", str(o["id"])), o.get("client"), i, o.get("monthly_budget_usd")) for i, o in enumerate(graph.get("objectives") or [])]
