@@ -195,6 +195,21 @@ def memory_totals(rows: DataFrame) -> DataFrame:
     return rows.where("tm_tier IS NOT NULL").groupBy("tm_tier").agg(F.count("*").alias("calls"), money(F.sum("tm_shadow_usd")).alias("shadow_usd"))
 
 
+def actor_savings(rows: DataFrame) -> DataFrame:
+    """Each person's routing savings, realised and possible, and routed calls."""
+    return rows.groupBy("actor_pseudonym").agg(
+        money(F.sum("route_saved_usd")).alias("realised"), money(F.sum("route_shadow_usd")).alias("shadow"), F.count("route_target").alias("routed_calls")
+    )
+
+
+def developer_report(rows: DataFrame) -> DataFrame:
+    """Every person's own summary with savings, one row each."""
+    own = rows.groupBy("actor_pseudonym").agg(
+        F.count("*").alias("calls"), F.sum(tokens()).alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_if("is_retry_loop").alias("retries"), F.sum("duplicate_history_tokens").alias("dup_tokens")
+    )
+    return own.join(actor_savings(rows), "actor_pseudonym")
+
+
 def noisy_total(rows: DataFrame, name: str, k: int = K) -> DataFrame:
     return rows.agg(F.round(F.sum("cost_usd"), 4).alias("c"), F.count_distinct("actor_pseudonym").alias("actors")).select(noisy(F.col("c"), F.col("actors"), F.lit(name), k).alias("noisy_cost"))
 

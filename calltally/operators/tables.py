@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import csv_safe
+from ..functions.columns import cost_band, csv_safe
+from ..functions.text import redact_patterns
 from ..sources.calls import latest
 from . import pricing
 
@@ -112,3 +113,20 @@ def capsules(rows: DataFrame) -> DataFrame:
     """Latest content-free facts of how someone solved an objective."""
     solved = rows.where("NOT is_retry_loop AND output_tokens > 0 AND objective_id IS NOT NULL")
     return latest(solved.select("actor_pseudonym", "objective_id", "request_model", "work_type", "cost_usd", "ts", "event_id"), ["actor_pseudonym", "objective_id"], ["ts", "event_id"])
+
+
+def with_capsules(matches: DataFrame, capsules: DataFrame) -> DataFrame:
+    """Matches with the peer's capsule on their objective; only where one side had solved it."""
+    c = capsules.select(F.col("actor_pseudonym").alias("peer"), "objective_id", F.col("request_model").alias("capsule_model"), cost_band(F.col("cost_usd")).alias("capsule_band"))
+    out = matches.join(c, ["peer", "objective_id"], "left")
+    solved = F.col("mode") == "solved_reuse"
+    return out.withColumns({k: F.when(solved, F.col(k)) for k in ("capsule_model", "capsule_band")})
+
+
+#: What may hold free text on inbound rows.
+SLUGS = ("repo", "objective_label", "ticket_id", "work_type", "tool")
+
+
+def redact_slugs(rows: DataFrame, columns: tuple[str, ...] = SLUGS) -> DataFrame:
+    """Slug columns with secrets and personal data replaced, whatever the sender did."""
+    return rows.withColumns({c: redact_patterns(F.col(c)) for c in columns if c in rows.columns})

@@ -609,11 +609,46 @@ def routing(spark, sf_dir):
     return pricing.route_calls(_requests(facts(spark, sf_dir)), dims.prices(spark)).select("event_id", "difficulty", "route_target", "route_saving_usd")
 
 
-@q()
-def routing_totals(spark, sf_dir):
+_SAVED = _ROUTED + """, saved AS (SELECT pick.*, CASE WHEN route_target IS NULL THEN 0.0 ELSE greatest(0.0::DOUBLE, round(cost_usd - coalesce(round(input_tokens / 1000000.0::DOUBLE * p_in + output_tokens / 1000000.0::DOUBLE * p_out + (cache_read_tokens / 1000000.0::DOUBLE * p_cr + cache_creation_tokens / 1000000.0::DOUBLE * p_cw) + 1e-12, 6), 0.0) + 1e-12, 6)) END::DOUBLE AS saving,
+  route_target IS NOT NULL AND input_tokens % 2 = 0 AS sent
+ FROM pick LEFT JOIN price ON price_key = CASE route_target WHEN 'claude-haiku-4-5' THEN 'claude-haiku-4' WHEN 'gpt-4o-mini' THEN 'gpt-4o-mini' WHEN 'gemini-2.5-flash' THEN 'gemini-2.5-flash' END)
+"""
+_SAVED_SUMS = f"{MONEY.format('sum(saving) FILTER (sent)')} AS realised, {MONEY.format('sum(saving) FILTER (NOT sent)')} AS shadow, count(route_target) AS routed_calls"
+
+
+def _saved(spark, sf_dir):
     r = pricing.route_calls(_requests(facts(spark, sf_dir)), dims.prices(spark))
     r = r.withColumn("original_model", F.col("request_model")).withColumn("request_model", F.when(F.col("input_tokens") % 2 == 0, F.coalesce("route_target", "request_model")).otherwise(F.col("request_model")))
-    return A.routing_totals(tables.rederive_routing(r.drop("route_saving_usd"), dims.prices(spark)))
+    return tables.rederive_routing(r.drop("route_saving_usd"), dims.prices(spark))
+
+
+@q(_SAVED + f"SELECT {_SAVED_SUMS} FROM saved")
+def routing_totals(spark, sf_dir):
+    return A.routing_totals(_saved(spark, sf_dir))
+
+
+@q(_SAVED + f"SELECT actor_pseudonym, {_SAVED_SUMS} FROM saved GROUP BY 1")
+def actor_savings(spark, sf_dir):
+    return A.actor_savings(_saved(spark, sf_dir))
+
+
+@q(_SAVED + f"SELECT actor_pseudonym, count(*) AS calls, sum{TOK}::BIGINT AS tokens, {MONEY.format('sum(cost_usd)')} AS cost, count(*) FILTER (is_retry_loop) AS retries, sum(duplicate_history_tokens)::BIGINT AS dup_tokens, {_SAVED_SUMS} FROM saved GROUP BY 1")
+def developer_report(spark, sf_dir):
+    return A.developer_report(_saved(spark, sf_dir))
+
+
+@q(f"SELECT 'px_' || substr({hmac_sql(chr(39) + P.SALT + ':' + chr(39) + ' || c_name')}, 1, 20) AS pseudonym, c_name AS display_name, n_name AS tenant_id FROM customer JOIN nation ON c_nationkey = n_nationkey", fact=False)
+def principals(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return dims.with_pseudonyms(people.select(F.col("c_name").alias("subject"), F.col("c_name").alias("display_name"), F.col("n_name").alias("tenant_id")))
+
+
+@q(_OPP + """, cap AS (SELECT actor_pseudonym AS peer, objective_id, arg_max(request_model, (ts, event_id)) AS m, arg_max(CASE WHEN cost_usd <= 0 THEN 'unknown' WHEN cost_usd < 1 THEN 'under $1' WHEN cost_usd < 5 THEN '$1 to $5' WHEN cost_usd < 20 THEN '$5 to $20' ELSE 'over $20' END, (ts, event_id)) AS band FROM facts WHERE NOT is_retry_loop AND output_tokens > 0 AND objective_id IS NOT NULL GROUP BY 1, 2)
+ SELECT dedup_key, actor_b AS peer, b.objective_id, mode, CASE WHEN mode = 'solved_reuse' THEN m END AS capsule_model, CASE WHEN mode = 'solved_reuse' THEN band END AS capsule_band FROM booked b LEFT JOIN cap ON b.actor_b = cap.peer AND b.objective_id = cap.objective_id""")
+def capsules_on_matches(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    m = reports.book(opportunities(f)).select("dedup_key", F.col("actor_b").alias("peer"), "objective_id", "mode")
+    return tables.with_capsules(m, tables.capsules(f))
 
 
 # ---- vectors --------------------------------------------------------------------------------------------------------
@@ -701,7 +736,22 @@ def redaction_full(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
 
 
-@q()
+def _counts_sql() -> str:
+    steps, last = ["s0 AS (SELECT text AS t FROM documents)"], 0
+    for i, (kind, pattern) in enumerate(_RE.items()):
+        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (t), regexp_replace(t, '{pattern}', '[{kind.upper()}]', 'g') AS t, len(regexp_extract_all(t, '{pattern}')) AS n{i} FROM s{i})")
+        last = i + 1
+    kinds = " UNION ALL ".join(f"SELECT '{kind}' AS kind, sum(n{i})::BIGINT AS total FROM s{last}" for i, kind in enumerate(_RE))
+    return f"WITH {', '.join(steps)} SELECT * FROM ({kinds}) WHERE total > 0"
+
+
+@q(f"SELECT event_id, {_redact_sql('dirty')} AS repo FROM (SELECT event_id, repo || ' ' || CASE WHEN event_id LIKE '%-1' THEN 'ann.b@c-d.example' WHEN event_id LIKE '%-2' THEN 'password=hunter2' ELSE 'x' END AS dirty FROM facts)")
+def redacted_slugs(spark, sf_dir):
+    extra = F.when(F.col("event_id").endswith("-1"), "ann.b@c-d.example").when(F.col("event_id").endswith("-2"), "password=hunter2").otherwise("x")
+    return tables.redact_slugs(facts(spark, sf_dir).withColumn("repo", F.concat_ws(" ", "repo", extra))).select("event_id", "repo")
+
+
+@q(_counts_sql(), fact=False)
 def redaction_counts(spark, sf_dir):
     return X.redaction_counts(table(spark, sf_dir, "documents"), "text")
 
@@ -711,7 +761,11 @@ def stripped_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_noise(F.coalesce("text", F.lit("")))).alias("clean_md5"))
 
 
-@q()
+_HITS = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}')) * {w} AS s{i}" for i, (_, p, w) in enumerate(X.PROMPT_SIGNALS))
+_BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(X.PROMPT_SIGNALS))) + ")"
+
+
+@q(f"SELECT conv_id, turn, CASE WHEN {_BEST} = 0 THEN 'unknown' " + " ".join(f"WHEN s{i} = {_BEST} THEN '{label}'" for i, (label, _, _) in enumerate(X.PROMPT_SIGNALS)) + f" END AS work_type FROM (SELECT conv_id, turn, {_HITS} FROM conversations WHERE role = 'user')", fact=False)
 def prompt_work_types(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.work_type_of_prompt(F.coalesce("text", F.lit(""))).alias("work_type"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.privacy import pseudonym
 from ..operators.attribution import attribute, work_type_of_branch
@@ -18,11 +22,24 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
+def latest_of_table(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``latest`` of a stored table whose keys seldom repeat.
+
+    The keys alone are counted, by hash; rows of keys found once pass as they are, and only the others are shuffled and
+    ranked. The table is read three times, so ``rows`` should be cheap to read again.
+    """
+    again = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    last = rows.join(again, same, "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return rows.join(again, same, "left_anti").unionByName(last)
+
+
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls with repeated event ids resolved (latest wins), before pricing and attribution."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    lines = latest(t("lineitem").select("l_orderkey", "l_linenumber", *order), ["l_orderkey", "l_linenumber"], order)
+    lines = latest_of_table(t("lineitem").select("l_orderkey", "l_linenumber", *order), ["l_orderkey", "l_linenumber"], order)
     who = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     flags = F.concat("l_returnflag", "l_linestatus")

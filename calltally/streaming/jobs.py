@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,7 @@ def ingest(stream: DataFrame, principals: DataFrame, prices: DataFrame, folder:
         bad = batch.where("_corrupt_record IS NOT NULL")
         rows = upgrade(batch.where("_corrupt_record IS NULL"))
         good, unknown = tables.bind_identity(rows, principals)
-        hardened = tables.harden(good, prices)
+        hardened = tables.harden(tables.redact_slugs(good), prices)
         latest = tables.upsert(upgrade(hardened), ["event_id"], ["ts"])
         write_batch(latest, batch_id, f"{folder}/derived")
         write_batch(unknown.select("event_id").union(bad.select(F.col("_corrupt_record").alias("event_id"))), batch_id, f"{folder}/rejected")
@@ -83,27 +84,35 @@ def latest_view(spark: SparkSession, folder: str) -> DataFrame:
     return tables.upsert(rows, ["event_id"], ["ts", "batch"]).drop("batch")
 
 
-def match_stream(stream: DataFrame, folder: str, checkpoint: str, match):
-    """Each arriving signal against the latest ones and the batch's own; new matches are appended, seen ones skipped."""
+def _earlier(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """What other batches than this one have written; none: no table yet."""
+    try:
+        return spark.read.parquet(folder).where(F.col("batch") != batch_id).drop("batch")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = batch
-        try:
-            known = spark.read.parquet(f"{folder}/signals").drop("batch").unionByName(batch)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        found = match(known)
-        try:
-            found = found.join(spark.read.parquet(f"{folder}/matches").select("a", "b"), ["a", "b"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        write_batch(found, batch_id, f"{folder}/matches")
-        write_batch(batch, batch_id, f"{folder}/signals")
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def match_batch(batch: DataFrame, batch_id: int, folder: str, match) -> None:
+    """One batch of ``match_stream``. Run again, it gives the same: what it wrote itself before is left out."""
+    spark = batch.sparkSession
+    signals, matches = (_earlier(spark, f"{folder}/{t}", batch_id) for t in ("signals", "matches"))
+    found = match(batch if signals is None else signals.unionByName(batch))
+    actors = batch.select("actor").distinct()
+    found = found.join(actors.withColumnRenamed("actor", "a"), "a", "left_semi").unionByName(
+        found.join(actors.withColumnRenamed("actor", "b"), "b", "left_semi").join(actors.withColumnRenamed("actor", "a"), "a", "left_anti").select(found.columns)
+    )
+    if matches is not None:
+        found = found.join(matches.select("a", "b"), ["a", "b"], "left_anti")
+    write_batch(found, batch_id, f"{folder}/matches")
+    write_batch(batch, batch_id, f"{folder}/signals")
+
+
+def match_stream(stream: DataFrame, folder: str, checkpoint: str, match):
+    """Each arriving signal against the latest ones and the batch's own; new matches are appended, seen ones skipped."""
+    w = stream.writeStream.foreachBatch(lambda batch, i: match_batch(batch, i, folder, match))
+    return w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def term_counts(stream: DataFrame, terms, label: str) -> DataFrame:
