@@ -255,7 +255,7 @@ def minimum_covariance(rows: DataFrame, few: bool, support: float = SUPPORT, ste
         best = best.unionByName(more)
     bins = _binned(rows, best, few, by)
     inner = bins.join(_scale(bins, by), by).where(F.pow(F.lit(2.0), F.col("_b") / PARTS) * F.col("scale") <= CHI2_INNER)
-    final = checkpointed(_estimated(inner.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *_S)]), least, by))
+    final = checkpointed(_estimated(inner.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *_S)]), min_group, by))
     return checkpointed(final.join(_scale(_binned(rows, final, few, by), by), by))
 
 
