@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import branch_head, cosine, norm, ticket_of
+from .sizes import small
 
 
 def by_joins(calls: DataFrame, objectives: DataFrame, prefixes: DataFrame, repos: DataFrame) -> DataFrame:
-    """Ticket prefix, then repository; ``objective_id`` is null where neither is known. Broadcast joins on small dims."""
+    """Ticket prefix, then repository; ``objective_id`` is null where neither is known. Small dims are broadcast."""
     known = objectives.select("objective_id")
     p = prefixes.join(known, "objective_id").select("prefix", F.col("objective_id").alias("_by_ticket"))
     r = repos.join(known, "objective_id").select("repo_key", F.col("objective_id").alias("_by_repo"))
     out = calls.withColumn("ticket_id", F.coalesce("ticket_id", ticket_of(F.col("git_branch"))) if "ticket_id" in calls.columns else ticket_of(F.col("git_branch")))
-    out = out.withColumn("_prefix", F.upper(F.element_at(F.split("ticket_id", "-"), 1))).join(F.broadcast(p), F.col("_prefix") == F.col("prefix"), "left")
-    out = out.withColumn("_repo", F.lower("repo")).join(F.broadcast(r), F.col("_repo") == F.col("repo_key"), "left")
+    out = out.withColumn("_prefix", F.upper(F.element_at(F.split("ticket_id", "-"), 1))).join(small(p), F.col("_prefix") == F.col("prefix"), "left")
+    out = out.withColumn("_repo", F.lower("repo")).join(small(r), F.col("_repo") == F.col("repo_key"), "left")
     method = F.when(F.col("_by_ticket").isNotNull(), "ticket_join").when(F.col("_by_repo").isNotNull(), "repo_join").otherwise("none")
     out = out.withColumns({"objective_id": F.coalesce("_by_ticket", "_by_repo"), "attribution_method": method})
     return out.drop("_prefix", "prefix", "_by_ticket", "_repo", "repo_key", "_by_repo")
@@ -49,12 +50,12 @@ def attribute(calls: DataFrame, objectives: DataFrame, prefixes: DataFrame, repo
         )
         out = out.drop("_near", "_c")
     labels = objectives.select("objective_id", "objective_label")
-    return out.join(F.broadcast(labels), "objective_id", "left").withColumn("is_orphan", F.col("objective_id").isNull())
+    return out.join(small(labels), "objective_id", "left").withColumn("is_orphan", F.col("objective_id").isNull())
 
 
 def work_type_of_branch(calls: DataFrame, heads: DataFrame) -> DataFrame:
     """``work_type`` and ``work_type_source`` from the branch's first word; unknown where it says nothing."""
-    out = calls.withColumn("_head", branch_head(F.col("git_branch"))).join(F.broadcast(heads), F.col("_head") == F.col("head"), "left")
+    out = calls.withColumn("_head", branch_head(F.col("git_branch"))).join(small(heads), F.col("_head") == F.col("head"), "left")
     return out.withColumns(
         {"work_type": F.coalesce("head_work_type", F.lit("unknown")), "work_type_source": F.when(F.col("head_work_type").isNotNull(), "branch").otherwise("none")}
     ).drop("_head", "head", "head_work_type")

@@ -146,7 +146,7 @@ def tenant_vectors(rows: DataFrame, reuse: DataFrame | None = None, k: int = K)
         F.sum("cache_read_tokens").alias("cr"), F.sum("input_tokens").alias("inp"), F.sum("duplicate_history_tokens").alias("dup"), F.count_if("is_retry_loop").alias("retries"),
         when(F.col("is_orphan"), A.tokens()).alias("orphan"), F.round(when(F.col("work_type").isin(*NET_NEW), F.col("cost_usd")), 6).alias("nn"), F.round(when(F.col("work_type").isin(*MAINTENANCE), F.col("cost_usd")), 6).alias("mt"),
     )
-    g = g.join(F.broadcast(reuse), "tenant_id", "left").fillna({"avoided": 0.0}) if reuse is not None else g.withColumn("avoided", F.lit(0.0))
+    g = g.join(reuse, "tenant_id", "left").fillna({"avoided": 0.0}) if reuse is not None else g.withColumn("avoided", F.lit(0.0))
     priced = F.col("cost") > 0
     c = F.col
     return g.select(

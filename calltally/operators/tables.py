@@ -12,6 +12,7 @@ from ..functions.columns import cost_band, csv_safe
 from ..functions.text import redact_patterns
 from ..sources.calls import latest
 from . import pricing
+from .sizes import small
 
 TOKEN_CAP = 100_000_000
 
@@ -59,14 +60,14 @@ def reveal(matches: DataFrame, consents: DataFrame, principals: DataFrame) -> Da
 
 def bind_identity(rows: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted with the registry's tenant, rejected): rows that name an unknown actor go."""
-    p = F.broadcast(principals.select(F.col("pseudonym").alias("actor_pseudonym"), F.col("tenant_id").alias("_tenant")))
+    p = small(principals.select(F.col("pseudonym").alias("actor_pseudonym"), F.col("tenant_id").alias("_tenant")))
     good = rows.join(p, "actor_pseudonym").withColumn("tenant_id", F.col("_tenant")).drop("_tenant")
     return good, rows.join(p, "actor_pseudonym", "left_anti")
 
 
 def with_org(rows: DataFrame, tenants: DataFrame) -> DataFrame:
     """Organisation and residency of the tenant; an unregistered one is its own organisation."""
-    t = F.broadcast(tenants.select("tenant_id", F.col("org").alias("_org"), F.col("tenant_residency")))
+    t = small(tenants.select("tenant_id", F.col("org").alias("_org"), F.col("tenant_residency")))
     out = rows.join(t, "tenant_id", "left")
     return out.withColumns({"org": F.coalesce("_org", F.concat(F.lit("unreg:"), "tenant_id")), "residency": F.coalesce("tenant_residency", "residency")}).drop("_org", "tenant_residency")
 
@@ -96,7 +97,7 @@ def fresh(rows: DataFrame, now: datetime, days: int = 14) -> DataFrame:
 
 
 def known_objectives(rows: DataFrame, objectives: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(objectives.select("objective_id")), "objective_id", "left_semi")
+    return rows.join(small(objectives.select("objective_id")), "objective_id", "left_semi")
 
 
 def chargeback(rolled: DataFrame, k: int = 5) -> DataFrame:

@@ -353,3 +353,13 @@ def test_drained_streams_are_files_and_not_rows_of_the_driver(spark, tmp_path):
         out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert out.inputFiles() and out.count() > 0
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_broadcast_hint_only_for_small_dims(spark):
+    from calltally.operators.sizes import small
+
+    dim = spark.range(20).toDF("k")
+    hinted = lambda most: "rightHint=(strategy=broadcast)" in spark.range(50).toDF("k").join(small(dim, most), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted(20) and not hinted(19)
+    rows = spark.range(50).toDF("k")
+    assert {r.k for r in rows.join(small(dim, 19), "k").collect()} == {r.k for r in rows.join(small(dim), "k").collect()} == set(range(20))
