@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dims import local_table
+
 
 def normal_model(model: Column) -> Column:
     """A model's family name: routing prefixes off, in a fixed order."""
@@ -27,21 +29,23 @@ def match_prices(models: DataFrame, prices: DataFrame, model_col: str = "request
     return joined.groupBy("model").agg(best).select("model", "p.*")
 
 
-#: Up to so many prices are matched by an expression over the calls themselves, in one pass.
+#: Up to so many prices are matched by one pattern over the calls themselves and joined as a broadcast.
 MAX_PRICE_ROWS = 1000
 
 
 def with_prices(calls: DataFrame, prices: DataFrame, model_col: str = "request_model", prefix: str = "") -> DataFrame:
     """``calls`` with their price columns (null: unpriced). Longer tables of prices are joined through the distinct models."""
     rows = prices.limit(MAX_PRICE_ROWS + 1).collect()
-    if 0 < len(rows) <= MAX_PRICE_ROWS:
-        rows = sorted(rows, key=lambda r: -len(r["price_key"]))
-        known = [F.when(F.col("_norm").startswith(r["price_key"]), F.struct(*[F.lit(r[c]).alias(c) for c in prices.columns])) for r in rows]
-        out = calls.withColumn("_norm", normal_model(F.col(model_col))).withColumn("_price", F.coalesce(*known))
-        return out.select(*[F.col(f"`{c}`") for c in calls.columns], *[F.col(f"_price.{c}").alias(prefix + c) for c in prices.columns])
-    matched = match_prices(calls, prices, model_col)
-    matched = matched.select(F.col("model").alias(f"{prefix}model"), *[F.col(c).alias(prefix + c) for c in prices.columns])
-    return calls.join(matched, calls[model_col] == F.col(f"{prefix}model"), "left").drop(f"{prefix}model")
+    if len(rows) > MAX_PRICE_ROWS:
+        matched = match_prices(calls, prices, model_col)
+        matched = matched.select(F.col("model").alias(f"{prefix}model"), *[F.col(c).alias(prefix + c) for c in prices.columns])
+        return calls.join(matched, calls[model_col] == F.col(f"{prefix}model"), "left").drop(f"{prefix}model")
+    first = {r["price_key"]: r for r in reversed(rows)}
+    known = local_table(calls.sparkSession, first.values(), prices.schema).select(F.col("price_key").alias("_key"), *[F.col(c).alias(prefix + c) for c in prices.columns])
+    # The first branch that fits is taken: longest first.
+    longest = "^(" + "|".join(rf"\Q{k}\E" for k in sorted(first, key=len, reverse=True)) + ")"
+    keyed = calls.withColumn("_match", F.regexp_extract(normal_model(F.col(model_col)), longest, 1))
+    return keyed.join(F.broadcast(known), F.col("_match") == F.col("_key"), "left").drop("_match", "_key")
 
 
 def usd(x: Column) -> Column:

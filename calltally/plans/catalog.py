@@ -548,12 +548,12 @@ def solution_capsules(spark, sf_dir):
 
 @q("SELECT DISTINCT org FROM facts WHERE org <> 'default' AND org IN (SELECT r_name FROM region)")
 def organisations(spark, sf_dir):
-    return facts(spark, sf_dir).select("org").distinct().exceptAll(spark.createDataFrame([("default",)], "org string"))
+    return facts(spark, sf_dir).select("org").distinct().exceptAll(dims.local_table(spark, [("default",)], "org string"))
 
 
 @q(f"SELECT n_name AS tenant_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20 AND r_name = 'ASIA' UNION SELECT '{TENANT}'", fact=False)
 def benchmark_cohort(spark, sf_dir):
-    return dims.tenants(spark, sf_dir).where("org = 'ASIA'").select("tenant_id").union(spark.createDataFrame([(TENANT,)], "tenant_id string")).dropDuplicates()
+    return dims.tenants(spark, sf_dir).where("org = 'ASIA'").select("tenant_id").union(dims.local_table(spark, [(TENANT,)], "tenant_id string")).dropDuplicates()
 
 
 @q(f", {OUTCOMES_SQL} SELECT objective_id FROM outcomes INTERSECT SELECT objective_id FROM facts WHERE tenant_id = '{TENANT}'")
@@ -931,7 +931,7 @@ CAPABILITIES = [("URGENT", 1, True, True, ("urgent-cli",)), ("HIGH", 2, True, Fa
 
 @q("""SELECT event_id, tier, has_tokens, has_messages FROM facts LEFT JOIN (VALUES ('URGENT', 1, true, true), ('HIGH', 2, true, false), ('MEDIUM', 2, true, false), ('LOW', 3, false, false)) c(t, tier, has_tokens, has_messages) ON tool = t""")
 def tool_capabilities(spark, sf_dir):
-    dim = spark.createDataFrame(CAPABILITIES, "name string, tier int, has_tokens boolean, has_messages boolean, aliases array<string>")
+    dim = dims.local_table(spark, CAPABILITIES, "name string, tier int, has_tokens boolean, has_messages boolean, aliases array<string>")
     names = dim.select(F.explode(F.array_union(F.array("name"), "aliases")).alias("tool"), "tier", "has_tokens", "has_messages")
     return facts(spark, sf_dir).join(F.broadcast(names), "tool", "left").select("event_id", "tier", "has_tokens", "has_messages")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.privacy import pseudonym
 from ..operators.attribution import attribute, work_type_of_branch
@@ -12,10 +13,13 @@ from . import dims
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last write wins: of the rows of a key the greatest by ``order``. An aggregate, so it combines before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    top = F.max_by(F.struct(*rest), F.struct(*order)).alias("_m")
-    return rows.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in rest])
+    """Last write wins: of the rows of a key the greatest by ``order`` (nulls least).
+
+    The rank is cut off at 1 on both sides of the shuffle (WindowGroupLimit), so a hot key sends one row a map task.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    top = rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+    return top.select(*keys, *[c for c in rows.columns if c not in keys])
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:

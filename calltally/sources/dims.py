@@ -1,11 +1,14 @@
-"""Dimensions: prices, the knowledge graph, tenants, principals, tool capabilities. All a few hundred rows at most."""
+"""Dimensions: prices, the knowledge graph, tenants, principals, tool capabilities. All a few hundred rows at most, kept inside the plan."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: USD per million tokens: input, output, cache read, cache write (fixed values).
 PRICES = [
@@ -77,24 +80,32 @@ REPOS = [("Brand#21", "obj5"), ("brand#22", "obj6")]
 SEMANTIC_THRESHOLD = 0.55
 
 
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str | T.StructType) -> DataFrame:
+    """A small table inside the plan (a local relation): Spark knows its size, and reading it starts no job and no Python worker."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    arrays = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names=fields.names), fields)
+
+
 def prices(spark: SparkSession, rows: Iterable[tuple] = PRICES) -> DataFrame:
-    return spark.createDataFrame(list(rows), "price_key string, p_input double, p_output double, p_cache_read double, p_cache_write double")
+    return local_table(spark, rows, "price_key string, p_input double, p_output double, p_cache_read double, p_cache_write double")
 
 
 def branch_heads(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BRANCH_HEADS, "head string, head_work_type string")
+    return local_table(spark, BRANCH_HEADS, "head string, head_work_type string")
 
 
 def objectives(spark: SparkSession, rows: Iterable[tuple] = OBJECTIVES) -> DataFrame:
-    return spark.createDataFrame(list(rows), "objective_id string, objective_label string, client string, ord int, monthly_budget_usd double")
+    return local_table(spark, rows, "objective_id string, objective_label string, client string, ord int, monthly_budget_usd double")
 
 
 def prefixes(spark: SparkSession, rows: Iterable[tuple] = PREFIXES) -> DataFrame:
-    return spark.createDataFrame([(p.upper(), o) for p, o in rows], "prefix string, objective_id string")
+    return local_table(spark, [(p.upper(), o) for p, o in rows], "prefix string, objective_id string")
 
 
 def repos(spark: SparkSession, rows: Iterable[tuple] = REPOS) -> DataFrame:
-    return spark.createDataFrame([(r.lower(), o) for r, o in rows], "repo_key string, objective_id string")
+    return local_table(spark, [(r.lower(), o) for r, o in rows], "repo_key string, objective_id string")
 
 
 def principals(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
@@ -105,7 +116,7 @@ def principals(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
     """
     of = {str(r["subject"]): r for r in rows if r.get("subject")}
     listed = [(k, r.get("display_name") or k, r.get("role") or "developer", r.get("tenant_id") or "default", r.get("org") or r.get("tenant_id") or "default") for k, r in of.items()]
-    return with_pseudonyms(spark.createDataFrame(listed, "subject string, display_name string, role string, tenant_id string, org string"))
+    return with_pseudonyms(local_table(spark, listed, "subject string, display_name string, role string, tenant_id string, org string"))
 
 
 def with_pseudonyms(people: DataFrame) -> DataFrame:
