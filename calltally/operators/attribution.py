@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import branch_head, cosine, norm, ticket_of
+from ..functions.text import work_type_of_prompt
 
 
 def by_joins(calls: DataFrame, objectives: DataFrame, prefixes: DataFrame, repos: DataFrame) -> DataFrame:
@@ -58,3 +62,37 @@ def work_type_of_branch(calls: DataFrame, heads: DataFrame) -> DataFrame:
     return out.withColumns(
         {"work_type": F.coalesce("head_work_type", F.lit("unknown")), "work_type_source": F.when(F.col("head_work_type").isNotNull(), "branch").otherwise("none")}
     ).drop("_head", "head", "head_work_type")
+
+
+def text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def work_types(calls: DataFrame, heads: DataFrame, labels: DataFrame | None = None, prompt: str = "prompt") -> DataFrame:
+    """The cascade of ``work_type`` with its source: branch, prompt patterns, outside label of the same text, else unknown.
+
+    ``labels`` (text_key, label) holds one row a text. Rows that need none get a key of their own, which meets nothing and
+    keeps them from piling up on null.
+    """
+    out = work_type_of_branch(calls, heads)
+    said, still = work_type_of_prompt(F.coalesce(F.col(prompt), F.lit(""))), F.col("work_type") == "unknown"
+    out = out.withColumn("_said", F.when(still, said).otherwise("unknown"))
+    found = F.col("_said") != "unknown"
+    out = out.withColumns({"work_type": F.when(found, F.col("_said")).otherwise(F.col("work_type")), "work_type_source": F.when(found, "prompt").otherwise(F.col("work_type_source"))}).drop("_said")
+    if labels is None:
+        return out
+    key = F.when(still, text_key(F.col(prompt))).otherwise(F.concat(F.lit("-"), F.col("event_id")))
+    out = out.withColumn("_text", key).join(labels.select(F.col("text_key").alias("_text"), F.col("label").alias("_label")), "_text", "left")
+    given = F.col("_label").isNotNull() & (F.col("_label") != "unknown")
+    return out.withColumns({"work_type": F.when(given, F.col("_label")).otherwise(F.col("work_type")), "work_type_source": F.when(given, "label").otherwise(F.col("work_type_source"))}).drop("_text", "_label")
+
+
+def label_texts(rows: DataFrame, labeller: Callable[[str], str | None], prompt: str = "prompt") -> DataFrame:
+    """(text_key, label) of the rows still unknown, each text once; ``labeller`` runs in Arrow batches."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"text_key": pdf.text_key, "label": [labeller(t) for t in pdf.text]})
+
+    texts = rows.where("work_type = 'unknown'").select(text_key(F.col(prompt)).alias("text_key"), F.coalesce(prompt, F.lit("")).alias("text"))
+    return texts.dropDuplicates(["text_key"]).mapInPandas(each, "text_key string, label string")

@@ -770,6 +770,20 @@ def prompt_work_types(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.work_type_of_prompt(F.coalesce("text", F.lit(""))).alias("work_type"))
 
 
+_SAID = f"CASE WHEN {_BEST} = 0 THEN 'unknown' " + " ".join(f"WHEN s{i} = {_BEST} THEN '{label}'" for i, (label, _, _) in enumerate(X.PROMPT_SIGNALS)) + " END"
+
+
+@q(f"""SELECT event_id, CASE WHEN conv_id % 5 = 0 THEN 'fix' WHEN said <> 'unknown' THEN said WHEN l THEN 'docs' ELSE 'unknown' END AS work_type, CASE WHEN conv_id % 5 = 0 THEN 'branch' WHEN said <> 'unknown' THEN 'prompt' WHEN l THEN 'label' ELSE 'none' END AS work_type_source
+ FROM (SELECT conv_id, conv_id || '-' || turn AS event_id, {_SAID} AS said, length(coalesce(text, '')) % 2 = 0 AS l FROM (SELECT conv_id, turn, text, {_HITS} FROM conversations WHERE role = 'user'))""", fact=False)
+def work_type_cascade(spark, sf_dir):
+    """User turns as calls, every fifth conversation on a fix branch; texts of even length have an outside label."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    calls = c.select(F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.when(F.col("conv_id") % 5 == 0, "fix/it").alias("git_branch"), F.col("text").alias("prompt"))
+    prompt = F.coalesce("prompt", F.lit(""))
+    labels = calls.where(F.length(prompt) % 2 == 0).select(attribution.text_key(prompt).alias("text_key"), F.lit("docs").alias("label")).distinct()
+    return attribution.work_types(calls, dims.branch_heads(spark), labels).select("event_id", "work_type", "work_type_source")
+
+
 @q("SELECT conv_id, turn, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{h}')" for h in hints) + f" THEN '{n}'" for n, hints in C.LANGUAGE_HINTS) + " END AS language FROM conversations", fact=False)
 def language_hints(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.language(F.col("text")).alias("language"))

@@ -164,6 +164,16 @@ def test_redaction(spark):
     assert red("h 0123456789abcdef0123456789abcdef") == "h [HEX_SECRET]" and "[SECRET]" in red("t Zx8Kq2Lm9Pw4Rt7Yv1Bn6Hj3Gd5Fs0Ac")
 
 
+def test_work_types_come_from_branch_prompt_or_label(spark):
+    rows = [("1", "fix/x", "bump the dockerfile"), ("2", None, "bump the dockerfile"), ("3", "wip/x", "hello"), ("4", None, "hello"), ("5", None, None)]
+    calls = spark.createDataFrame(rows, "event_id string, git_branch string, prompt string")
+    heads = dims.branch_heads(spark)
+    labels = attribution.label_texts(attribution.work_types(calls, heads), lambda t: "docs" if t == "hello" else None)
+    assert {r.label for r in labels.collect()} == {"docs", None}
+    out = {r.event_id: (r.work_type, r.work_type_source) for r in attribution.work_types(calls, heads, labels).collect()}
+    assert out == {"1": ("fix", "branch"), "2": ("chore", "prompt"), "3": ("docs", "label"), "4": ("docs", "label"), "5": ("unknown", "none")}
+
+
 def test_prompts_to_work_types(spark):
     t = lambda x: val(spark, X.work_type_of_prompt(F.col("x")), x)
     want = {"fix the crash in the parser": "fix", "write unit tests for billing": "test", "refactor and clean up this": "refactor", "why is this query so slow": "perf", "bump the dependencies": "chore", "what is the best way, compare options for queues": "exploration", "add a new endpoint for users": "feature", "hello": "unknown"}
