@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import norm, valid_embedding
 
 SAME_BAR, CROSS_BAR = 0.40, 0.55
+WALLS = ("org", "residency", "client")
 SERVE, WARM, WARM_FRACTION = 0.95, 0.80, 0.4
 
 
@@ -30,56 +32,125 @@ def latest_signals(signals: DataFrame) -> DataFrame:
     return signals.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def broker_matches(signals: DataFrame, walls: tuple[str, ...] = ("org", "residency", "client"), same_bar: float = SAME_BAR, cross_bar: float = CROSS_BAR) -> DataFrame:
+@dataclass(frozen=True)
+class Hyperplanes:
+    """Random hyperplanes: vectors on the same sides of all ``planes`` of some table share a bucket.
+
+    Two vectors at a cosine of 0.8 share one with a chance of over 0.9, at 0.95 of over 0.999; see ``chance``.
+    """
+
+    tables: int = 24
+    planes: int = 10
+    seed: int = 5
+
+    def chance(self, cosine: float) -> float:
+        side = 1 - np.arccos(cosine) / np.pi
+        return float(1 - (1 - side**self.planes) ** self.tables)
+
+
+INDEX = Hyperplanes()
+
+
+@lru_cache(maxsize=8)
+def _normals(index: Hyperplanes, width: int) -> np.ndarray:
+    return np.random.default_rng((index.seed, width)).normal(size=(width, index.tables * index.planes))
+
+
+def signatures(vector: Column, index: Hyperplanes = INDEX) -> Column:
+    """The vector's bucket in every table, numbered over all tables; null has none."""
+
+    @F.pandas_udf("array<long>")
+    def of(vectors: pd.Series) -> pd.Series:
+        weights = 1 << np.arange(index.planes)
+        out = []
+        for v in vectors:
+            if v is None:
+                out.append(None)
+                continue
+            sides = (np.asarray(v, float) @ _normals(index, len(v)) >= 0).reshape(index.tables, index.planes)
+            out.append((np.arange(index.tables) << index.planes) + sides @ weights)
+        return pd.Series(out)
+
+    return of(vector)
+
+
+def lsh_candidates(vectors: DataFrame, id_col: str, index: Hyperplanes = INDEX) -> DataFrame:
+    """Pairs of ids (a < b) whose vectors share a bucket in some table. An exact check has to follow."""
+    keyed = vectors.select(F.col(id_col).alias("id"), F.explode(signatures(F.col("embedding"), index)).alias("k"))
+    return keyed.select("k", F.col("id").alias("a")).join(keyed.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b").distinct()
+
+
+def group_of(key: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+
+
+def cells_of(own: Column, groups: int) -> Column:
+    """The cells of a row of group ``own``: one for each group, with itself or another; two rows share exactly one that both belong to.
+
+    A cell is numbered 1000 * smaller + larger group. Rows of one group share more cells, but count only in their own.
+    """
+    return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (F.least(own, g) * 1000 + F.greatest(own, g)).cast("int"))
+
+
+def broker_matches(signals: DataFrame, walls: tuple[str, ...] = WALLS, same_bar: float = SAME_BAR, cross_bar: float = CROSS_BAR, groups: int = 4, index: Hyperplanes | None = None) -> DataFrame:
     """Pairs of actors close enough, within the walls (null only with null), once each (a < b).
 
     The walls are the equi-join keys, so only actors behind the same walls meet. The bar is the lower one for the same
-    objective (ids if both are known, else labels) or if either side solved it. For walls that hold very many actors,
-    ``lsh_candidates`` narrows the pairs first.
+    objective (ids if both are known, else labels) or if either side solved it. A wall's actors are dealt to ``groups``;
+    every two groups are a join key of their own, so a wall that holds most actors is spread over groups squared keys.
+    With ``index`` only actors that share a bucket meet: fewer pairs, and close ones are missed by ``index.chance``.
     """
     s = latest_signals(signals).where(valid_embedding(F.col("embedding"))).withColumn("u", unit(F.col("embedding")))
-    cols = ["actor", "objective_id", "label", "is_solved", "u"]
+    if index is None:
+        s = s.withColumn("_g", group_of(F.col("actor"), groups)).withColumn("_cell", F.explode(cells_of(F.col("_g"), groups)))
+    else:
+        s = s.withColumn("_g", F.lit(0)).withColumn("_cell", F.explode(signatures(F.col("embedding"), index)))
+    cols = ["actor", "objective_id", "label", "is_solved", "u", "_g", "_cell"]
     side = lambda x: s.select(*[F.col(w).alias(f"{w}_{x}") for w in walls], *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    on = F.col("actor_a") < F.col("actor_b")
+    on = (F.col("actor_a") < F.col("actor_b")) & (F.col("_cell_a") == F.col("_cell_b"))
     for w in walls:
         on = on & F.col(f"{w}_a").eqNullSafe(F.col(f"{w}_b"))
+    if index is None:  # a pair of one group counts in that group's own cell only
+        on = on & ((F.col("_g_a") != F.col("_g_b")) | (F.floor(F.col("_cell_a") / 1000) == F.col("_cell_a") % 1000))
     pairs = side("a").join(side("b"), on).withColumn("sim", F.round(_dot("u_a", "u_b"), 6))
     same = F.coalesce(F.when(F.col("objective_id_a").isNotNull() & F.col("objective_id_b").isNotNull(), F.col("objective_id_a") == F.col("objective_id_b")).otherwise(F.col("label_a") == F.col("label_b")), F.lit(False))
     solved = F.col("is_solved_a") | F.col("is_solved_b")
     bar = F.when(same | solved, same_bar).otherwise(cross_bar)
-    return pairs.where(F.col("sim") >= bar).select(F.col("actor_a").alias("a"), F.col("actor_b").alias("b"), "sim", same.alias("same_objective"), F.when(solved, "solved_reuse").otherwise("live_duplication").alias("mode"))
-
-
-def lsh_candidates(vectors: DataFrame, id_col: str, threshold: float, planes: int = 8, tables: int = 12, seed: int = 5) -> DataFrame:
-    """Candidate pairs by random hyperplanes: ids that share a signature in some table. Exact check to follow."""
-    width = len(vectors.select("embedding").first()[0])
-    r = np.random.default_rng(seed).normal(size=(tables, planes, width))
-    signs = []
-    for t in range(tables):
-        bits = [F.when(F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in r[t, p]]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) >= 0, "1").otherwise("0") for p in range(planes)]
-        signs.append(F.concat(F.lit(f"{t}:"), *bits))
-    keyed = vectors.select(F.col(id_col).alias("id"), F.explode(F.array(*signs)).alias("k"))
-    return keyed.select("k", F.col("id").alias("a")).join(keyed.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b").distinct()
+    out = pairs.where(F.col("sim") >= bar).select(F.col("actor_a").alias("a"), F.col("actor_b").alias("b"), "sim", same.alias("same_objective"), F.when(solved, "solved_reuse").otherwise("live_duplication").alias("mode"))
+    return out if index is None else out.distinct()
 
 
-def team_memory(rows: DataFrame, serve: float = SERVE, warm: float = WARM) -> DataFrame:
+def memory_tiers(best: DataFrame, serve: float = SERVE, warm: float = WARM) -> DataFrame:
+    """What each row's best earlier one (``m``) offers: serve if near enough with language and model the same, else a warm start."""
+    same = F.col("language_a").eqNullSafe(F.col("m.language_b"))
+    tier = F.when((F.col("m.sim") >= serve) & same & (F.col("model_a") == F.col("m.request_model_b")), "serve").when(F.col("m.sim") >= warm, "warm_start")
+    return best.withColumn("tm_tier", tier).where("tm_tier IS NOT NULL").select(
+        F.col("seq_a").alias("seq"), "tm_tier", F.col("m.sim").alias("tm_similarity"), same.alias("tm_same_language"), F.col("m.actor_b").alias("tm_solver"),
+        F.round(F.when(F.col("tm_tier") == "serve", F.col("m.cost_usd_b")).otherwise(F.col("m.cost_usd_b") * WARM_FRACTION), 6).alias("tm_shadow_usd"),
+    )
+
+
+def team_memory(rows: DataFrame, serve: float = SERVE, warm: float = WARM, shards: int = 4, index: Hyperplanes | None = None) -> DataFrame:
     """Each row's best earlier row of its tenant by another actor (a null actor is never excluded), and what it offers.
 
-    Serve: near enough, same language and model; warm start: near enough. Equal similarity: the earliest row.
+    Serve: near enough, same language and model; warm start: near enough. Equal similarity: the earliest row. A tenant's
+    rows are kept in one of ``shards`` and looked up in all, so a tenant that holds most rows is spread; with ``index``
+    they are kept and looked up in their buckets, which finds near ones by ``index.chance`` and few others.
     """
     s = rows.where(valid_embedding(F.col("embedding"))).withColumn("u", unit(F.col("embedding")))
+    if index is None:
+        kept, asked = F.array(group_of(F.col("seq"), shards)), F.sequence(F.lit(0), F.lit(shards - 1))
+    else:
+        s = s.withColumn("_sig", signatures(F.col("embedding"), index))
+        kept = asked = F.col("_sig")
     cols = ["seq", "actor", "language", "request_model", "cost_usd", "u"]
-    side = lambda x: s.select(F.col("tenant_id").alias(f"tenant_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    side = lambda x, cells: s.select(F.col("tenant_id").alias(f"tenant_{x}"), F.explode(cells).alias(f"cell_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     other = ~F.coalesce(F.col("actor_a") == F.col("actor_b"), F.lit(False))
-    pairs = side("a").join(side("b"), (F.col("tenant_a") == F.col("tenant_b")) & (F.col("seq_b") < F.col("seq_a")) & other)
+    on = (F.col("tenant_a") == F.col("tenant_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("seq_b") < F.col("seq_a")) & other
+    pairs = side("a", asked).join(side("b", kept), on)
     scored = pairs.select("seq_a", "language_a", "request_model_a", F.struct(F.round(_dot("u_a", "u_b"), 6).alias("sim"), F.negate("seq_b").alias("o"), "actor_b", "language_b", "request_model_b", "cost_usd_b").alias("m"))
     best = scored.groupBy("seq_a").agg(F.max("m").alias("m"), F.first("language_a").alias("language_a"), F.first("request_model_a").alias("model_a"))
-    same = F.col("language_a").eqNullSafe(F.col("m.language_b"))
-    tier = F.when((F.col("m.sim") >= serve) & same & (F.col("model_a") == F.col("m.request_model_b")), "serve").when(F.col("m.sim") >= warm, "warm_start")
-    return best.withColumn("tm_tier", tier).where("tm_tier IS NOT NULL").select(
-        F.col("seq_a").alias("seq"), "tm_tier", F.col("m.sim").alias("tm_similarity"), same.alias("tm_same_language"), F.col("m.actor_b").alias("tm_solver"),
-        F.round(F.when(F.col("tm_tier") == "serve", F.col("m.cost_usd_b")).otherwise(F.col("m.cost_usd_b") * WARM_FRACTION), 6).alias("tm_shadow_usd"),
-    )
+    return memory_tiers(best, serve, warm)
 
 
 def orphan_groups(rows: DataFrame, k: int = 5, bar: float = 0.82, newest: int = 2000) -> DataFrame:

@@ -110,10 +110,15 @@ def export(rolled: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
+def solved(is_retry_loop: Column, output_tokens: Column) -> Column:
+    """Whether a call counts as somebody having got a result: not part of a retry loop, and with an answer."""
+    return ~F.coalesce(is_retry_loop, F.lit(False)) & (F.coalesce(output_tokens, F.lit(0)) > 0)
+
+
 def capsules(rows: DataFrame) -> DataFrame:
     """Latest content-free facts of how someone solved an objective."""
-    solved = rows.where("NOT is_retry_loop AND output_tokens > 0 AND objective_id IS NOT NULL")
-    return latest(solved.select("actor_pseudonym", "objective_id", "request_model", "work_type", "cost_usd", "ts", "event_id"), ["actor_pseudonym", "objective_id"], ["ts", "event_id"])
+    done = rows.where(solved(F.col("is_retry_loop"), F.col("output_tokens")) & F.col("objective_id").isNotNull())
+    return latest(done.select("actor_pseudonym", "objective_id", "request_model", "work_type", "cost_usd", "ts", "event_id"), ["actor_pseudonym", "objective_id"], ["ts", "event_id"])
 
 
 def with_capsules(matches: DataFrame, capsules: DataFrame) -> DataFrame:

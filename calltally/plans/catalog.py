@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -17,6 +16,7 @@ from ..operators import aggregates as A
 from ..operators import attribution, matching, pricing, reports, tables, waste
 from ..sources import dims
 from ..sources.calls import call_log, facts
+from ..streaming.commits import shared_folder
 from .facts_sql import DIMS_SQL, FACTS_SQL, NORM_SQL, hmac_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,7 +655,10 @@ def capsules_on_matches(spark, sf_dir):
 
 
 def signals(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
+    return signal_rows(table(spark, sf_dir, "embeddings"))
+
+
+def signal_rows(e: DataFrame) -> DataFrame:
     n = F.col("vec_id")
     return e.select(
         F.concat(F.lit("a"), F.floor(n / 2)).alias("actor"), n.alias("event_id"), n.alias("ts"), "embedding", F.concat(F.lit("r"), n % 2).alias("org"), F.lit("eu").alias("residency"),
@@ -678,9 +681,12 @@ p AS (SELECT a.seq, b.seq AS o, round(list_cosine_similarity(a.e::DOUBLE[], b.e:
 m AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seq ORDER BY sim DESC, o) = 1)
 SELECT seq, CASE WHEN sim >= 0.4 AND sl AND sm THEN 'serve' WHEN sim >= 0.25 THEN 'warm_start' END AS tm_tier, sim AS tm_similarity, sl AS tm_same_language, actor::VARCHAR AS tm_solver, round(CASE WHEN sim >= 0.4 AND sl AND sm THEN cost ELSE cost * 0.4::DOUBLE END, 6) AS tm_shadow_usd FROM m WHERE sim >= 0.25""", fact=False)
 def team_memory(spark, sf_dir):
+    return matching.team_memory(memory_rows(table(spark, sf_dir, "embeddings")), serve=0.4, warm=0.25)
+
+
+def memory_rows(e: DataFrame) -> DataFrame:
     n = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings").select(n.alias("seq"), F.concat(F.lit("t"), n % 5).alias("tenant_id"), F.when(n % 11 != 0, (n % 13).cast("string")).alias("actor"), (n % 2).cast("string").alias("language"), (n % 3).cast("string").alias("request_model"), "embedding", (n / 100.0).alias("cost_usd"))
-    return matching.team_memory(rows, serve=0.4, warm=0.25)
+    return e.select(n.alias("seq"), F.concat(F.lit("t"), n % 5).alias("tenant_id"), F.when(n % 11 != 0, (n % 13).cast("string")).alias("actor"), (n % 2).cast("string").alias("language"), (n % 3).cast("string").alias("request_model"), "embedding", (n / 100.0).alias("cost_usd"))
 
 
 @q("""WITH o AS (SELECT 'obj' || label AS objective_id, label AS ord, embedding AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)
@@ -892,8 +898,7 @@ def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that the stream has now, as a table in the shared folder of spark.checkpoint.dir."""
     from ..streaming import jobs
 
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calltally-streams-")
-    return jobs.drained(stream, f"{shared}/{name}-{uuid.uuid4()}", mode)
+    return jobs.drained(stream, f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4()}", mode)
 
 
 @q("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 4) AS cost, count(*) FILTER (event_type = 'error') AS retries FROM events GROUP BY 1, 2", fact=False)
@@ -928,6 +933,39 @@ def stream_debounce(spark, sf_dir):
     return _drained(state.debounce(e, 86_400), "stream_debounce")
 
 
+def _stream_of(spark, sf_dir, name: str) -> DataFrame:
+    """A table of the folder as a stream whose rows arrive in one batch."""
+    from ..streaming import jobs
+
+    return jobs.file_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema)
+
+
+@q(ORACLES["team_memory"], fact=False)
+def stream_team_memory(spark, sf_dir):
+    """Team memory as a stream over keyed state; its batch twin is ``team_memory``."""
+    from ..streaming import jobs
+
+    folder = f"{shared_folder(spark)}/stream_team_memory-{uuid.uuid4()}"
+    jobs.memory_stream(memory_rows(_stream_of(spark, sf_dir, "embeddings")), f"{folder}/out", f"{folder}/checkpoint", serve=0.4, warm=0.25).awaitTermination()
+    return jobs.memory_view(spark, f"{folder}/out")
+
+
+@q("""WITH s AS (SELECT floor(vec_id / 3)::BIGINT AS k, vec_id AS n, lead(vec_id) OVER (PARTITION BY floor(vec_id / 3) ORDER BY vec_id) AS until, embedding AS e, CASE WHEN vec_id % 3 > 0 THEN vec_id % 3 END AS client, label, vec_id % 7 = 0 AS solved FROM embeddings),
+p AS (SELECT least('a' || a.k, 'a' || b.k) AS a, greatest('a' || a.k, 'a' || b.k) AS b, a.n, b.n AS o, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS sim, a.label = b.label AS same_objective, a.solved OR b.solved AS solved, 'L' || b.label AS topic, a.k AS k, b.k AS l
+ FROM s a JOIN s b ON a.k % 2 = b.k % 2 AND a.client IS NOT DISTINCT FROM b.client AND a.k <> b.k AND b.n < a.n AND (b.until IS NULL OR a.n < b.until)),
+m AS (SELECT * FROM p WHERE sim >= CASE WHEN same_objective OR solved THEN 0.3 ELSE 0.35 END QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n) = 1)
+SELECT a, b, sim, same_objective, CASE WHEN solved THEN 'solved_reuse' ELSE 'live_duplication' END AS mode, topic, n::VARCHAR AS event_id FROM m WHERE NOT (abs(k - l) = 2 AND least(k, l) % 5 = 0)""", fact=False)
+def stream_broker_matches(spark, sf_dir):
+    """Signals in order of arrival, each against what others said last; every fifth person and their neighbour agreed before."""
+    from ..streaming import jobs
+
+    folder, k = f"{shared_folder(spark)}/stream_broker_matches-{uuid.uuid4()}", F.floor(F.col("event_id") / 3)
+    rows = signal_rows(_stream_of(spark, sf_dir, "embeddings")).withColumns({"actor": F.concat(F.lit("a"), k), "org": F.concat(F.lit("r"), k % 2), "ts": F.timestamp_seconds("event_id")})
+    fifth = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("k")).where("k % 5 = 0").distinct().select(F.concat(F.lit("a"), "k").alias("x"), F.concat(F.lit("a"), F.col("k") + 2).alias("y"))
+    jobs.match_stream(rows, f"{folder}/out", f"{folder}/checkpoint", same_bar=0.3, cross_bar=0.35, mutual=fifth.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).awaitTermination()
+    return spark.read.schema(jobs.MATCHES).parquet(f"{folder}/out").drop("ts")
+
+
 # ---- more gates and lookups -----------------------------------------------------------------------------------------
 
 
@@ -957,7 +995,7 @@ def own_rows_in_window(spark, sf_dir):
 
 @q("SELECT event_id, NOT is_retry_loop AND output_tokens > 0 AS solved FROM facts")
 def solved_proxy(spark, sf_dir):
-    return facts(spark, sf_dir).select("event_id", (~F.col("is_retry_loop") & (F.col("output_tokens") > 0)).alias("solved"))
+    return facts(spark, sf_dir).select("event_id", tables.solved(F.col("is_retry_loop"), F.col("output_tokens")).alias("solved"))
 
 
 @q("SELECT work_type, work_type IN ('feature','exploration') AS net_new, count(*) AS calls FROM facts GROUP BY ALL")

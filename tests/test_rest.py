@@ -126,7 +126,7 @@ def test_match_walls_and_bars(spark):
     df = spark.createDataFrame(rows, "actor string, event_id long, ts long, embedding array<double>, org string, residency string, client string, objective_id string, label string, is_solved boolean")
     assert [(r.a, r.b) for r in matching.broker_matches(df).collect()] == [("a", "b")]
     assert {(r.a, r.b) for r in matching.broker_matches(df.withColumn("is_solved", F.lit(True))).collect()} == {("a", "b"), ("a", "f"), ("b", "f")}
-    assert ("a", "b") in {tuple(r) for r in matching.lsh_candidates(df.where("actor in ('a','b')"), "actor", 0.5).collect()}
+    assert ("a", "b") in {tuple(r) for r in matching.lsh_candidates(df.where("actor in ('a','b')"), "actor").collect()}
 
 
 def test_team_memory_tiers(spark):
@@ -292,27 +292,9 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "land/a.json").write_text("\n".join([rec("e1", "px_1", -5), rec("e2", "px_1", 10**12), rec("e3", "px_x", 1), "{broken", rec("e1", "px_1", 1_000_000)]))
     people = spark.createDataFrame([("px_1", "t1")], "pseudonym string, tenant_id string")
     jobs.ingest(jobs.json_stream(spark, str(tmp_path / "land"), DERIVED), people, dims.prices(spark), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {r.event_id: r for r in jobs.latest_view(spark, str(tmp_path / "out/derived")).collect()}
+    got = {r.event_id: r for r in jobs.latest_view(spark, str(tmp_path / "out")).collect()}
     assert set(got) == {"e1", "e2"} and got["e2"].input_tokens == tables.TOKEN_CAP and got["e2"].tenant_id == "t1" and got["e2"].cost_usd < 999
-    assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 2
-
-
-def test_match_stream_skips_known_pairs(spark, tmp_path):
-    schema = "actor string, event_id long, ts long, embedding array<double>, org string, residency string, client string, objective_id string, label string, is_solved boolean"
-    for i, a in enumerate("abc"):
-        spark.createDataFrame([(a, i, i, [1.0, 0.0], "o", "eu", None, "x", "L", False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
-    s = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
-    jobs.match_stream(s, str(tmp_path / "o"), str(tmp_path / "ck"), matching.broker_matches).awaitTermination()
-    assert sorted((r.a, r.b) for r in spark.read.parquet(str(tmp_path / "o/matches")).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
-
-
-def test_a_batch_of_matches_that_runs_again_gives_the_same(spark, tmp_path):
-    schema = "actor string, event_id long, ts long, embedding array<double>, org string, residency string, client string, objective_id string, label string, is_solved boolean"
-    batch = lambda a, i: spark.createDataFrame([(a, i, i, [1.0, 0.0], "o", "eu", None, "x", "L", False)], schema)
-    for i, a in ((0, "a"), (1, "b"), (2, "c"), (2, "c"), (1, "b"), (2, "c")):
-        jobs.match_batch(batch(a, i), i, str(tmp_path), matching.broker_matches)
-    assert sorted((r.a, r.b) for r in spark.read.parquet(str(tmp_path / "matches")).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
-    assert spark.read.parquet(str(tmp_path / "signals")).count() == 3
+    assert jobs.committed(spark, str(tmp_path / "out"), "rejected").count() == 2
 
 
 def test_principals_and_slugs(spark):
