@@ -19,6 +19,8 @@ from .common import flat, table
 
 #: Rows that the network learns from: so many of each language, so many in all, so many characters of each.
 PER_LANGUAGE, SAMPLE, PIECE_CHARS = 600, 2400, 112
+#: Buckets of a language's rows, from each of which so many may come; a language's last task reads no more than their sum.
+BUCKETS = 32
 #: Bytes of a training window, bytes of a window that is labelled, and windows side by side.
 TRAIN_BYTES, WINDOW, SIDE_BY_SIDE = 96, 256, 2048
 UNITS, EPOCHS, BATCH, RATE, SEED = 8, 8, 64, 0.02, 11
@@ -223,8 +225,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & text.rlike(r"\p{L}") & ~held_out_of(F.col(f"`{id_col}`")))
     start = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(text)), F.greatest(F.lit(1), F.length(text) - PIECE_CHARS)) + 1
     pieces = rows.select(F.col(f"`{lang_col}`").alias("lang"), F.substring(text, start.cast("int"), F.lit(PIECE_CHARS)).alias("piece"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(SEED)).alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "piece")
-    turn = pieces.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_language)
+    # First within buckets of a language, which many tasks share, then among what they leave.
+    first = lambda rows, *by: rows.withColumn("turn", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "piece"))).where(F.col("turn") <= per_language)
+    turn = first(first(pieces.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))), "bucket"))
     return [(r["lang"], r["piece"].encode()) for r in turn.orderBy("turn", "lang").limit(most).collect()]
 
 
