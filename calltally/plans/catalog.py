@@ -576,19 +576,51 @@ def resent_history(spark, sf_dir):
     return waste.resent_history(waste.conversation_requests(table(spark, sf_dir, "conversations")))
 
 
-@q()
+def asked(spark, sf_dir, people: int | None = None) -> DataFrame:
+    """User turns as prompts in ASCII, each asked twice, the second time with a word more; answered ones are the first, where an assistant's turn follows."""
+    c = table(spark, sf_dir, "conversations")
+    turns = c.where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("prompt"))
+    replies = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit(True).alias("answered")).distinct()
+    both = turns.join(replies, ["conv_id", "turn"], "left").withColumn("nth", F.explode(F.array(F.lit(0), F.lit(1))))
+    actor = F.col("conv_id") if people is None else F.pmod("conv_id", F.lit(people))
+    return both.select(
+        actor.alias("actor"), (F.col("conv_id") * 1000 + F.col("turn") * 2 + F.col("nth")).alias("ts"), F.concat_ws("-", "conv_id", "turn", "nth").alias("event_id"),
+        F.when(F.col("nth") == 0, F.col("prompt")).otherwise(F.concat("prompt", F.lit(" please"))).alias("prompt"), (F.coalesce("answered", F.lit(False)) & (F.col("nth") == 0)).alias("answered"),
+    )
+
+
+def _like_before_sql(actor: str, flag: str, back: int, bar: float) -> str:
+    return f"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS p, EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.role = 'assistant') AS a FROM conversations u WHERE role = 'user' AND text IS NOT NULL),
+t AS (SELECT {actor} AS actor, conv_id * 1000 + turn * 2 + nth AS ts, conv_id || '-' || turn || '-' || nth AS event_id, CASE WHEN nth = 0 THEN lower(p) ELSE lower(p || ' please') END AS p, a AND nth = 0 AS answered FROM c, (VALUES (0), (1)) n(nth)),
+w AS (SELECT *, list_distinct(regexp_extract_all(p, '[a-z0-9_]+')) AS words, coalesce(sum(({flag})::INT) OVER (PARTITION BY actor ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+j AS (SELECT x.actor, x.event_id, len(list_intersect(x.words, y.words)) AS i, len(x.words) + len(y.words) AS n, x.p, y.p AS q FROM w x JOIN w y ON x.actor = y.actor AND y.{flag} AND y.before + 1 <= x.before AND y.before + 1 > x.before - {back})
+SELECT actor, event_id, round(max((i::DOUBLE / (n - i) + 1 - levenshtein(p, q)::DOUBLE / greatest(length(p), length(q), 1)) / 2), 4) AS similarity FROM j WHERE n > i AND i::DOUBLE / (n - i) >= {2 * bar - 1!r} AND (i::DOUBLE / (n - i) + 1 - levenshtein(p, q)::DOUBLE / greatest(length(p), length(q), 1)) / 2 >= {bar!r} GROUP BY 1, 2"""
+
+
+@q(_like_before_sql("conv_id", "actor IS NOT NULL", waste.RETRY_BACK, waste.RETRY_BAR).replace("y.actor IS NOT NULL", "y.actor IS NOT NULL"), fact=False)
 def retry_loops(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
-    return waste.similar_before(c.select(F.col("conv_id").alias("actor"), F.col("turn").alias("ts"), F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.col("text").alias("prompt")), waste.RETRY_BACK, waste.RETRY_BAR)
+    """Prompts like one of the actor's last four, by words and edits (a similarity that plugs in)."""
+    return waste.similar_before(asked(spark, sf_dir), waste.RETRY_BACK, waste.RETRY_BAR, waste.edit_ratio, bucket=F.floor(F.col("ts") / 1000))
 
 
-@q()
+@q(_like_before_sql("conv_id % 50", "answered", waste.ANSWERED_BACK, waste.ANSWERED_BAR), fact=False)
 def answered_already(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
-    return waste.similar_before(c.select(F.pmod("conv_id", F.lit(50)).alias("actor"), F.col("turn").alias("ts"), F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.col("text").alias("prompt")), waste.ANSWERED_BACK, waste.ANSWERED_BAR)
+    """Prompts like one of the actor's last hundred answered ones."""
+    return waste.similar_before(asked(spark, sf_dir, 50), waste.ANSWERED_BACK, waste.ANSWERED_BAR, waste.edit_ratio, F.col("answered"), F.floor(F.col("ts") / 1000))
 
 
 @q()
+def lexical_repeats(spark, sf_dir):
+    """The same with the default similarity, whose half is a ratio of matching runs of characters (no SQL)."""
+    return waste.similar_before(asked(spark, sf_dir, 50), waste.ANSWERED_BACK, waste.ANSWERED_BAR, answered=F.col("answered"), bucket=F.floor(F.col("ts") / 1000))
+
+
+@q("""WITH RECURSIVE e AS (SELECT event_id::VARCHAR AS event_id, epoch_us(ts) AS t, event_type || '|' || (user_id % 3) AS key, floor(value)::BIGINT AS n FROM events),
+d AS (SELECT DISTINCT key, t FROM e), nx AS (SELECT a.key, a.t, min(b.t) AS u FROM d a LEFT JOIN d b ON a.key = b.key AND b.t > a.t + 300000000 AND b.t <= a.t + 90000000000 GROUP BY 1, 2),
+-- The first call beyond the TTL, in the day after it or the first one after that.
+ny AS (SELECT key, t, coalesce(u, (SELECT min(b.t) FROM d b WHERE b.key = nx.key AND b.t > nx.t + 300000000)) AS u FROM nx),
+s AS (SELECT key, min(t) AS t FROM d GROUP BY 1 UNION ALL SELECT ny.key, ny.u FROM s JOIN ny ON s.key = ny.key AND s.t = ny.t WHERE ny.u IS NOT NULL)
+SELECT event_id, hit, CASE WHEN hit THEN n ELSE 0 END AS saved_input_tokens FROM (SELECT event_id, n, NOT (t IN (SELECT t FROM s WHERE s.key = e.key) AND row_number() OVER (PARTITION BY key, t ORDER BY event_id) = 1) AS hit FROM e)""", fact=False)
 def exact_repeats(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return waste.exact_repeats(e.select("event_id", "ts", F.lit("t").alias("tenant_id"), F.col("event_type").alias("request_model"), F.pmod("user_id", F.lit(3)).cast("string").alias("body"), F.floor("value").cast("long").alias("input_tokens")))

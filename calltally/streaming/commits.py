@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only a session of one machine may do without."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="calltally-streams-")
+from ..operators.sizes import shared_folder  # noqa: F401
 
 
 def exists(spark: SparkSession, path: str) -> bool:
