@@ -50,9 +50,42 @@ def micros(c: str = "ts") -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
+#: What a day's partial sums keep apart, where the rows have it.
+DAILY_KEYS = ("tenant_id", "actor_pseudonym", "objective_id", "objective_label", "is_orphan", "work_type", "tool", "request_model", "provider", "tier", "tm_tier")
+DAILY_SUMS = ("input_tokens", "output_tokens", "cost_usd", "duplicate_history_tokens", "cache_read_tokens", "cache_creation_tokens", "saved_input_tokens", "route_saved_usd", "route_shadow_usd", "tm_shadow_usd")
+#: Counts of rows with a flag, by the flag's column.
+DAILY_COUNTS = {"is_retry_loop": F.col, "served_from_cache": F.col, "cost_priced": lambda c: ~F.col(c), "route_target": lambda c: F.col(c).isNotNull()}
+
+
+def daily(rows: DataFrame) -> DataFrame:
+    """Partial sums by day, person and label: what reports read instead of the rows.
+
+    Columns are named as the rows' own, with ``calls`` and ``n_<flag>`` for counts, so that the aggregates here take
+    either. Sums of sums are sums, and people stay people, so days can be appended and any windows of whole days read.
+    """
+    have = set(rows.columns)
+    keys = [c for c in DAILY_KEYS if c in have]
+    sums = [F.sum(c).alias(c) for c in DAILY_SUMS if c in have]
+    counts = [F.count_if(flag(c)).alias(f"n_{c}") for c, flag in DAILY_COUNTS.items() if c in have]
+    return rows.withColumn("ts", F.date_trunc("day", "ts")).groupBy("ts", *keys).agg(F.count("*").alias("calls"), *sums, *counts)
+
+
+def calls_of(rows: DataFrame, only: Column | None = None) -> Column:
+    """The number of calls, of rows or of daily sums; ``only``: where that holds."""
+    n = F.col("calls") if "calls" in rows.columns else F.lit(1)
+    return F.coalesce(F.sum(n if only is None else F.when(only, n)), F.lit(0)).cast("long")
+
+
+def flagged(rows: DataFrame, flag: str) -> Column:
+    """How many calls have a flag, see ``DAILY_COUNTS``."""
+    if f"n_{flag}" in rows.columns:
+        return F.coalesce(F.sum(f"n_{flag}"), F.lit(0))
+    return F.count_if(DAILY_COUNTS[flag](flag))
+
+
 def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(
-        F.count("*").alias("n"),
+        calls_of(rows).alias("n"),
         F.coalesce(F.sum(tokens()), F.lit(0)).alias("tokens"),
         money(F.sum("cost_usd")).alias("cost"),
         F.count_distinct("actor_pseudonym").alias("actors"),
@@ -60,10 +93,10 @@ def totals(rows: DataFrame) -> DataFrame:
         _sum("cache_read_tokens").alias("cache_read"),
         _sum("cache_creation_tokens").alias("cache_creation"),
         _sum("input_tokens").alias("input_tokens"),
-        F.count_if("is_retry_loop").alias("retries"),
-        F.count_if(~F.col("cost_priced")).alias("unpriced"),
+        flagged(rows, "is_retry_loop").alias("retries"),
+        flagged(rows, "cost_priced").alias("unpriced"),
         _sum("saved_input_tokens").alias("saved_tokens"),
-        F.count_if("served_from_cache").alias("cache_hits"),
+        flagged(rows, "served_from_cache").alias("cache_hits"),
     )
 
 
@@ -72,16 +105,16 @@ def rollup(rows: DataFrame, dimension: str, by: list[str] | None = None) -> Data
         raise ValueError(f"no rollup by {dimension!r}; there are {', '.join(ROLLUPS)}")
     label = F.coalesce(F.col(dimension), F.lit("(unattributed)")).alias("label")
     return rows.groupBy(*(by or []), label).agg(
-        F.count("*").alias("calls"), F.sum(tokens()).alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_distinct("actor_pseudonym").alias("actors")
+        calls_of(rows).alias("calls"), F.sum(tokens()).alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_distinct("actor_pseudonym").alias("actors")
     )
 
 
 def all_rollups(rows: DataFrame, dimensions: tuple[str, ...] = ("objective_label", "tool", "request_model", "provider", "work_type")) -> DataFrame:
     """Every one-dimension rollup from one scan, by grouping sets: (dimension, label, calls, tokens, cost, actors)."""
     cols = [F.coalesce(F.col(d), F.lit("(unattributed)")).alias(d) for d in dimensions]
-    base = rows.select(*cols, tokens().alias("_tokens"), "cost_usd", "actor_pseudonym")
+    base = rows.select(*cols, tokens().alias("_tokens"), "cost_usd", "actor_pseudonym", (F.col("calls") if "calls" in rows.columns else F.lit(1)).alias("calls"))
     sets = base.groupingSets([[F.col(d)] for d in dimensions], *[F.col(d) for d in dimensions]).agg(
-        F.count("*").alias("calls"), F.sum("_tokens").alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_distinct("actor_pseudonym").alias("actors")
+        F.sum("calls").alias("calls"), F.sum("_tokens").alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_distinct("actor_pseudonym").alias("actors")
     )
     which = F.coalesce(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dimensions])
     return sets.select(which.alias("dimension"), F.coalesce(*[F.col(d) for d in dimensions]).alias("label"), "calls", "tokens", "cost", "actors")
@@ -127,6 +160,47 @@ def actor_costs(rows: DataFrame) -> DataFrame:
     return by.where("cost > 0")
 
 
+def distinct_scope(rows: DataFrame, columns: tuple[str, ...] = ("tenant_id", "objective_id")) -> DataFrame:
+    """The scopes that have calls."""
+    return rows.select(*columns).distinct()
+
+
+def work_mix(rows: DataFrame) -> DataFrame:
+    """Calls, tokens and cost of each person's work types."""
+    return rows.groupBy("actor_pseudonym", "work_type").agg(calls_of(rows).alias("calls"), F.sum(tokens()).alias("tokens"), money(F.sum("cost_usd")).alias("cost"))
+
+
+def work_graph(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Everyone's personal work graph, counts only; ``terms`` (actor_pseudonym, term): their learned vocabulary."""
+    d = F.count_distinct
+    own = rows.groupBy("actor_pseudonym").agg(
+        calls_of(rows).alias("calls"), F.sum(tokens()).alias("tokens"), money(F.sum("cost_usd")).alias("cost"),
+        d("objective_id").alias("objectives"), d("ticket_id").alias("tickets"), d("tool").alias("tools"), d("request_model").alias("models"),
+    )
+    if terms is None:
+        return own
+    words = terms.groupBy("actor_pseudonym").agg(d("term").alias("learned_terms"))
+    return own.join(words, "actor_pseudonym", "left").fillna({"learned_terms": 0})
+
+
+def dominant_work_type(rows: DataFrame, key: str = "objective_label") -> DataFrame:
+    """Each key's work type of the most cost; of equal ones the greatest name."""
+    per = rows.where(F.col(key).isNotNull()).groupBy(key, "work_type").agg(F.round(F.sum("cost_usd"), 6).alias("c"))
+    return per.groupBy(key).agg(F.max_by("work_type", F.struct("c", "work_type")).alias("work_type"))
+
+
+def by_month(rows: DataFrame) -> DataFrame:
+    """Calls of each calendar month, with its bounds (the end is the next month's start)."""
+    start = F.date_trunc("month", F.col("ts").cast("timestamp"))
+    end = start + F.expr("interval 1 month")
+    return rows.groupBy(start.cast("timestamp_ntz").alias("month_start"), end.cast("timestamp_ntz").alias("month_end")).agg(calls_of(rows).alias("calls"))
+
+
+def top_labels(rolled: DataFrame, n: int, k: int = K) -> DataFrame:
+    """A rollup's dearest labels with enough people, by cost, then name."""
+    return rolled.where(F.col("actors") >= k).orderBy(F.desc("cost"), "label").limit(n)
+
+
 def actor_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("calls"), F.coalesce(F.sum(tokens()), F.lit(0)).alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_if("is_retry_loop").alias("retries"), _sum("duplicate_history_tokens").alias("dup_tokens"))
 
@@ -188,26 +262,44 @@ def compression_yield(total: DataFrame, k: int = K) -> DataFrame:
 
 
 def routing_totals(rows: DataFrame) -> DataFrame:
-    return rows.agg(money(F.sum("route_saved_usd")).alias("realised"), money(F.sum("route_shadow_usd")).alias("shadow"), F.count("route_target").alias("routed_calls"))
+    return rows.agg(money(F.sum("route_saved_usd")).alias("realised"), money(F.sum("route_shadow_usd")).alias("shadow"), flagged(rows, "route_target").alias("routed_calls"))
 
 
 def memory_totals(rows: DataFrame) -> DataFrame:
-    return rows.where("tm_tier IS NOT NULL").groupBy("tm_tier").agg(F.count("*").alias("calls"), money(F.sum("tm_shadow_usd")).alias("shadow_usd"))
+    return rows.where("tm_tier IS NOT NULL").groupBy("tm_tier").agg(calls_of(rows).alias("calls"), money(F.sum("tm_shadow_usd")).alias("shadow_usd"))
+
+
+def _savings(rows: DataFrame) -> list[Column]:
+    out = [money(F.sum("route_saved_usd")).alias("realised"), money(F.sum("route_shadow_usd")).alias("shadow"), flagged(rows, "route_target").alias("routed_calls")]
+    if "tm_tier" in rows.columns:
+        out += [calls_of(rows, F.col("tm_tier") == t).alias(n) for t, n in (("serve", "serve_hits"), ("warm_start", "warm_starts"))] + [money(F.sum("tm_shadow_usd")).alias("memory_shadow")]
+    return out
 
 
 def actor_savings(rows: DataFrame) -> DataFrame:
-    """Each person's routing savings, realised and possible, and routed calls."""
-    return rows.groupBy("actor_pseudonym").agg(
-        money(F.sum("route_saved_usd")).alias("realised"), money(F.sum("route_shadow_usd")).alias("shadow"), F.count("route_target").alias("routed_calls")
-    )
+    """Each person's savings: by routing, realised and possible, and what team memory would have saved."""
+    return rows.groupBy("actor_pseudonym").agg(*_savings(rows))
 
 
 def developer_report(rows: DataFrame) -> DataFrame:
-    """Every person's own summary with savings, one row each."""
-    own = rows.groupBy("actor_pseudonym").agg(
-        F.count("*").alias("calls"), F.sum(tokens()).alias("tokens"), money(F.sum("cost_usd")).alias("cost"), F.count_if("is_retry_loop").alias("retries"), F.sum("duplicate_history_tokens").alias("dup_tokens")
-    )
-    return own.join(actor_savings(rows), "actor_pseudonym")
+    """Every person's own summary, one row each: use, cache, resent history, savings, and the mix of work types.
+
+    ``work_type_mix`` is an array of (label, calls, cost), dearest first. One aggregate by person and work type, and one
+    of those by person; rows or daily sums.
+    """
+    label = F.coalesce("work_type", F.lit("unknown")).alias("label")
+    measures = {
+        "calls": calls_of(rows), "tokens": F.sum(tokens()), "cost": F.sum("cost_usd"), "retries": flagged(rows, "is_retry_loop"), "dup_tokens": F.sum("duplicate_history_tokens"),
+        "cache_read_tokens": _sum("cache_read_tokens"), "input_tokens": _sum("input_tokens"), "realised": F.sum("route_saved_usd"), "shadow": F.sum("route_shadow_usd"), "routed_calls": flagged(rows, "route_target"),
+    }
+    if "tm_tier" in rows.columns:
+        measures |= {"serve_hits": calls_of(rows, F.col("tm_tier") == "serve"), "warm_starts": calls_of(rows, F.col("tm_tier") == "warm_start"), "memory_shadow": F.sum("tm_shadow_usd")}
+    per = rows.groupBy("actor_pseudonym", label).agg(*[c.alias(n) for n, c in measures.items()])
+    usd = ("cost", "realised", "shadow", "memory_shadow")
+    mix = F.transform(F.array_sort(F.collect_list(F.struct(F.negate(money(F.col("cost"))).alias("o"), "label", "calls"))), lambda x: F.struct(x["label"].alias("label"), x["calls"].alias("calls"), F.negate(x["o"]).alias("cost")))
+    own = per.groupBy("actor_pseudonym").agg(*[(money(F.sum(n)) if n in usd else F.sum(n)).alias(n) for n in measures], mix.alias("work_type_mix"))
+    uncached = F.greatest(F.col("dup_tokens") - F.col("cache_read_tokens"), F.lit(0)).alias("uncached_resent_tokens")
+    return own.select("*", ratio(F.col("cache_read_tokens"), F.col("cache_read_tokens") + F.col("input_tokens"), 4).alias("cache_hit_ratio"), uncached)
 
 
 def noisy_total(rows: DataFrame, name: str, k: int = K) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
-from ..functions.privacy import EPSILON, K, laplace
+from ..functions.privacy import EPSILON, K, laplace, noisy, suppress, withhold
 from ..sources.dims import MAINTENANCE, NET_NEW
 from . import aggregates as A
 
@@ -54,20 +55,22 @@ def guardrail(label: Column, status: Column, pct: Column, forecast_pct: Column)
 def drift(rows: DataFrame, k: int = 1, by: list[str] | None = None, orphan_alert: float = 0.10, cost_alert: float = 0.25) -> DataFrame:
     """The later half of the time range against the earlier one; no row where a half is empty, no figures below k.
 
-    Bounds and halves come from two aggregates; with ``by``, for every tenant at once.
+    Rows or daily sums. They are first summed by time and person, which the bounds and the halves are read from; Spark
+    broadcasts the bounds if they are few, as they are one row a scope; ``by``: for every tenant at once.
     """
-    by = by or []
-    t = A.micros()
-    bounds = rows.groupBy(*by).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).where("hi > lo")
-    joined = rows.join(F.broadcast(bounds), by) if by else rows.join(F.broadcast(bounds))
-    late = A.micros() >= (F.col("lo") + F.col("hi")) / 2
-    half = lambda c, cond: F.sum(F.when(cond, c))
+    by, t = by or [], A.micros()
+    small = rows.groupBy(*by, t.alias("t"), "actor_pseudonym").agg(
+        A.calls_of(rows).alias("calls"), F.sum("cost_usd").alias("cost"), F.sum(F.when(F.col("is_orphan"), A.tokens()).otherwise(0)).alias("orphan"), F.sum(A.tokens()).alias("tokens")
+    )
+    bounds = small.groupBy(*by).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("hi > lo")
+    joined = small.join(bounds, by) if by else small.join(F.broadcast(bounds))  # without scopes it is one row
+    late = F.col("t") >= (F.col("lo") + F.col("hi")) / 2
     aggs = []
     for name, cond in (("prior", ~late), ("recent", late)):
+        half = lambda c, cond=cond: F.sum(F.when(cond, F.col(c)))
         aggs += [
-            F.count_if(cond).alias(f"{name}_events"), F.count_distinct(F.when(cond, F.col("actor_pseudonym"))).alias(f"{name}_actors"),
-            F.round(F.coalesce(half(F.col("cost_usd"), cond), F.lit(0.0)), 6).alias(f"{name}_cost"),
-            ratio(half(F.when(F.col("is_orphan"), A.tokens()).otherwise(0), cond), half(A.tokens(), cond)).alias(f"{name}_orphan_share"),
+            F.coalesce(half("calls"), F.lit(0)).alias(f"{name}_events"), F.count_distinct(F.when(cond, F.col("actor_pseudonym"))).alias(f"{name}_actors"),
+            F.round(F.coalesce(half("cost"), F.lit(0.0)), 6).alias(f"{name}_cost"), ratio(half("orphan"), half("tokens")).alias(f"{name}_orphan_share"),
         ]
     out = joined.groupBy(*by).agg(*aggs).where("prior_events > 0 AND recent_events > 0")
     ok = F.least("prior_actors", "recent_actors") >= k
@@ -128,7 +131,28 @@ def ledger_summary(booked: DataFrame, costs: DataFrame, k: int = K) -> DataFrame
     return joined.select(*by, "participants", "solved", (F.col("participants") - 1).alias("avoided_solves"), F.when(ok, value).otherwise(0.0).alias("credited_usd"), (~ok).alias("suppressed"))
 
 
+def participants(matches: DataFrame, cluster: str) -> DataFrame:
+    """How many different people a cluster's matches name, on either side."""
+    people = matches.select(cluster, F.explode(F.array("a", "b")).alias("person")).distinct()
+    return people.groupBy(cluster).agg(F.count("*").alias("participants"))
+
+
 # Benchmark between tenants.
+def cohort(tenants: DataFrame, org: str, own: DataFrame) -> DataFrame:
+    """The tenants that a tenant is compared with: its organisation's, and itself."""
+    return tenants.where(F.col("org") == org).select("tenant_id").union(own.select("tenant_id")).distinct()
+
+
+def organisations(rows: DataFrame) -> DataFrame:
+    """Organisations other than the one that rows without a tenant belong to."""
+    return rows.select("org").where("org <> 'default'").distinct()
+
+
+def shipped_scope(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Objectives that calls were spent on and something was shipped for."""
+    return outcomes.select("objective_id").intersect(rows.select("objective_id"))
+
+
 METRICS = [
     ("cost_per_1k_tokens", False), ("cache_hit_ratio", True), ("cache_recoverable_share", False), ("orphan_share", False),
     ("net_new_share", True), ("maintenance_share", False), ("retry_rate", False), ("reuse_share", True),
@@ -194,3 +218,58 @@ def exchange_percentiles(submissions: DataFrame, focus: str, lower_is_better: tu
     g = joined.groupBy("metric").agg(F.count("*").alias("cohort_orgs"), below.alias("below")).where(F.col("cohort_orgs") >= k_orgs)
     band = F.bround(F.col("below") / (F.col("cohort_orgs") - 1) * 4, 0) / 4
     return g.select("metric", "cohort_orgs", F.least(F.lit(0.9), F.greatest(F.lit(0.1), band)).alias("your_percentile"))
+
+
+# The management report.
+REPORT_DIMENSIONS = ("objective_label", "tool", "request_model", "provider", "work_type")
+
+
+def management_report(rows: DataFrame, key: str, objectives: DataFrame | None = None, outcomes: DataFrame | None = None, period: tuple[datetime, datetime, datetime] | None = None, k: int = K) -> dict[str, DataFrame]:
+    """One scope's report, block by block; ``rows`` are its daily sums (``aggregates.daily``), kept or stored before.
+
+    Blocks: ``totals`` (one row: figures of the whole scope, noise keyed by ``key``, recoverable band, cache-hit ratio),
+    ``rollups`` (five dimensions), ``trend``, ``investment``, ``new_initiatives``, ``compression``, ``routing``, ``memory``,
+    and, where their inputs are given, ``budgets`` (``period``: start, end, now) and ``value``. Every figure is behind the
+    gate of k people, of its own group or of the whole scope. Windows are of whole days.
+    """
+    total = A.totals(rows)
+    shown = lambda c: F.when(F.col("actors") >= k, F.col(c)).alias(c)
+    wide = total.select("actors", "unpriced", *map(shown, ("n", "tokens", "cost")), noisy(F.col("cost"), F.col("actors"), F.lit(key), k).alias("noisy_cost"), "cache_read")
+    scope = F.broadcast(total.select("actors"))  # one row, as are all totals
+
+    def gated(df: DataFrame, *columns: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in columns]
+        return df.join(scope).select(*rest, *[withhold(F.col(c), F.col("actors"), k).alias(c) for c in columns])
+
+    rolled = A.all_rollups(rows, REPORT_DIMENSIONS)
+    out = {
+        "totals": wide.join(F.broadcast(A.recoverable_band(total))).join(F.broadcast(gated(A.orphan_share(rows), "orphan_share"))),
+        "rollups": rolled.select("dimension", "label", "calls", "actors", *[suppress(F.col(c), F.col("actors"), k).cast("double").alias(c) for c in ("tokens", "cost")], (F.col("actors") < k).alias("suppressed")),
+        "trend": drift(rows, k),
+        "investment": A.investment_split(rows, k),
+        "new_initiatives": A.new_initiatives(rows, k),
+        "compression": A.compression_yield(total, k),
+    }
+    if "route_saved_usd" in rows.columns:
+        out["routing"] = gated(A.routing_totals(rows), "realised", "shadow", "routed_calls")
+    if "tm_tier" in rows.columns:
+        out["memory"] = gated(A.memory_totals(rows), "calls", "shadow_usd")
+    if objectives is not None and period is not None:
+        start, end, now = period
+        out["budgets"] = budget_status(rows, objectives, start, end, now, k, gated=True)
+    if outcomes is not None:
+        value = A.value_line(rows, outcomes, total.select("cost"))
+        out["value"] = gated(value, *value.columns)
+    return out
+
+
+def as_lines(report: dict[str, DataFrame], labels: dict[str, list[str]]) -> DataFrame:
+    """A report's blocks in one table: ``block``, ``label`` (the block's label columns, joined), ``metric``, ``value`` (flags are 0 and 1)."""
+    parts = []
+    for block, df in report.items():
+        own = labels.get(block, [])
+        kinds = dict(df.dtypes)
+        metrics = [c for c in df.columns if c not in own and kinds[c] != "string"]
+        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics])
+        parts.append(df.select(F.lit(block).alias("block"), F.concat_ws("|", *own).alias("label") if own else F.lit("").alias("label"), F.explode(pairs).alias("x")).select("block", "label", "x.metric", "x.value"))
+    return reduce(DataFrame.unionByName, parts)

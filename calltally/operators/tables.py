@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cost_band, csv_safe
+from ..functions.columns import cost_band, csv_safe, ticket_of
 from ..functions.text import redact_patterns
 from ..sources.calls import latest
 from . import pricing
@@ -136,3 +136,22 @@ SLUGS = ("repo", "objective_label", "ticket_id", "work_type", "tool")
 def redact_slugs(rows: DataFrame, columns: tuple[str, ...] = SLUGS) -> DataFrame:
     """Slug columns with secrets and personal data replaced, whatever the sender did."""
     return rows.withColumns({c: redact_patterns(F.col(c)) for c in columns if c in rows.columns})
+
+
+def with_overrides(rows: DataFrame, given: dict[str, Column], branch: str = "git_branch") -> DataFrame:
+    """What a caller states wins over what was detected; a ticket that neither gives is the branch's."""
+    out = rows.withColumns({c: F.coalesce(v, F.col(c)) if c in rows.columns else v for c, v in given.items()})
+    return out.withColumn("ticket_id", F.coalesce(F.col("ticket_id") if "ticket_id" in out.columns else F.lit(None), ticket_of(F.col(branch))))
+
+
+def with_capabilities(rows: DataFrame, tools: DataFrame) -> DataFrame:
+    """Capture tier and fidelity flags of each row's tool, by name or other name. Columns of ``tools``: name, aliases and the rest."""
+    rest = [c for c in tools.columns if c not in ("name", "aliases")]
+    names = tools.select(F.explode(F.array_union(F.array("name"), "aliases")).alias("tool"), *rest).dropDuplicates(["tool"])
+    return rows.join(names, "tool", "left")
+
+
+def conversation_keys(turns: DataFrame, chars: int = 200) -> DataFrame:
+    """One key a conversation: the hash of its first user turn's first characters."""
+    own = turns.where("role = 'user'")
+    return own.groupBy("conv_id").agg(F.sha2(F.min_by(F.substring(F.coalesce("text", F.lit("")), 1, chars), "turn").cast("binary"), 256).alias("key"))

@@ -16,7 +16,7 @@ from ..operators import aggregates as A
 from ..operators import attribution, matching, pricing, reports, tables, waste
 from ..sources import dims
 from ..sources.calls import call_log, facts
-from ..streaming.commits import shared_folder
+from ..operators.sizes import kept, shared_folder
 from .facts_sql import DIMS_SQL, FACTS_SQL, NORM_SQL, hmac_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,7 +209,7 @@ def actor_costs(spark, sf_dir):
 
 @q("SELECT DISTINCT tenant_id, objective_id FROM facts")
 def distinct_scope(spark, sf_dir):
-    return facts(spark, sf_dir).select("tenant_id", "objective_id").distinct()
+    return A.distinct_scope(facts(spark, sf_dir))
 
 
 _ME = "(SELECT min(actor_pseudonym) FROM facts)"
@@ -226,7 +226,7 @@ def actor_summary(spark, sf_dir):
 
 @q(f"SELECT work_type, count(*) AS calls, sum{TOK}::BIGINT AS tokens, {MONEY.format('sum(cost_usd)')} AS cost FROM facts WHERE actor_pseudonym = {_ME} GROUP BY 1")
 def actor_work_mix(spark, sf_dir):
-    return _me(facts(spark, sf_dir)).groupBy("work_type").agg(F.count("*").alias("calls"), F.sum(A.tokens()).alias("tokens"), A.money(F.sum("cost_usd")).alias("cost"))
+    return A.work_mix(_me(facts(spark, sf_dir))).drop("actor_pseudonym")
 
 
 @q("SELECT actor_pseudonym, work_type, count(*) AS calls FROM facts GROUP BY ALL")
@@ -237,8 +237,7 @@ def work_mix_of_all(spark, sf_dir):
 @q(f"SELECT actor_pseudonym, count(*) AS calls, sum{TOK}::BIGINT AS tokens, {MONEY.format('sum(cost_usd)')} AS cost, count(DISTINCT objective_id) AS objectives, count(DISTINCT ticket_id) AS tickets, count(DISTINCT tool) AS tools, count(DISTINCT request_model) AS models FROM facts GROUP BY 1")
 def work_graph(spark, sf_dir):
     """Everyone's personal work graph, counts only."""
-    d = F.count_distinct
-    return facts(spark, sf_dir).groupBy("actor_pseudonym").agg(F.count("*").alias("calls"), F.sum(A.tokens()).alias("tokens"), A.money(F.sum("cost_usd")).alias("cost"), d("objective_id").alias("objectives"), d("ticket_id").alias("tickets"), d("tool").alias("tools"), d("request_model").alias("models"))
+    return A.work_graph(facts(spark, sf_dir))
 
 
 @q(f"SELECT * FROM facts WHERE actor_pseudonym = {_ME} ORDER BY ts DESC, event_id LIMIT 20")
@@ -548,17 +547,17 @@ def solution_capsules(spark, sf_dir):
 
 @q("SELECT DISTINCT org FROM facts WHERE org <> 'default' AND org IN (SELECT r_name FROM region)")
 def organisations(spark, sf_dir):
-    return facts(spark, sf_dir).select("org").distinct().exceptAll(dims.local_table(spark, [("default",)], "org string"))
+    return reports.organisations(facts(spark, sf_dir))
 
 
 @q(f"SELECT n_name AS tenant_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20 AND r_name = 'ASIA' UNION SELECT '{TENANT}'", fact=False)
 def benchmark_cohort(spark, sf_dir):
-    return dims.tenants(spark, sf_dir).where("org = 'ASIA'").select("tenant_id").union(dims.local_table(spark, [(TENANT,)], "tenant_id string")).dropDuplicates()
+    return reports.cohort(dims.tenants(spark, sf_dir), "ASIA", dims.local_table(spark, [(TENANT,)], "tenant_id string"))
 
 
 @q(f", {OUTCOMES_SQL} SELECT objective_id FROM outcomes INTERSECT SELECT objective_id FROM facts WHERE tenant_id = '{TENANT}'")
 def spent_and_shipped(spark, sf_dir):
-    return outcomes(spark, sf_dir).select("objective_id").intersect(A.for_tenant(facts(spark, sf_dir), TENANT).select("objective_id"))
+    return reports.shipped_scope(A.for_tenant(facts(spark, sf_dir), TENANT), outcomes(spark, sf_dir))
 
 
 # ---- waste, routing -------------------------------------------------------------------------------------------------
@@ -646,12 +645,17 @@ _SAVED = _ROUTED + """, saved AS (SELECT pick.*, CASE WHEN route_target IS NULL
  FROM pick LEFT JOIN price ON price_key = CASE route_target WHEN 'claude-haiku-4-5' THEN 'claude-haiku-4' WHEN 'gpt-4o-mini' THEN 'gpt-4o-mini' WHEN 'gemini-2.5-flash' THEN 'gemini-2.5-flash' END)
 """
 _SAVED_SUMS = f"{MONEY.format('sum(saving) FILTER (sent)')} AS realised, {MONEY.format('sum(saving) FILTER (NOT sent)')} AS shadow, count(route_target) AS routed_calls"
+_MEMORY_SUMS = f"count(*) FILTER (tm_tier = 'serve') AS serve_hits, count(*) FILTER (tm_tier = 'warm_start') AS warm_starts, {MONEY.format('sum(tm_shadow_usd)')} AS memory_shadow"
+#: What team memory would have said, of the test tables: by the tokens.
+_TIER = "CASE WHEN output_tokens % 5 = 0 THEN 'serve' WHEN output_tokens % 5 = 1 THEN 'warm_start' END"
+_SAVED += f", remembered AS (SELECT *, {_TIER} AS tm_tier, CASE WHEN output_tokens % 5 < 2 THEN output_tokens / 1000.0::DOUBLE END AS tm_shadow_usd FROM saved)"
 
 
 def _saved(spark, sf_dir):
     r = pricing.route_calls(_requests(facts(spark, sf_dir)), dims.prices(spark))
     r = r.withColumn("original_model", F.col("request_model")).withColumn("request_model", F.when(F.col("input_tokens") % 2 == 0, F.coalesce("route_target", "request_model")).otherwise(F.col("request_model")))
-    return tables.rederive_routing(r.drop("route_saving_usd"), dims.prices(spark))
+    out = tables.rederive_routing(r.drop("route_saving_usd"), dims.prices(spark))
+    return out.withColumns({"tm_tier": F.expr(_TIER), "tm_shadow_usd": F.when(F.col("output_tokens") % 5 < 2, F.col("output_tokens") / 1000.0)})
 
 
 @q(_SAVED + f"SELECT {_SAVED_SUMS} FROM saved")
@@ -659,14 +663,75 @@ def routing_totals(spark, sf_dir):
     return A.routing_totals(_saved(spark, sf_dir))
 
 
-@q(_SAVED + f"SELECT actor_pseudonym, {_SAVED_SUMS} FROM saved GROUP BY 1")
+@q(_SAVED + f"SELECT tm_tier, count(*) AS calls, {MONEY.format('sum(tm_shadow_usd)')} AS shadow_usd FROM remembered WHERE tm_tier IS NOT NULL GROUP BY 1")
+def memory_totals(spark, sf_dir):
+    return A.memory_totals(_saved(spark, sf_dir))
+
+
+@q(_SAVED + f"SELECT actor_pseudonym, {_SAVED_SUMS}, {_MEMORY_SUMS} FROM remembered GROUP BY 1")
 def actor_savings(spark, sf_dir):
     return A.actor_savings(_saved(spark, sf_dir))
 
 
-@q(_SAVED + f"SELECT actor_pseudonym, count(*) AS calls, sum{TOK}::BIGINT AS tokens, {MONEY.format('sum(cost_usd)')} AS cost, count(*) FILTER (is_retry_loop) AS retries, sum(duplicate_history_tokens)::BIGINT AS dup_tokens, {_SAVED_SUMS} FROM saved GROUP BY 1")
+@q(_SAVED + f""", mix AS (SELECT actor_pseudonym, string_agg(label || '=' || calls || '=' || cents, ';' ORDER BY cents DESC, label) AS work_type_mix FROM (SELECT actor_pseudonym, coalesce(work_type, 'unknown') AS label, count(*) AS calls, round({MONEY.format('sum(cost_usd)')} * 10000)::BIGINT AS cents FROM remembered GROUP BY 1, 2) GROUP BY 1),
+own AS (SELECT actor_pseudonym, count(*) AS calls, sum{TOK}::BIGINT AS tokens, {MONEY.format('sum(cost_usd)')} AS cost, count(*) FILTER (is_retry_loop) AS retries, sum(duplicate_history_tokens)::BIGINT AS dup_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(input_tokens)::BIGINT AS input_tokens, {_SAVED_SUMS}, {_MEMORY_SUMS} FROM remembered GROUP BY 1)
+SELECT own.*, coalesce(round(cache_read_tokens / (cache_read_tokens + input_tokens)::DOUBLE, 4), 0.0) AS cache_hit_ratio, greatest(dup_tokens - cache_read_tokens, 0) AS uncached_resent_tokens, work_type_mix FROM own JOIN mix USING (actor_pseudonym)""")
 def developer_report(spark, sf_dir):
-    return A.developer_report(_saved(spark, sf_dir))
+    mix = F.transform("work_type_mix", lambda x: F.concat_ws("=", x["label"], x["calls"].cast("string"), F.round(x["cost"] * 10000).cast("long").cast("string")))
+    return A.developer_report(_saved(spark, sf_dir)).withColumn("work_type_mix", F.array_join(mix, ";"))
+
+
+#: Windows and scope of the report over the test tables.
+_REP = _SAVED + f""", {OUTCOMES_SQL}, r AS (SELECT * EXCLUDE (request_model), CASE WHEN input_tokens % 2 = 0 THEN coalesce(route_target, request_model) ELSE request_model END AS request_model FROM remembered WHERE tenant_id = '{TENANT}'), tot AS (SELECT {_TOTALS}, sum(CASE WHEN is_orphan THEN {TOK} ELSE 0 END)::DOUBLE / sum{TOK} AS orphan FROM r)"""
+
+
+def _lines(block: str, label: str, source: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{block}' AS block, {label} AS label, '{m}' AS metric, ({e})::DOUBLE AS value FROM {source}" for m, e in metrics.items())
+
+
+def _report_sql() -> str:
+    blended = "(cost / (tokens + cache_read + cache_creation))"
+    noise = f"round(cost + -(1.0::DOUBLE) * (CASE WHEN {_U} >= 0 THEN 1 ELSE -1 END) * ln(greatest(1 - 2 * abs({_U}), 1e-12)), 2)".replace("tenant_id", f"'{TENANT}'")
+    same = lambda *names: {n: n for n in names}
+    dims_ = ("objective_label", "tool", "request_model", "provider", "work_type")
+    rolled = " UNION ALL ".join(f"SELECT '{d}|' || label AS label, calls, tokens, cost, actors FROM ({_rollup_sql(d).replace('FROM facts', 'FROM r')})" for d in dims_)
+    kinds = f"(SELECT CASE WHEN label IN ('feature','exploration') THEN 'net_new' WHEN label IN ('fix','refactor','perf','chore','docs','test') THEN 'maintenance' ELSE 'unclassified' END AS label, {MONEY.format('sum(cost)')} AS cost, sum(tokens) AS tokens FROM ({_rollup_sql('work_type').replace('FROM facts', 'FROM r')}) WHERE actors >= 5 GROUP BY 1)"
+    orphans = f"sum(CASE WHEN is_orphan THEN {TOK} ELSE 0 END)"
+    halves = f"""(SELECT count(DISTINCT actor_pseudonym) FILTER (NOT late) AS prior_actors, count(DISTINCT actor_pseudonym) FILTER (late) AS recent_actors, count(*) FILTER (NOT late) AS prior_events, count(*) FILTER (late) AS recent_events,
+ round(sum(cost_usd) FILTER (NOT late), 6) AS prior_cost, round(sum(cost_usd) FILTER (late), 6) AS recent_cost, round({orphans} FILTER (NOT late)::DOUBLE / sum{TOK} FILTER (NOT late), 6) AS prior_orphan_share, round({orphans} FILTER (late)::DOUBLE / sum{TOK} FILTER (late), 6) AS recent_orphan_share
+ FROM (SELECT *, epoch_us(ts) >= (min(epoch_us(ts)) OVER () + max(epoch_us(ts)) OVER ()) / 2 AS late FROM r))"""
+    trend = {"prior_actors": "prior_actors", "recent_actors": "recent_actors", "suppressed": "least(prior_actors, recent_actors) < 5"} | same(*[f"{n}_{c}" for n in ("prior", "recent") for c in ("events", "cost", "orphan_share")])
+    trend |= {"cost_delta": "round(recent_cost - prior_cost, 6)", "orphan_delta": "round(recent_orphan_share - prior_orphan_share, 6)", "cost_alert": "recent_cost > prior_cost AND (recent_cost - prior_cost) / prior_cost >= 0.25", "orphan_alert": "abs(round(recent_orphan_share - prior_orphan_share, 6)) >= 0.10"}
+    new = """(SELECT objective_label || '|' || work_type AS label, actors, CASE WHEN actors >= 5 THEN round(c + 1e-9, 4) END AS cost FROM (SELECT objective_label, min(t) AS t, sum(c) AS c, arg_max(work_type, (round(c, 6), work_type)) AS work_type FROM (SELECT objective_label, work_type, sum(cost_usd) AS c, min(epoch_us(ts)) AS t FROM r WHERE objective_label IS NOT NULL GROUP BY ALL) GROUP BY 1)
+ JOIN (SELECT objective_label, count(DISTINCT actor_pseudonym) AS actors FROM r GROUP BY 1) USING (objective_label), (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM r) WHERE t >= (lo + hi) / 2)"""
+    budget = _BUDGET.replace("FROM facts", "FROM r")
+    hide = lambda c: f"CASE WHEN actors BETWEEN 1 AND 4 THEN NULL ELSE {c} END"
+    value = f"""(SELECT *, round(merged / changes, 4) AS merge_rate, round(reverted / merged, 4) AS revert_rate, round(cost / merged, 4) AS cost_per_merged_change, round(matched / merged, 4) AS matched_cost_per_merged_change FROM (SELECT count(*) AS changes, count(*) FILTER (merged) AS merged, count(*) FILTER (reverted) AS reverted, sum(lines_added - lines_removed) AS net_lines FROM outcomes WHERE objective_id IN (SELECT objective_id FROM r WHERE objective_id IS NOT NULL)),
+ (SELECT (SELECT cost FROM tot) AS cost, sum(cost_usd) FILTER (objective_id IN (SELECT objective_id FROM outcomes)) AS matched FROM r))"""
+    parts = [
+        _lines("totals", "''", "tot", same("actors", "unpriced", "n", "tokens", "cost", "cache_read") | {"noisy_cost": noise, "ceiling_usd": f"round(greatest(dup_tokens - cache_read, 0) * {blended}, 4)", "floor_usd": f"round(greatest(dup_tokens - cache_read, 0) * {blended} * 0.1::DOUBLE, 4)", "cache_hit_ratio": "round(cache_read / (cache_read + input_tokens), 4)", "orphan_share": "round(orphan, 6)"}),
+        _lines("rollups", "label", f"({rolled})", same("calls", "actors") | {"tokens": "CASE WHEN actors >= 5 THEN tokens ELSE 0 END", "cost": "CASE WHEN actors >= 5 THEN cost ELSE 0 END", "suppressed": "actors < 5"}),
+        _lines("trend", "''", halves, trend),
+        _lines("investment", "label", kinds, same("cost", "tokens")),
+        _lines("new_initiatives", "label", new, same("actors", "cost")),
+        _lines("compression", "''", "tot", {"saved_tokens": "saved_tokens", "saved_usd": "round(saved_tokens * (cost / tokens), 4)", "cache_hits": "cache_hits"}),
+        _lines("routing", "''", f"(SELECT {_SAVED_SUMS} FROM r)", same("realised", "shadow", "routed_calls")),
+        _lines("memory", "tm_tier", f"(SELECT tm_tier, count(*) AS calls, {MONEY.format('sum(tm_shadow_usd)')} AS shadow_usd FROM r WHERE tm_tier IS NOT NULL GROUP BY 1)", same("calls", "shadow_usd")),
+        _lines("budgets", "objective_id || '|' || objective_label || '|' || CASE WHEN actors BETWEEN 1 AND 4 THEN 'suppressed' ELSE status END", "status", same("budget_usd", "actors") | {c: hide(c) for c in ("spent_usd", "pct", "forecast_usd", "projected_overrun_usd")}),
+        _lines("value", "''", value, same("changes", "merged", "reverted", "net_lines", "merge_rate", "revert_rate", "cost_per_merged_change", "matched_cost_per_merged_change")),
+    ]
+    return _REP + budget + " UNION ALL ".join(parts)
+
+
+REPORT_LABELS = {"rollups": ["dimension", "label"], "investment": ["kind"], "new_initiatives": ["objective_label", "work_type"], "memory": ["tm_tier"], "budgets": ["objective_id", "objective_label", "status"]}
+
+
+@q(_report_sql())
+def management_report(spark, sf_dir):
+    """One tenant's whole report as lines, read from daily sums that are made once and kept."""
+    rows = kept(A.daily(A.for_tenant(_saved(spark, sf_dir), TENANT)))
+    blocks = reports.management_report(rows, TENANT, dims.objectives(spark), outcomes(spark, sf_dir), (START, END, NOW))
+    return reports.as_lines(blocks, REPORT_LABELS)
 
 
 @q(f"SELECT 'px_' || substr({hmac_sql(chr(39) + P.SALT + ':' + chr(39) + ' || c_name')}, 1, 20) AS pseudonym, c_name AS display_name, n_name AS tenant_id FROM customer JOIN nation ON c_nationkey = n_nationkey", fact=False)
@@ -911,6 +976,48 @@ def slim_tools(spark, sf_dir):
     return t.select("l_orderkey", F.array_sort(F.transform(whatif.slim_tools(F.col("t")), lambda x: F.replace(x, F.lit('"'), F.lit("")))).alias("tools"))
 
 
+def request_bodies(spark, sf_dir) -> DataFrame:
+    """Every turn as a request whose tool printed it thrice in bold, in the shape of one of three providers."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    out = F.concat(F.lit("\x1b[1m"), F.array_join(F.array_repeat("text", 3), "\n"))
+    one = lambda **fields: F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in fields.items()])
+    sh = one(name="sh", input="a command")
+    asked, done = one(type="text", text=F.col("text")), one(type="tool_result", tool_use_id="x", content=out)
+    openai = one(messages=F.array(one(role="user", content=F.col("text")), one(role="tool", content=out)), functions=F.array(sh))
+    which = F.pmod(F.col("conv_id"), F.lit(3))
+    blocks = lambda *parts: F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
+    return t.select(
+        "conv_id", "turn", F.when(which == 0, "anthropic").when(which == 1, "openai").otherwise("google").alias("provider"),
+        F.when(which == 0, F.concat(F.lit('{"model": "m", "system": "be brief", "messages": [{"role": "user", "content": '), blocks(F.to_json(asked), F.to_json(done)), F.lit('}], "tools": ['), F.to_json(sh), F.lit("]}")))
+        .when(which == 1, F.to_json(openai))
+        .otherwise(F.concat(F.lit('{ "contents" : [{"role":"user","parts":'), blocks(F.to_json(one(text=F.col("text"))), F.to_json(one(functionResponse=one(name="sh", response=one(out=out))))), F.lit("}] }"))).alias("body"),
+    )
+
+
+_EST = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, round_even(length({0}) / 4.0, 0)) END"
+
+
+@q(f"""WITH t AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT id, unnest(string_split(text || chr(10) || text || chr(10) || text, chr(10))) AS line, generate_subscripts(string_split(text || chr(10) || text || chr(10) || text, chr(10)), 1) AS i FROM t),
+g AS (SELECT *, sum(CASE WHEN line IS NOT DISTINCT FROM before AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, lag(line) OVER (PARTITION BY id ORDER BY i) AS before FROM l)),
+f AS (SELECT id, run, any_value(line) || CASE WHEN count(*) > 1 THEN '    ... x' || count(*) ELSE '' END AS line FROM g GROUP BY 1, 2),
+m AS (SELECT *, max(run) OVER (PARTITION BY id) AS m FROM f),
+o AS (SELECT id, CASE WHEN max(m) > 200 THEN string_agg(line, chr(10) ORDER BY run) FILTER (run <= 120) || chr(10) || '... ' || (max(m) - 160)::BIGINT || ' lines cut ...' || chr(10) || string_agg(line, chr(10) ORDER BY run) FILTER (run > m - 40) ELSE string_agg(line, chr(10) ORDER BY run) END AS new FROM m GROUP BY 1),
+b AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' ELSE 'google' END AS provider, text, new, chr(27) || '[1m' || text || chr(10) || text || chr(10) || text AS old,
+ CASE conv_id % 3 WHEN 0 THEN 2 + 9 WHEN 1 THEN 9 ELSE 0 END AS fixed FROM t JOIN o USING (id))
+SELECT conv_id, turn, provider, (fixed + {_EST.format('text')} + {_EST.format('old')})::BIGINT AS tokens, (fixed + {_EST.format('text')} + {_EST.format('new')})::BIGINT AS trimmed_tokens, sha256(new) AS result_sha256, text = asked AS rest_stays
+ FROM (SELECT *, text AS asked FROM b)""", fact=False)
+def tool_result_trim(spark, sf_dir):
+    """Tool results trimmed inside request bodies of three shapes, and the billable tokens before and after."""
+    from ..operators import bodies
+
+    b = bodies.body_savings(request_bodies(spark, sf_dir))
+    at = lambda paths: F.coalesce(*[F.get_json_object("trimmed", p) for p in paths])
+    result = at(["$.messages[0].content[1].content", "$.messages[1].content", "$.contents[0].parts[1].functionResponse.response.out"])
+    kept_text = lambda c: F.coalesce(*[F.get_json_object(c, p) for p in ("$.messages[0].content[0].text", "$.messages[0].content", "$.contents[0].parts[0].text")])
+    return b.select("conv_id", "turn", "provider", "tokens", "trimmed_tokens", F.sha2(result.cast("binary"), 256).alias("result_sha256"), (kept_text("body") == kept_text("trimmed")).alias("rest_stays"))
+
+
 @q("SELECT event_id, ts, signal, cache_saving_usd FROM (SELECT *, CASE WHEN duplicate_history_tokens - cache_read_tokens >= 2000 AND cache_read_tokens < duplicate_history_tokens / 2 THEN 'cache_inefficiency' WHEN input_tokens > 0 AND duplicate_history_tokens / input_tokens >= 0.6 THEN 'context_bloat' WHEN input_tokens + output_tokens BETWEEN 1 AND 350 AND NOT is_retry_loop THEN 'routing_hint' END AS signal FROM facts) WHERE signal IS NOT NULL")
 def signal_feed(spark, sf_dir):
     from ..streaming import jobs
@@ -1004,9 +1111,9 @@ def stream_broker_matches(spark, sf_dir):
 @q("SELECT event_id, coalesce(CASE WHEN event_id LIKE '%-1' THEN 'override-tool' END, tool) AS tool, coalesce(CASE WHEN event_id LIKE '%-2' THEN 'ZZ-9' END, ticket_id) AS ticket_id FROM facts")
 def context_overrides(spark, sf_dir):
     """An explicit value wins over a detected one; a ticket comes from the override or the branch."""
-    c = call_log(spark, sf_dir).withColumn("ticket_id", F.when(F.col("event_id").endswith("-2"), "ZZ-9"))
-    given = F.when(F.col("event_id").endswith("-1"), "override-tool")
-    return c.select("event_id", F.coalesce(given, "tool").alias("tool"), F.coalesce("ticket_id", C.ticket_of(F.col("git_branch"))).alias("ticket_id"))
+    c = call_log(spark, sf_dir)
+    given = {"tool": F.when(F.col("event_id").endswith("-1"), "override-tool"), "ticket_id": F.when(F.col("event_id").endswith("-2"), "ZZ-9")}
+    return tables.with_overrides(c, given).select("event_id", "tool", "ticket_id")
 
 
 #: Tools with capture tier, fidelity flags and other names (of the test tables).
@@ -1016,8 +1123,7 @@ CAPABILITIES = [("URGENT", 1, True, True, ("urgent-cli",)), ("HIGH", 2, True, Fa
 @q("""SELECT event_id, tier, has_tokens, has_messages FROM facts LEFT JOIN (VALUES ('URGENT', 1, true, true), ('HIGH', 2, true, false), ('MEDIUM', 2, true, false), ('LOW', 3, false, false)) c(t, tier, has_tokens, has_messages) ON tool = t""")
 def tool_capabilities(spark, sf_dir):
     dim = dims.local_table(spark, CAPABILITIES, "name string, tier int, has_tokens boolean, has_messages boolean, aliases array<string>")
-    names = dim.select(F.explode(F.array_union(F.array("name"), "aliases")).alias("tool"), "tier", "has_tokens", "has_messages")
-    return facts(spark, sf_dir).join(F.broadcast(names), "tool", "left").select("event_id", "tier", "has_tokens", "has_messages")
+    return tables.with_capabilities(facts(spark, sf_dir), dim).select("event_id", "tier", "has_tokens", "has_messages")
 
 
 @q("SELECT event_id, cost_usd FROM facts WHERE actor_pseudonym = (SELECT min(actor_pseudonym) FROM facts) AND ts >= '1996-01-01' AND ts < '1999-01-01'")
@@ -1043,8 +1149,7 @@ def latest_signal(spark, sf_dir):
 
 @q("SELECT objective_label, arg_max(work_type, (c, work_type)) AS work_type FROM (SELECT objective_label, work_type, round(sum(cost_usd), 6) AS c FROM facts WHERE objective_label IS NOT NULL GROUP BY ALL) GROUP BY 1")
 def dominant_work_type(spark, sf_dir):
-    per = facts(spark, sf_dir).where("objective_label IS NOT NULL").groupBy("objective_label", "work_type").agg(F.round(F.sum("cost_usd"), 6).alias("c"))
-    return per.groupBy("objective_label").agg(F.max_by("work_type", F.struct("c", "work_type")).alias("work_type"))
+    return A.dominant_work_type(facts(spark, sf_dir))
 
 
 @q("SELECT DISTINCT least(a, b) || '|' || greatest(a, b) AS pair FROM (SELECT 'u' || user_id AS a, 'u' || (event_id % 20) AS b FROM events)", fact=False)
@@ -1054,20 +1159,17 @@ def pair_keys(spark, sf_dir):
 
 @q("SELECT date_trunc('month', ts)::TIMESTAMP AS month_start, (date_trunc('month', ts) + INTERVAL 1 MONTH)::TIMESTAMP AS month_end, count(*) AS calls FROM facts GROUP BY ALL")
 def month_bounds(spark, sf_dir):
-    m = F.date_trunc("month", F.col("ts").cast("timestamp"))
-    return facts(spark, sf_dir).groupBy(m.cast("timestamp_ntz").alias("month_start"), (m + F.expr("interval 1 month")).cast("timestamp_ntz").alias("month_end")).agg(F.count("*").alias("calls"))
+    return A.by_month(facts(spark, sf_dir))
 
 
 @q("SELECT conv_id, sha256(left(arg_min(coalesce(text, ''), turn), 200)) AS key FROM conversations WHERE role = 'user' GROUP BY 1", fact=False)
 def conversation_keys(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.groupBy("conv_id").agg(F.sha2(F.substring(F.min_by(F.coalesce("text", F.lit("")), "turn"), 1, 200).cast("binary"), 256).alias("key"))
+    return tables.conversation_keys(table(spark, sf_dir, "conversations"))
 
 
 @q("""WITH p AS (SELECT DISTINCT a AS owner, b AS peer, topic FROM (SELECT 'u' || user_id AS a, 'u' || (event_id % 20) AS b, event_type AS topic FROM events)) SELECT topic, count(DISTINCT x) AS participants FROM (SELECT topic, owner AS x FROM p UNION SELECT topic, peer FROM p) GROUP BY 1""", fact=False)
 def cluster_participants(spark, sf_dir):
-    e = event_matches(spark, sf_dir).select("topic", F.explode(F.array("a", "b")).alias("x")).distinct()
-    return e.groupBy("topic").agg(F.count("*").alias("participants"))
+    return reports.participants(event_matches(spark, sf_dir), "topic")
 
 
 @q("""SELECT l_orderkey, greatest(0, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END))::DOUBLE > 25 AND count(*) < 4 AS eligible FROM lineitem GROUP BY 1""", fact=False)
