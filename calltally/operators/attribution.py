@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import branch_head, cosine, norm, ticket_of
-from ..functions.text import work_type_of_prompt
+from ..functions.text import with_learned_terms, work_type_of_prompt
 
 
 def by_joins(calls: DataFrame, objectives: DataFrame, prefixes: DataFrame, repos: DataFrame) -> DataFrame:
@@ -68,15 +68,23 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def work_types(calls: DataFrame, heads: DataFrame, labels: DataFrame | None = None, prompt: str = "prompt") -> DataFrame:
+def work_types(calls: DataFrame, heads: DataFrame, labels: DataFrame | None = None, prompt: str = "prompt", learned: DataFrame | None = None, terms: Column | None = None) -> DataFrame:
     """The cascade of ``work_type`` with its source: branch, prompt patterns, outside label of the same text, else unknown.
 
+    ``learned`` (term, label) adds two points to a label for each of its terms among the prompt's ``terms``; events have
+    ids of their own then.
+
     ``labels`` (text_key, label) holds one row a text. Rows that need none get a key of their own, which meets nothing and
     keeps them from piling up on null.
     """
     out = work_type_of_branch(calls, heads)
     said, still = work_type_of_prompt(F.coalesce(F.col(prompt), F.lit(""))), F.col("work_type") == "unknown"
-    out = out.withColumn("_said", F.when(still, said).otherwise("unknown"))
+    if learned is None:
+        out = out.withColumn("_said", F.when(still, said).otherwise("unknown"))
+    else:
+        rows = out.where(still).select("event_id", F.coalesce(prompt, F.lit("")).alias(prompt))
+        scored = with_learned_terms(rows, learned, "event_id", prompt, terms).select(F.col("event_id").alias("_event"), F.col("work_type").alias("_scored"))
+        out = out.join(scored, F.col("event_id") == F.col("_event"), "left").withColumn("_said", F.when(still, F.coalesce("_scored", F.lit("unknown"))).otherwise("unknown")).drop("_event", "_scored")
     found = F.col("_said") != "unknown"
     out = out.withColumns({"work_type": F.when(found, F.col("_said")).otherwise(F.col("work_type")), "work_type_source": F.when(found, "prompt").otherwise(F.col("work_type_source"))}).drop("_said")
     if labels is None:

@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions import privacy as P
 from ..functions import text as X
 from ..operators import aggregates as A
-from ..operators import attribution, matching, pricing, reports, tables, waste
+from ..operators import attribution, evaluation, matching, pricing, reports, tables, waste
 from ..sources import dims
 from ..sources.calls import call_log, facts
 from ..operators.sizes import kept, shared_folder
@@ -931,16 +931,59 @@ def learned_vocabulary(spark, sf_dir):
     return X.learn_vocabulary(_labelled(spark, sf_dir), C.learning_terms(F.coalesce("text", F.lit("")), STOP), "label")
 
 
-@q()
+def _scored_sql(source: str) -> str:
+    """Points of every label for ``source`` (id, text): patterns, and two for each learned term."""
+    base = ", ".join(f"{{'label': '{label}', 's': s{i}}}" for i, (label, _, _) in enumerate(X.PROMPT_SIGNALS))
+    order = " ".join(f"WHEN '{label}' THEN {-i}" for i, (label, _, _) in enumerate(X.PROMPT_SIGNALS))
+    return f"""voc AS (SELECT term, label FROM b WHERE support >= 4 AND support >= 0.8 * total), src AS ({source}),
+pw AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}'), lambda w: w NOT IN ({_STOPS}))[1:400] AS w FROM src),
+pt AS (SELECT id, unnest(list_distinct(w)) AS term FROM pw UNION SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pw WHERE len(w) > 1),
+pts AS (SELECT id, x.label AS label, x.s AS s FROM (SELECT id, unnest([{base}]) AS x FROM (SELECT id, {_HITS} FROM src)) UNION ALL SELECT id, label, 2 * count(*) FROM pt JOIN voc USING (term) GROUP BY 1, 2),
+sums AS (SELECT id, label, sum(s) AS s, CASE label {order} ELSE -99 END AS o FROM pts GROUP BY 1, 2),
+typed AS (SELECT id, CASE WHEN max(s) > 0 THEN arg_max(label, (s, o, label)) ELSE 'unknown' END AS said FROM sums GROUP BY 1)"""
+
+
+@q(_TERMS + ", " + _scored_sql("SELECT DISTINCT doc_id AS id, coalesce(text, '') AS text FROM documents JOIN labels USING (doc_id)") + " SELECT id AS doc_id, said AS work_type FROM typed", fact=False)
 def learned_work_types(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     terms = C.learning_terms(F.coalesce("text", F.lit("")), STOP)
     return X.with_learned_terms(rows, X.learn_vocabulary(rows, terms, "label"), "doc_id", "text", terms)
 
 
-@q("SELECT quality, round(avg((toxic = 0)::INT), 6) AS accuracy, count(*) AS n FROM labels GROUP BY 1", fact=False)
+@q(_TERMS + ", " + _scored_sql("SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text FROM conversations WHERE role = 'user' AND conv_id % 5 > 0") + """
+SELECT conv_id || '-' || turn AS event_id, CASE WHEN conv_id % 5 = 0 THEN 'fix' ELSE said END AS work_type, CASE WHEN conv_id % 5 = 0 THEN 'branch' WHEN said <> 'unknown' THEN 'prompt' ELSE 'none' END AS work_type_source FROM conversations LEFT JOIN typed ON id = conv_id * 1000 + turn WHERE role = 'user'""", fact=False)
+def learned_cascade(spark, sf_dir):
+    """The cascade with the vocabulary that the labelled documents teach; every fifth conversation is on a fix branch."""
+    labelled = _labelled(spark, sf_dir)
+    learned = X.learn_vocabulary(labelled, C.learning_terms(F.coalesce("text", F.lit("")), STOP), "label")
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    calls = c.select(F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.when(F.col("conv_id") % 5 == 0, "fix/it").alias("git_branch"), F.col("text").alias("prompt"))
+    return attribution.work_types(calls, dims.branch_heads(spark), learned=learned, terms=C.learning_terms(F.coalesce("prompt", F.lit("")), STOP)).select("event_id", "work_type", "work_type_source")
+
+
+_JUDGED = f"""WITH d AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'fix' WHEN quality = 1 THEN 'feature' ELSE 'exploration' END AS expected, {{hits}} FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT expected, CASE WHEN {_BEST} = 0 THEN 'unknown' {' '.join(f"WHEN s{i} = {_BEST} THEN '{label}'" for i, (label, _, _) in enumerate(X.PROMPT_SIGNALS))} END AS predicted, count(*) AS n FROM d GROUP BY 1, 2)
+""".replace("{hits}", _HITS)
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    expected = F.when(F.col("toxic") == 1, "fix").when(F.col("quality") == 1, "feature").otherwise("exploration")
+    return evaluation.confusion(d, expected, X.work_type_of_prompt(F.coalesce("text", F.lit(""))))
+
+
+@q(_JUDGED + "SELECT * FROM m", fact=False)
+def intent_confusion(spark, sf_dir):
+    """What the prompt classifier takes labelled texts for."""
+    return _judged(spark, sf_dir)
+
+
+@q(_JUDGED + """, p AS (SELECT expected AS label, sum(n) AS n, coalesce(sum(n) FILTER (expected = predicted), 0) AS correct, (SELECT sum(n) FROM m x WHERE x.predicted = m.expected) AS taken FROM m GROUP BY 1
+ UNION ALL SELECT '(all)', sum(n), coalesce(sum(n) FILTER (expected = predicted), 0), sum(n) FROM m UNION ALL SELECT '(net new or not)', sum(n), coalesce(sum(n) FILTER ((expected IN ('feature', 'exploration')) = (predicted IN ('feature', 'exploration'))), 0), sum(n) FROM m)
+SELECT label, n::BIGINT AS n, correct::BIGINT AS correct, round(correct / n, 6) AS accuracy, coalesce(round(correct / taken, 6), 0.0) AS precision FROM p""", fact=False)
 def labelled_accuracy(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy("quality").agg(F.round(F.avg((F.col("toxic") == 0).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+    """Accuracy of the prompt classifier by label, over all, and of the split in new work and the rest."""
+    return evaluation.accuracy(_judged(spark, sf_dir))
 
 
 @q(r"SELECT item_id, CASE WHEN regexp_matches(p, '^\s*(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|id:[A-Za-z0-9-]+)\s+') THEN regexp_replace(p, '^\s*(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|id:[A-Za-z0-9-]+)\s+', '') || chr(10) || trim(regexp_extract(p, '^\s*((?:[0-9]{4}-[0-9]{2}-[0-9]{2}|id:[A-Za-z0-9-]+)\s+)', 1)) ELSE p END AS stable FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN '2024-01-02 ' WHEN 1 THEN 'id:ab-' || item_id || ' ' ELSE '' END || text AS p FROM benchmark)", fact=False)
@@ -1105,6 +1148,82 @@ def stream_broker_matches(spark, sf_dir):
     return spark.read.schema(jobs.MATCHES).parquet(f"{folder}/out").drop("ts")
 
 
+@q(_TERMS + "SELECT term, label, support, total FROM b WHERE support >= 4 AND support >= 0.8 * total", fact=False)
+def stream_vocabulary(spark, sf_dir):
+    """The vocabulary as a stream of standings learns it; its batch twin is ``learned_vocabulary``."""
+    from ..streaming import learning
+
+    folder = f"{shared_folder(spark)}/stream_vocabulary-{uuid.uuid4()}"
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "fix").otherwise("feature").alias("label"))
+    rows = _stream_of(spark, sf_dir, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("event_id"), F.col("text").alias("prompt"), "label")
+    learning.learning_stream(rows, f"{folder}/out", f"{folder}/checkpoint", C.learning_terms(F.coalesce("prompt", F.lit("")), STOP), "label").awaitTermination()
+    return learning.vocabulary(spark, f"{folder}/out")
+
+
+def event_calls(e: DataFrame) -> DataFrame:
+    """Events as priced calls of objectives by user."""
+    v, kind, user = F.col("value"), F.col("event_type"), F.col("user_id")
+    dup = F.when(kind == "view", F.floor(v * 200)).otherwise(0)
+    return e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), user).alias("actor_pseudonym"), F.concat(F.lit("obj"), F.pmod(user, F.lit(8))).alias("objective_id"), F.lit("m").alias("request_model"),
+        (F.round(v * 100) / 100).alias("cost_usd"), (kind == "click").alias("served_from_cache"), F.when(F.pmod("event_id", F.lit(4)) == 0, F.round(v) / 100).alias("route_saved_usd"), F.lit("small").alias("route_target"),
+        F.floor(v * 100).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), dup.cast("long").alias("duplicate_history_tokens"), F.lit(0).cast("long").alias("cache_read_tokens"), F.lit(False).alias("is_retry_loop"), (dup / 1e6).alias("cache_saving_usd"),
+    )
+
+
+@q(f"""WITH {DIMS_SQL}, e AS (SELECT event_id::VARCHAR AS event_id, ts, 'u' || user_id AS actor, 'obj' || user_id % 8 AS objective_id, round(value * 100) / 100 AS cost, event_type AS kind, event_id AS n, value AS v, floor(value * 100)::BIGINT AS tin, CASE WHEN event_type = 'view' THEN floor(value * 200)::BIGINT ELSE 0 END AS dup FROM events),
+w AS (SELECT *, CASE WHEN dup >= 2000 THEN 'cache_inefficiency' WHEN tin > 0 AND dup / tin >= 0.6 THEN 'context_bloat' WHEN tin + 1 <= 350 THEN 'routing_hint' END AS signal FROM e),
+s AS (SELECT *, sum(round(cost * 1e6)::BIGINT) OVER (PARTITION BY objective_id, date_trunc('month', ts) ORDER BY ts, event_id) AS spent FROM e JOIN objective USING (objective_id) WHERE budget > 0),
+t AS (SELECT *, CASE WHEN spent >= budget * 1e6 THEN 'over' WHEN spent >= 0.8 * budget * 1e6 THEN 'at_risk' ELSE 'ok' END AS status FROM s),
+c AS (SELECT *, lag(status, 1, 'ok') OVER (PARTITION BY objective_id, date_trunc('month', ts) ORDER BY ts, event_id) AS before FROM t)
+SELECT signal AS kind, event_id, actor, 'm' AS topic, dup / 1e6::DOUBLE AS usd FROM w WHERE signal IS NOT NULL
+UNION ALL SELECT 'cache_hit', event_id, actor, 'm', 0.0 FROM e WHERE kind = 'click' UNION ALL SELECT 'routing', event_id, actor, 'small', round(v) / 100 FROM e WHERE n % 4 = 0 AND round(v) / 100 >= 0.0001
+UNION ALL SELECT 'budget_' || status, event_id, actor, objective_id, round(spent / 1e6::DOUBLE, 6) FROM c WHERE status <> before""", fact=False)
+def stream_feed(spark, sf_dir):
+    """The live feed over events as calls: waste, saving and budget lines."""
+    from ..streaming import feed, vectors
+
+    with vectors.state_in_rocksdb(spark):
+        return _drained(feed.live_feed(event_calls(_events(spark, sf_dir)), dims.objectives(spark)), "stream_feed").drop("ts")
+
+
+_WORDS_ALONE = """(SELECT actor, event_id, max(i::DOUBLE / (n - i)) AS s FROM (SELECT x.actor, x.event_id, len(list_intersect(x.words, y.words)) AS i, len(x.words) + len(y.words) AS n FROM w x JOIN w y ON x.actor = y.actor AND {on}) WHERE n > i GROUP BY 1, 2 HAVING max(i::DOUBLE / (n - i)) >= {bar})"""
+
+
+@q(_like_before_sql("conv_id % 50", "answered", waste.ANSWERED_BACK, waste.ANSWERED_BAR).split(",\nj AS")[0] + ", v AS (SELECT actor, event_id, words, row_number() OVER (PARTITION BY actor ORDER BY ts, event_id) AS nth FROM w), r AS " + _WORDS_ALONE.format(on="y.nth < x.nth AND y.nth >= x.nth - 4", bar=0.8).replace("FROM w x JOIN w y", "FROM v x JOIN v y") + ", a AS " + _WORDS_ALONE.format(on="y.answered AND y.before + 1 <= x.before AND y.before + 1 > x.before - 100", bar=0.7) + """
+SELECT coalesce(r.actor, a.actor) AS actor, coalesce(r.event_id, a.event_id) AS event_id, round(r.s, 4) AS retry, round(a.s, 4) AS answered FROM r FULL JOIN a ON r.actor = a.actor AND r.event_id = a.event_id""", fact=False)
+def stream_prompts(spark, sf_dir):
+    """Retried and answered prompts by keyed state, with words alone as the similarity; prompts are derived and land as files first."""
+    from ..streaming import state
+
+    folder = f"{shared_folder(spark)}/stream_prompts-{uuid.uuid4()}"
+    rows = asked(spark, sf_dir, 50).select(F.col("actor").cast("long").alias("actor"), "ts", "event_id", "prompt", "answered")
+    rows.write.parquet(f"{folder}/in")
+    found = state.prompts_seen(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), 0.8, 4, 0.7, 100, state.jaccard)
+    return _drained(found, "stream_prompts")
+
+
+@q("""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), u AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t WHERE role = 'user')
+SELECT u.conv_id, u.turn, count(*) FILTER (t.turn <= u.before)::INT AS resent_messages FROM u JOIN t ON u.conv_id = t.conv_id AND t.turn <= u.turn GROUP BY 1, 2""", fact=False)
+def stream_resent(spark, sf_dir):
+    """Leading messages that a conversation's request before had too, by state; requests are derived and land as files first."""
+    from ..streaming import state
+
+    folder = f"{shared_folder(spark)}/stream_resent-{uuid.uuid4()}"
+    prints = F.transform("messages", lambda m: F.sha2(F.concat_ws(":", m["role"], m["text"]), 256))
+    requests = waste.conversation_requests(table(spark, sf_dir, "conversations")).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), prints.alias("fingerprints"))
+    requests.write.parquet(f"{folder}/in")
+    return _drained(state.resent_runs(spark.readStream.schema(requests.schema).parquet(f"{folder}/in")), "stream_resent")
+
+
+@q("SELECT DISTINCT 'o' || o_orderkey AS outcome_id, arg_max(o_orderstatus = 'F', (o_orderdate, o_custkey)) AS merged, arg_max(floor(o_totalprice / 1000)::BIGINT, (o_orderdate, o_custkey)) AS lines_added FROM orders GROUP BY 1", fact=False)
+def outcome_upsert(spark, sf_dir):
+    """Outcomes by id, the latest report of each."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.concat(F.lit("o"), "o_orderkey").alias("outcome_id"), "o_orderdate", "o_custkey", (F.col("o_orderstatus") == "F").alias("merged"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("lines_added"))
+    return tables.upsert(rows, ["outcome_id"], ["o_orderdate", "o_custkey"]).select("outcome_id", "merged", "lines_added")
+
+
 # ---- more gates and lookups -----------------------------------------------------------------------------------------
 
 

@@ -158,11 +158,6 @@ def memory_view(spark: SparkSession, folder: str) -> DataFrame:
     return BatchLog(folder).read(spark, "memory", columns(MEMORY)).drop("batch")
 
 
-def term_counts(stream: DataFrame, terms, label: str) -> DataFrame:
-    """Streaming twin of the vocabulary count; promotion runs on each update."""
-    return stream.select(F.explode(terms).alias("term"), F.col(label).alias("label")).groupBy("term", "label").agg(F.count("*").alias("n"))
-
-
 def signal_feed(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Waste lines with the dollars at stake, stream or table."""
     from ..operators.pricing import price_calls
