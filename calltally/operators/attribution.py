@@ -13,25 +13,28 @@ from ..functions.text import with_learned_terms, work_type_of_prompt
 
 
 def by_joins(calls: DataFrame, objectives: DataFrame, prefixes: DataFrame, repos: DataFrame) -> DataFrame:
-    """Ticket prefix, then repository; ``objective_id`` is null where neither is known. Broadcast joins on small dims."""
+    """Ticket prefix, then repository; ``objective_id`` is null where neither is known. Spark broadcasts the
+    dims where their size, which it knows, is small."""
     known = objectives.select("objective_id")
     p = prefixes.join(known, "objective_id").select("prefix", F.col("objective_id").alias("_by_ticket"))
     r = repos.join(known, "objective_id").select("repo_key", F.col("objective_id").alias("_by_repo"))
     out = calls.withColumn("ticket_id", F.coalesce("ticket_id", ticket_of(F.col("git_branch"))) if "ticket_id" in calls.columns else ticket_of(F.col("git_branch")))
-    out = out.withColumn("_prefix", F.upper(F.element_at(F.split("ticket_id", "-"), 1))).join(F.broadcast(p), F.col("_prefix") == F.col("prefix"), "left")
-    out = out.withColumn("_repo", F.lower("repo")).join(F.broadcast(r), F.col("_repo") == F.col("repo_key"), "left")
+    out = out.withColumn("_prefix", F.upper(F.element_at(F.split("ticket_id", "-"), 1))).join(p, F.col("_prefix") == F.col("prefix"), "left")
+    out = out.withColumn("_repo", F.lower("repo")).join(r, F.col("_repo") == F.col("repo_key"), "left")
     method = F.when(F.col("_by_ticket").isNotNull(), "ticket_join").when(F.col("_by_repo").isNotNull(), "repo_join").otherwise("none")
     out = out.withColumns({"objective_id": F.coalesce("_by_ticket", "_by_repo"), "attribution_method": method})
     return out.drop("_prefix", "prefix", "_by_ticket", "_repo", "repo_key", "_by_repo")
 
 
-def nearest_objective(rows: DataFrame, objectives: DataFrame, threshold: float, key: str = "event_id") -> DataFrame:
+def nearest_objective(rows: DataFrame, objectives: DataFrame, threshold: float, key: str = "event_id", shares: int = 8) -> DataFrame:
     """(key, objective_id, confidence) of the objective whose vector is nearest, if near enough; the first wins ties.
 
-    Objectives are a broadcast dim of a few hundred rows; each row meets each of them once.
+    Each row meets each objective once: rows are dealt to ``shares``, every share gets all objectives, and the share is
+    the join's key, so that Spark may broadcast few objectives and shuffle many.
     """
     valid = rows.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).select(key, "embedding")
-    pairs = valid.join(F.broadcast(objectives.select("objective_id", "ord", F.col("embedding").alias("_o"))))
+    each = objectives.select("objective_id", "ord", F.col("embedding").alias("_o"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
+    pairs = valid.withColumn("_share", F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")).join(each, "_share")
     scored = pairs.select(key, "objective_id", F.negate("ord").alias("ord"), cosine(F.col("embedding"), F.col("_o")).alias("sim"))
     best = scored.groupBy(key).agg(F.max(F.struct("sim", "ord", "objective_id")).alias("b"))
     return best.where(F.col("b.sim") >= threshold).select(key, "b.objective_id", F.round("b.sim", 3).alias("confidence"))
@@ -53,12 +56,12 @@ def attribute(calls: DataFrame, objectives: DataFrame, prefixes: DataFrame, repo
         )
         out = out.drop("_near", "_c")
     labels = objectives.select("objective_id", "objective_label")
-    return out.join(F.broadcast(labels), "objective_id", "left").withColumn("is_orphan", F.col("objective_id").isNull())
+    return out.join(labels, "objective_id", "left").withColumn("is_orphan", F.col("objective_id").isNull())
 
 
 def work_type_of_branch(calls: DataFrame, heads: DataFrame) -> DataFrame:
     """``work_type`` and ``work_type_source`` from the branch's first word; unknown where it says nothing."""
-    out = calls.withColumn("_head", branch_head(F.col("git_branch"))).join(F.broadcast(heads), F.col("_head") == F.col("head"), "left")
+    out = calls.withColumn("_head", branch_head(F.col("git_branch"))).join(heads, F.col("_head") == F.col("head"), "left")
     return out.withColumns(
         {"work_type": F.coalesce("head_work_type", F.lit("unknown")), "work_type_source": F.when(F.col("head_work_type").isNotNull(), "branch").otherwise("none")}
     ).drop("_head", "head", "head_work_type")

@@ -60,7 +60,7 @@ def reveal(matches: DataFrame, consents: DataFrame, principals: DataFrame) -> Da
 
 def bind_identity(rows: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted with the registry's tenant, rejected): rows that name an unknown actor go."""
-    p = small(principals.select(F.col("pseudonym").alias("actor_pseudonym"), F.col("tenant_id").alias("_tenant")))
+    p = principals.select(F.col("pseudonym").alias("actor_pseudonym"), F.col("tenant_id").alias("_tenant"))
     good = rows.join(p, "actor_pseudonym").withColumn("tenant_id", F.col("_tenant")).drop("_tenant")
     return good, rows.join(p, "actor_pseudonym", "left_anti")
 
