@@ -118,7 +118,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 
 #: Seconds of a block of time, in TTLs.
-BLOCK_TTLS = 16
+BLOCK_TTLS = 64
 
 
 def _anchors(times: np.ndarray, start: np.ndarray, ttl: int) -> np.ndarray:
