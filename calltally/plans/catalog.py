@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1148,6 +1149,38 @@ def stream_broker_matches(spark, sf_dir):
     return spark.read.schema(jobs.MATCHES).parquet(f"{folder}/out").drop("ts")
 
 
+@q("""WITH e AS (SELECT vec_id AS n, floor(vec_id / 3)::BIGINT AS k, vec_id % 10 = 9 AS ghost, embedding AS e, label, vec_id % 7 = 0 AS solved FROM embeddings),
+s AS (SELECT *, lead(n) OVER (PARTITION BY k ORDER BY n) AS until FROM e WHERE NOT ghost),
+p AS (SELECT least('p' || a.k, 'p' || b.k) AS a, greatest('p' || a.k, 'p' || b.k) AS b, a.n, a.label, a.k % 2 AS t, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS sim, a.label = b.label AS same, a.solved OR b.solved AS solved
+ FROM s a JOIN s b ON a.k % 2 = b.k % 2 AND a.k <> b.k AND b.n < a.n AND (b.until IS NULL OR a.n < b.until)),
+m AS (SELECT * FROM p WHERE sim >= CASE WHEN same OR solved THEN 0.3 ELSE 0.35 END QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n) = 1)
+SELECT 'derived' AS kind, 'e' || n AS key, 't' || k % 2 AS scope, (n * 3)::BIGINT AS n FROM e WHERE NOT ghost UNION ALL SELECT 'rejected', 'e' || n, '', 0 FROM e WHERE ghost UNION ALL SELECT 'match', a || '|' || b, CASE WHEN solved THEN 'solved_reuse' ELSE 'live_duplication' END, n FROM m
+UNION ALL SELECT 'booked', a || '|' || b || '|obj' || label || '|fix', 't' || t, n FROM m""", fact=False)
+def stream_ingest(spark, sf_dir):
+    """Ingest of records that land as JSON: rows, rejects, matches and bookings of one commit. Every tenth record names nobody."""
+    from ..schema import DERIVED
+    from ..streaming import jobs
+
+    folder, n = f"{shared_folder(spark)}/stream_ingest-{uuid.uuid4()}", F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").withColumn("k", F.floor(n / 3))
+    record = F.struct(
+        F.concat(F.lit("e"), n).alias("event_id"), F.timestamp_seconds(n).alias("ts"), F.when(n % 10 == 9, "ghost").otherwise(F.concat(F.lit("p"), "k")).alias("actor_pseudonym"), F.lit("claude-opus-4").alias("request_model"), (n * 3).alias("input_tokens"), F.lit(1).alias("output_tokens"),
+        F.concat(F.lit("obj"), "label").alias("objective_id"), F.concat(F.lit("L"), "label").alias("objective_label"), F.lit("fix").alias("work_type"), (n % 7 != 0).alias("is_retry_loop"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    e.select(F.to_json(record).alias("value")).write.text(f"{folder}/land")
+    people = e.where(n % 10 != 9).select(F.concat(F.lit("p"), "k").alias("pseudonym"), F.concat(F.lit("t"), F.col("k") % 2).alias("tenant_id")).distinct()
+    jobs.ingest(jobs.json_stream(spark, f"{folder}/land", DERIVED), people, dims.prices(spark), f"{folder}/out", f"{folder}/checkpoint", same_bar=0.3, cross_bar=0.35).awaitTermination()
+    of = lambda name: jobs.committed(spark, f"{folder}/out", name)
+    number = F.regexp_extract("event_id", "[0-9]+", 0).cast("long")
+    parts = [
+        jobs.latest_view(spark, f"{folder}/out").select(F.lit("derived").alias("kind"), F.col("event_id").alias("key"), F.col("tenant_id").alias("scope"), F.col("input_tokens").alias("n")),
+        of("rejected").select(F.lit("rejected"), "event_id", F.lit(""), F.lit(0).cast("long")),
+        of("matches").select(F.lit("match"), F.concat_ws("|", "a", "b"), "mode", number),
+        jobs.ledger_view(spark, f"{folder}/out").select(F.lit("booked"), "dedup_key", "tenant_id", F.unix_seconds("ts")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 @q(_TERMS + "SELECT term, label, support, total FROM b WHERE support >= 4 AND support >= 0.8 * total", fact=False)
 def stream_vocabulary(spark, sf_dir):
     """The vocabulary as a stream of standings learns it; its batch twin is ``learned_vocabulary``."""
