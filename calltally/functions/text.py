@@ -55,13 +55,6 @@ def redaction_counts(rows: DataFrame, text_col: str) -> DataFrame:
     return out.select(F.explode(F.create_map(*pairs)).alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("total")).where("total > 0")
 
 
-def strip_noise(text: Column) -> Column:
-    """Without fenced and inline code and without lines that are mostly not words."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), r"`[^`]*`", " ")
-    share = lambda x: F.length(F.regexp_replace(x, r"[^A-Za-z\s]", "")) / F.greatest(F.length(x), F.lit(1))
-    return F.array_join(F.filter(F.split(bare, "\n"), lambda x: (F.trim(x) != "") & (share(x) >= 0.62)), "\n")
-
-
 #: Work types of prompts: pattern and weight, in the order that wins ties (fixed values).
 PROMPT_SIGNALS = [
     ("fix", r"(?i)\b(fix|bug|broken|fails?|failing|stack ?trace|traceback|exception|errors?|crash(?:es|ing)?|regression|throw(?:s|ing|n)?|raises?|doesn'?t work|not working|times? ?out|timeout|null pointer|segfault|sort it out|debug|stop(?:s|ped)? working|wrong|incorrect|unexpected|off by|misbehav|returns the wrong|nan|race condition|deadlock|flaky)\b", 3),

@@ -860,9 +860,12 @@ def redaction_counts(spark, sf_dir):
     return X.redaction_counts(table(spark, sf_dir, "documents"), "text")
 
 
-@q()
+@q(r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' ', 'g'), chr(10)),
+ lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*(?:[{}\[\]<>|+#@$]|def |class |import |from |at |File "|Traceback|- |\* |//)') AND length(regexp_replace(trim(x), '[^\p{L}\s]', '', 'g'))::DOUBLE / greatest(length(trim(x)), 1) >= 0.62), chr(10)), ''), '[ \t]+', ' ', 'g'))) AS clean_md5 FROM documents""", fact=False)
 def stripped_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_noise(F.coalesce("text", F.lit("")))).alias("clean_md5"))
+    from ..functions import salience
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(salience.strip_noise(F.coalesce("text", F.lit("")))).alias("clean_md5"))
 
 
 _HITS = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}')) * {w} AS s{i}" for i, (_, p, w) in enumerate(X.PROMPT_SIGNALS))
@@ -997,11 +1000,27 @@ def stable_prompts(spark, sf_dir):
 # ---- what-ifs, streams ----------------------------------------------------------------------------------------------
 
 
-@q()
+#: What noisy texts end in: a table and a JSON block that can be written shorter.
+NOISY_TAIL = '<table><tr><td>k</td><td>v</td></tr></table>\n```json\n{ "a" : 1 }\n```'
+
+
+def noisy_texts(spark, sf_dir) -> DataFrame:
+    """Turns as tool output: their text in one line, printed thrice in bold, then ``NOISY_TAIL``."""
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n<`]", " ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("\x1b[1m"), F.array_join(F.array_repeat(line, 3), "\n"), F.lit("\n" + NOISY_TAIL)).alias("text"))
+
+
+_EST_OF = "greatest(1, round_even(({0}) / 4.0, 0))"
+
+
+@q(f"""WITH t AS (SELECT length(coalesce(text, '')) AS n FROM conversations), l AS (SELECT 4 + 3 * n + 2 + 1 + {len(NOISY_TAIL)} AS n, n AS one FROM t),
+s AS (SELECT unnest([{{'strategy': 'command_trim', 'v': {_EST_OF.format('n')} - {_EST_OF.format(f'one + 10 + 1 + {len(NOISY_TAIL)}')}}}, {{'strategy': 'compact_tables', 'v': {_EST_OF.format('n')} - {_EST_OF.format('n - 44 + 5')}}}, {{'strategy': 'compress_json', 'v': {_EST_OF.format('n')} - {_EST_OF.format('n - 11 + 7')}}}]) AS x FROM l)
+SELECT x.strategy AS strategy, sum(x.v)::BIGINT AS total FROM s WHERE x.v > 0 GROUP BY 1""", fact=False)
 def shadow_savings(spark, sf_dir):
+    """What each strategy that is off would have saved on turns as tool output."""
     from ..operators import whatif
 
-    return A.map_totals(whatif.shadow_savings(table(spark, sf_dir, "pages"), "html"), "shadow_savings")
+    return A.map_totals(whatif.shadow_savings(noisy_texts(spark, sf_dir), "text"), "shadow_savings")
 
 
 @q()
@@ -1108,12 +1127,15 @@ def stream_once_each(spark, sf_dir):
     return _drained(jobs.once_each(e.union(e)), "stream_once_each").select("event_id")
 
 
-@q()
+@q("""WITH RECURSIVE e AS (SELECT event_id::VARCHAR AS event_id, epoch_us(ts) AS t, user_id::VARCHAR AS key, ts FROM events), d AS (SELECT DISTINCT key, t FROM e),
+nx AS (SELECT a.key, a.t, min(b.t) AS u FROM d a JOIN d b ON a.key = b.key AND b.t > a.t + 86400000000 GROUP BY 1, 2),
+s AS (SELECT key, min(t) AS t FROM d GROUP BY 1 UNION ALL SELECT nx.key, nx.u FROM s JOIN nx ON s.key = nx.key AND s.t = nx.t)
+SELECT key, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, t IN (SELECT t FROM s WHERE s.key = e.key) AND row_number() OVER (PARTITION BY key, t ORDER BY event_id) = 1 AS allowed FROM e""", fact=False)
 def stream_debounce(spark, sf_dir):
     from ..streaming import state
 
     e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("event_id"), "ts")
-    return _drained(state.debounce(e, 86_400), "stream_debounce")
+    return _drained(state.debounce(e, 86_400), "stream_debounce").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def _stream_of(spark, sf_dir, name: str) -> DataFrame:
