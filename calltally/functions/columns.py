@@ -117,7 +117,7 @@ def provider_of(model: Column) -> Column:
     return (
         F.when(m.contains("claude"), "anthropic")
         .when(m.contains("gemini"), "google")
-        .when(m.contains("gpt") | m.startswith("o1") | m.startswith("o3") | m.startswith("o4"), "openai")
+        .when(m.contains("gpt") | m.startswith("o"), "openai")
         .otherwise("unknown")
     )
 

@@ -896,7 +896,7 @@ def language_hints(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.language(F.col("text")).alias("language"))
 
 
-@q("SELECT event_id, CASE WHEN contains(lower(request_model), 'claude') THEN 'anthropic' WHEN contains(lower(request_model), 'gemini') THEN 'google' WHEN contains(lower(request_model), 'gpt') OR regexp_matches(lower(request_model), '^o[134]') THEN 'openai' ELSE 'unknown' END AS guessed FROM log")
+@q("SELECT event_id, CASE WHEN contains(lower(request_model), 'claude') THEN 'anthropic' WHEN contains(lower(request_model), 'gemini') THEN 'google' WHEN contains(lower(request_model), 'gpt') OR starts_with(lower(request_model), 'o') THEN 'openai' ELSE 'unknown' END AS guessed FROM log")
 def provider_guess(spark, sf_dir):
     return call_log(spark, sf_dir).select("event_id", C.provider_of(F.col("request_model")).alias("guessed"))
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import token_estimate
+from ..functions.columns import provider_of, token_estimate
 from ..functions.privacy import pseudonym
+from ..operators.attribution import attribute
+from ..operators.pricing import price_calls
+from ..schema import upgrade
 
 #: Provider names in telemetry (fixed values).
 PROVIDERS = {
@@ -18,16 +21,26 @@ PROVIDERS = {
     "aws.bedrock": "aws.bedrock", "gcp.gemini": "google", "gcp.vertex_ai": "google", "google": "google",
 }
 
-_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:struct<values:array<struct<stringValue:string>>>,kvlistValue:struct<values:array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double>>>>>"
+#: Provider, tool and kind of application of vendor ``api_request`` records (fixed values).
+VENDOR_PROVIDER, VENDOR_TOOL, VENDOR_CATEGORY = "anthropic", "claude-code", "cli"
+
+_PAIRS = "struct<values:array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double>>>>"
+_VALUE = f"struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:struct<values:array<struct<stringValue:string,kvlistValue:{_PAIRS}>>>,kvlistValue:{_PAIRS}>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
 TRACES = f"struct<resourceSpans:array<struct<scopeSpans:array<struct<spans:array<struct<spanId:string,name:string,startTimeUnixNano:string,attributes:{_ATTRS}>>>>>>>"
 LOGS = f"struct<resourceLogs:array<struct<scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,body:{_VALUE},attributes:{_ATTRS}>>>>>>>"
 
 
+def _pairs_map(pairs: Column) -> Column:
+    entries = F.transform(F.array_distinct(pairs["values"]), lambda a: F.struct(a["key"].alias("key"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string")).alias("value")))
+    return F.map_from_entries(entries)
+
+
 def _plain(v: Column) -> Column:
-    parts = v["arrayValue"]["values"]
-    joined = F.when(parts.isNotNull(), F.array_join(F.transform(parts, lambda x: x["stringValue"]), " "))
-    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), joined)
+    """An attribute's value as a string; lists, of strings or of key/value lists, as JSON."""
+    items = v["arrayValue"]["values"]
+    listed = F.when(F.exists(items, lambda x: x["kvlistValue"].isNotNull()), F.to_json(F.transform(items, lambda x: _pairs_map(x["kvlistValue"])))).when(items.isNotNull(), F.to_json(F.transform(items, lambda x: x["stringValue"])))
+    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), listed)
 
 
 def attribute_map(attributes: Column) -> Column:
@@ -38,29 +51,37 @@ def attribute_map(attributes: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"].alias("key"), _plain(a["value"]).alias("value"))))
 
 
-def _body_map(body: Column) -> Column:
-    entries = F.coalesce(body["kvlistValue"]["values"], F.array().cast("array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double>>>"))
-    return F.map_from_entries(F.transform(F.array_distinct(entries), lambda a: F.struct(a["key"].alias("key"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string")).alias("value"))))
+def message_texts(value: Column, role: str = "user") -> Column:
+    """Messages given as a JSON list of {role, content}: content a string, or parts whose texts are joined. Else empty."""
+    listed = F.filter(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), lambda m: F.schema_of_variant(m).startswith("OBJECT"))
+    part = lambda p: F.coalesce(F.nullif(F.try_variant_get(p, "$.content", "string"), F.lit("")), F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")), F.lit(""))
 
+    def content(m: Column) -> Column:
+        whole = F.when(F.schema_of_variant(F.try_variant_get(m, "$.content", "variant")) == "STRING", F.try_variant_get(m, "$.content", "string"))
+        return F.coalesce(whole, F.array_join(F.transform(F.try_variant_get(m, "$.content", "array<variant>"), part), ""), F.lit(""))
 
-def message_texts(value: Column) -> Column:
-    """Messages given as a JSON list of {role, content}, content a string or a list of parts."""
-    plain = F.from_json(value, "array<struct<role:string,content:string>>")
-    return F.transform(plain, lambda m: F.struct(m["role"].alias("role"), F.coalesce(F.array_join(F.from_json(m["content"], "array<struct<text:string>>")["text"], " "), m["content"]).alias("content")))
+    found = F.transform(listed, lambda m: F.struct(F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit(role)).alias("role"), content(m).alias("content")))
+    return F.coalesce(found, F.array().cast("array<struct<role:string,content:string>>"))
 
 
 def _calls(rows: DataFrame) -> DataFrame:
-    """Rows with ``attrs`` (map), ``id`` and ``nanos``, as calls."""
+    """Rows with ``attrs`` (map), ``id``, ``nanos`` and ``vendor`` (bare names instead of ``gen_ai`` ones), as calls."""
     a = lambda *names: F.coalesce(*[F.try_element_at("attrs", F.lit(n)) for n in names])
-    count = lambda *names: F.coalesce(a(*names).try_cast("bigint"), F.lit(0))
-    provider = F.coalesce(a("gen_ai.provider.name", "gen_ai.system"), F.lit("unknown"))
+    vendor = F.col("vendor")
+
+    def count(bare: str, *names: str) -> Column:
+        return F.coalesce(F.when(vendor, a(bare)).otherwise(a(*names)).try_cast("bigint"), F.lit(0))
+
     known = F.create_map(*[F.lit(x) for kv in PROVIDERS.items() for x in kv])
+    told = F.lower(F.coalesce(F.nullif(a("gen_ai.provider.name"), F.lit("")), a("gen_ai.system"), F.lit("")))
     return rows.select(
-        "id", F.timestamp_micros((F.col("nanos").try_cast("bigint") / 1000).cast("bigint")).alias("ts"), F.coalesce(F.try_element_at(known, provider), provider).alias("provider"),
-        a("gen_ai.request.model", "gen_ai.response.model", "model").alias("request_model"),
-        count("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens", "input_tokens").alias("input_tokens"), count("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens", "output_tokens").alias("output_tokens"),
-        count("gen_ai.usage.cache_read_input_tokens", "cache_read_tokens").alias("cache_read_tokens"), count("gen_ai.usage.cache_creation_input_tokens", "cache_creation_tokens").alias("cache_creation_tokens"),
+        "id", F.timestamp_micros((F.col("nanos").try_cast("bigint") / 1000).cast("bigint")).alias("ts"), F.when(vendor, VENDOR_PROVIDER).otherwise(F.coalesce(F.try_element_at(known, told), F.lit("unknown"))).alias("provider"),
+        F.when(vendor, a("model")).otherwise(a("gen_ai.request.model", "gen_ai.response.model")).alias("request_model"),
+        count("input_tokens", "gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens").alias("input_tokens"), count("output_tokens", "gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens").alias("output_tokens"),
+        count("cache_read_tokens", "gen_ai.usage.cache_read_input_tokens").alias("cache_read_tokens"), count("cache_creation_tokens", "gen_ai.usage.cache_creation_input_tokens").alias("cache_creation_tokens"),
         pseudonym(a("enduser.id", "user.id")).alias("actor_pseudonym"), message_texts(a("gen_ai.input.messages", "gen_ai.prompt")).alias("messages"),
+        message_texts(a("gen_ai.output.messages"), "assistant").alias("output_messages"), F.coalesce(F.from_json(a("gen_ai.response.finish_reasons"), "array<string>"), F.array().cast("array<string>")).alias("finish_reasons"),
+        F.when(vendor, VENDOR_TOOL).alias("tool"), F.when(vendor, VENDOR_CATEGORY).alias("app_category"),
     )
 
 
@@ -70,14 +91,15 @@ def _is_call(attrs: str = "attrs") -> Column:
 
 def calls_from_traces(exports: DataFrame) -> DataFrame:
     spans = exports.select(F.explode(F.from_json("payload", TRACES)["resourceSpans"]).alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("x"))
-    rows = spans.select(F.col("x.spanId").alias("id"), F.col("x.startTimeUnixNano").alias("nanos"), attribute_map(F.col("x.attributes")).alias("attrs"))
+    rows = spans.select(F.col("x.spanId").alias("id"), F.col("x.startTimeUnixNano").alias("nanos"), attribute_map(F.col("x.attributes")).alias("attrs"), F.lit(False).alias("vendor"))
     return _calls(rows.where(_is_call()))
 
 
 def _log_records(exports: DataFrame) -> DataFrame:
     logs = exports.select(F.explode(F.from_json("payload", LOGS)["resourceLogs"]).alias("r")).select(F.explode("r.scopeLogs").alias("s")).select(F.explode("s.logRecords").alias("x"))
     attrs = attribute_map(F.col("x.attributes"))
-    body = F.map_filter(_body_map(F.col("x.body")), lambda k, v: ~F.map_contains_key(attrs, k))  # attributes win
+    body = F.coalesce(_pairs_map(F.col("x.body.kvlistValue")), F.create_map().cast("map<string,string>"))
+    body = F.map_filter(body, lambda k, v: ~F.map_contains_key(attrs, k))  # attributes win
     return logs.select(F.sha2(F.to_json("x"), 256).alias("id"), F.col("x.timeUnixNano").alias("nanos"), F.map_concat(body, attrs).alias("attrs"), F.col("x.body.stringValue").alias("event"))
 
 
@@ -85,8 +107,9 @@ def calls_from_logs(exports: DataFrame) -> DataFrame:
     """``gen_ai`` records, and vendor ``api_request`` records; whatever e-mail they hold is not selected."""
     records = _log_records(exports)
     name = F.coalesce(F.try_element_at("attrs", F.lit("event.name")), F.col("event"), F.lit(""))
-    vendor = name.endswith("api_request") & F.map_contains_key("attrs", "input_tokens")
-    return _calls(records.where(_is_call() | vendor))
+    counted = F.map_contains_key("attrs", "input_tokens") | F.map_contains_key("attrs", "output_tokens")
+    vendor = ~_is_call() & F.rlike(name, F.lit(r"^(.*\.)?api_request$")) & counted
+    return _calls(records.withColumn("vendor", vendor).where(_is_call() | F.col("vendor")))
 
 
 def calls_from_exports(exports: DataFrame) -> DataFrame:
@@ -99,95 +122,169 @@ def calls_from_exports(exports: DataFrame) -> DataFrame:
 
 def sse_data(raw: Column) -> Column:
     """Payloads of the ``data:`` lines of an event stream, without the end mark."""
-    lines = F.transform(F.split(raw, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(raw, "\r\n|\n|\r"), lambda x: F.trim(x))
     data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1 << 30)))
     return F.filter(data, lambda x: (x != "[DONE]") & (x != ""))
 
 
-_ANTHROPIC = "struct<type:string,model:string,stop_reason:string,message:struct<model:string,usage:struct<input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>,delta:struct<text:string,stop_reason:string>,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>,content:array<struct<text:string>>>"
-_OPENAI = "struct<model:string,choices:array<struct<finish_reason:string,delta:struct<content:string>,message:struct<content:string>>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,prompt_tokens_details:struct<cached_tokens:bigint>>>"
-_RESPONSES = "struct<type:string,model:string,delta:string,output:array<struct<content:array<struct<text:string>>>>,usage:struct<input_tokens:bigint,output_tokens:bigint,input_tokens_details:struct<cached_tokens:bigint>>,response:struct<model:string,output:array<struct<content:array<struct<text:string>>>>,usage:struct<input_tokens:bigint,output_tokens:bigint,input_tokens_details:struct<cached_tokens:bigint>>>>"
-_GEMINI = "struct<modelVersion:string,candidates:array<struct<finishReason:string,content:struct<parts:array<struct<text:string>>>>>,usageMetadata:struct<promptTokenCount:bigint,candidatesTokenCount:bigint,cachedContentTokenCount:bigint>>"
-_REQUEST = "struct<model:string,system:string,instructions:string,input:string,messages:array<struct<role:string,content:string>>,contents:array<struct<role:string,parts:array<struct<text:string>>>>>"
+# Exchanges are read as variants, in SQL text: ``req`` is the request, ``e`` the response's events (one, if not streamed).
+_NO_MESSAGES = "cast(array() AS array<struct<role:string,content:string>>)"
+
+
+def _get(v: str, path: str, kind: str = "string") -> str:
+    return f"try_variant_get({v}, '$.{path}', '{kind}')"
+
+
+def _count(v: str, path: str) -> str:
+    return f"coalesce({_get(v, path, 'bigint')}, 0L)"
+
+
+def _content(v: str, path: str, typed: bool) -> str:
+    """A string, or the texts of a list's parts (``typed``: of those that say they are text), joined; else empty."""
+    parts = _get(v, path, "array<variant>")
+    parts = f"filter({parts}, p -> {_get('p', 'type')} = 'text')" if typed else parts
+    return f"CASE WHEN schema_of_variant({_get(v, path, 'variant')}) = 'STRING' THEN {_get(v, path)} ELSE coalesce(array_join(transform({parts}, p -> coalesce({_get('p', 'text')}, '')), ''), '') END"
+
+
+def _message(role: str, content: str) -> str:
+    return f"named_struct('role', {role}, 'content', {content})"
+
+
+def _listed(path: str, content: str, role: str | None = None) -> str:
+    role = role or f"coalesce({_get('m', 'role')}, 'user')"
+    return f"coalesce(transform({_get('req', path, 'array<variant>')}, m -> {_message(role, content)}), {_NO_MESSAGES})"
+
+
+def _told(content: str, role: str = "system") -> str:
+    return f"""filter(array({_message(f"'{role}'", content)}), s -> s.content <> '')"""
 
 
-def _events(schema: str) -> Column:
-    """Parsed payloads: the stream's, or the one body."""
-    items = F.when(F.col("streamed"), sse_data(F.col("response_raw"))).otherwise(F.array("response_raw"))
-    return F.transform(items, lambda x: F.from_json(x, schema))
+def _joined(items: str, text: str) -> str:
+    return f"coalesce(array_join(transform({items}, x -> coalesce({text}, '')), ''), '')"
 
 
-def _last(events: Column, pick) -> Column:
-    return F.try_element_at(F.filter(F.transform(events, pick), lambda x: x.isNotNull()), F.lit(-1))
+def _each(path: str, events: str = "e") -> str:
+    """The elements of the list at ``path`` of all events."""
+    return f"flatten(transform({events}, y -> coalesce({_get('y', path, 'array<variant>')}, cast(array() AS array<variant>))))"
 
 
-def _text(events: Column, pick) -> Column:
-    return F.array_join(F.transform(events, lambda e: F.coalesce(pick(e), F.lit(""))), "")
+def _of_type(*types: str) -> str:
+    return f"filter(e, x -> {_get('x', 'type')} IN ({', '.join(repr(t) for t in types)}))"
+
+
+def _final(items: str, value: str) -> str:
+    """The last value that isn't null."""
+    return f"try_element_at(filter(transform({items}, x -> {value}), z -> z IS NOT NULL), -1)"
+
+
+_ONE = "get(e, 0)"
+_DONE = _of_type("response.completed", "response.incomplete", "response.failed")
+_SAID = lambda v, path: f"coalesce(array_join(transform(filter({_get(v, path, 'array<variant>')}, i -> {_get('i', 'type')} = 'message'), i -> {_content('i', 'content', False)}), ''), '')"
+_FIRST = f"get({_get(_ONE, 'choices', 'array<variant>')}, 0)"
+
+
+def _either(streamed: str, whole: str) -> str:
+    return f"CASE WHEN streamed THEN {streamed} ELSE {whole} END"
+
+
+#: What each provider shape gives: messages, the usage object, its counts (``u``), answer, reasons to finish, model.
+_SHAPES = {
+    "anthropic": {
+        "messages": f"concat({_told(_content('req', 'system', False))}, {_listed('messages', _content('m', 'content', True))})",
+        "opened": _either(_final(_of_type("message_start"), _get("x", "message.usage", "variant")), _get(_ONE, "usage", "variant")),
+        "usage": _either(_final(_of_type("message_delta"), f"CASE WHEN {_get('x', 'usage.output_tokens')} IS NOT NULL THEN {_get('x', 'usage', 'variant')} END"), _get(_ONE, "usage", "variant")),
+        "input": _count("opened", "input_tokens"), "output": _count("usage", "output_tokens"), "read": _count("opened", "cache_read_input_tokens"), "written": _count("opened", "cache_creation_input_tokens"),
+        "answer": _either(_joined(f"filter({_of_type('content_block_delta')}, x -> coalesce({_get('x', 'delta.type')}, 'text_delta') = 'text_delta')", _get("x", "delta.text")), _content(_ONE, "content", True)),
+        "finish_reasons": _either(f"transform({_of_type('message_delta')}, x -> {_get('x', 'delta.stop_reason')})", f"array({_get(_ONE, 'stop_reason')})"),
+        "response_model": _either(_final(_of_type("message_start"), _get("x", "message.model")), _get(_ONE, "model")),
+    },
+    "openai": {
+        "messages": _listed("messages", _content("m", "content", True)),
+        "usage": _final("e", f"CASE WHEN {_get('x', 'usage')} <> '{{}}' THEN {_get('x', 'usage', 'variant')} END"),
+        "input": f"greatest(0L, {_count('usage', 'prompt_tokens')} - {_count('usage', 'prompt_tokens_details.cached_tokens')})", "output": _count("usage", "completion_tokens"), "read": _count("usage", "prompt_tokens_details.cached_tokens"),
+        "answer": _either(_joined(_each("choices"), _get("x", "delta.content")), _content(_FIRST, "message.content", True)),
+        "finish_reasons": _either(f"transform({_each('choices')}, x -> {_get('x', 'finish_reason')})", f"array({_get(_FIRST, 'finish_reason')})"),
+        "response_model": _final("e", _get("x", "model")),
+    },
+    "responses": {
+        "messages": f"concat({_told('coalesce(' + _get('req', 'instructions') + ', ' + repr('') + ')')}, CASE WHEN schema_of_variant({_get('req', 'input', 'variant')}) = 'STRING' THEN array({_message(repr('user'), _get('req', 'input'))}) ELSE {_listed('input', _content('m', 'content', False))} END)",
+        "usage": _either(_final(_DONE, _get("x", "response.usage", "variant")), _get(_ONE, "usage", "variant")),
+        "input": f"greatest(0L, {_count('usage', 'input_tokens')} - {_count('usage', 'input_tokens_details.cached_tokens')})", "output": _count("usage", "output_tokens"), "read": _count("usage", "input_tokens_details.cached_tokens"),
+        "answer": _either(f"CASE WHEN size({_of_type('response.output_text.delta')}) > 0 THEN {_joined(_of_type('response.output_text.delta'), _get('x', 'delta'))} ELSE coalesce(get(transform({_DONE}, x -> {_SAID('x', 'response.output')}), 0), '') END", _SAID(_ONE, "output")),
+        "finish_reasons": _either(f"transform({_DONE}, x -> {_get('x', 'response.status')})", f"array({_get(_ONE, 'status')})"),
+        "response_model": _either(_final(_DONE, _get("x", "response.model")), _get(_ONE, "model")),
+    },
+    "gemini": {
+        "messages": f"""concat({_told("CASE WHEN " + _get('req', 'systemInstruction') + " IS NOT NULL THEN " + _content('req', 'systemInstruction.parts', False) + " ELSE " + _content('req', 'system_instruction.parts', False) + " END")}, {_listed('contents', _content('m', 'parts', False), f"CASE coalesce({_get('m', 'role')}, 'user') WHEN 'model' THEN 'assistant' ELSE coalesce({_get('m', 'role')}, 'user') END")})""",
+        "usage": _final("e", f"CASE WHEN {_get('x', 'usageMetadata')} <> '{{}}' THEN {_get('x', 'usageMetadata', 'variant')} END"),
+        "input": f"greatest(0L, {_count('usage', 'promptTokenCount')} - {_count('usage', 'cachedContentTokenCount')})", "output": _count("usage", "candidatesTokenCount"), "read": _count("usage", "cachedContentTokenCount"),
+        "answer": _joined(_each("candidates"), _content("x", "content.parts", False)),
+        "finish_reasons": f"transform({_each('candidates')}, x -> {_get('x', 'finishReason')})",
+        "response_model": _final("e", _get("x", "modelVersion")),
+    },
+}
+_EMPTY = {"opened": "cast(NULL AS variant)", "written": "0L"}
 
 
 def normalise_exchanges(exchanges: DataFrame) -> DataFrame:
-    """Requests and raw responses of four provider shapes as calls; missing counts are estimated and flagged.
+    """Requests and raw responses of four provider shapes as calls, in one pass over them.
 
-    Columns in: provider, request_json, response_raw, streamed, response_api. The last usage of a stream wins, and cached
-    tokens are split out of the input where the provider counts them in.
+    Columns in: provider, request_json, response_raw, streamed, response_api. Out besides: request and response model,
+    counts, messages (system ones first, parts joined), answer, all reasons to finish and the last of them. The last
+    usage of a stream wins, and cached tokens are split out of the input where the provider counts them in. A stream
+    that ends before its counts gets estimates and the flag; a whole body without counts has none. JSON that can't be
+    read counts as empty; other providers are read like OpenAI's, as its hosts are.
     """
-    zero = F.lit(0).cast("long")
-    n = lambda c: F.coalesce(c, zero)
-    req = F.from_json("request_json", _REQUEST)
-    e = F.col("e")
-    shape = F.when(F.col("provider") == "anthropic", "anthropic").when(F.col("provider") == "google", "gemini").when(F.coalesce("response_api", F.lit(False)), "responses").otherwise("openai")
-    out = exchanges.withColumns({"shape": shape, "req": req})
-    parts = []
-    for name, schema in (("anthropic", _ANTHROPIC), ("openai", _OPENAI), ("responses", _RESPONSES), ("gemini", _GEMINI)):
-        x = out.where(F.col("shape") == name).withColumn("e", _events(schema))
-        if name == "anthropic":
-            start = _last(e, lambda v: F.coalesce(v["message"]["usage"]["input_tokens"], v["usage"]["input_tokens"]))
-            cols = [start, _last(e, lambda v: v["usage"]["output_tokens"]), n(_last(e, lambda v: F.coalesce(v["message"]["usage"]["cache_read_input_tokens"], v["usage"]["cache_read_input_tokens"]))), n(_last(e, lambda v: F.coalesce(v["message"]["usage"]["cache_creation_input_tokens"], v["usage"]["cache_creation_input_tokens"]))),
-                    _text(e, lambda v: F.coalesce(v["delta"]["text"], F.array_join(v["content"]["text"], ""))), _last(e, lambda v: F.coalesce(v["delta"]["stop_reason"], v["stop_reason"])), _last(e, lambda v: F.coalesce(v["message"]["model"], v["model"]))]
-        elif name == "openai":
-            cached = n(_last(e, lambda v: v["usage"]["prompt_tokens_details"]["cached_tokens"]))
-            cols = [F.greatest(zero, _last(e, lambda v: v["usage"]["prompt_tokens"]) - cached), _last(e, lambda v: v["usage"]["completion_tokens"]), cached, zero,
-                    _text(e, lambda v: F.coalesce(F.get(v["choices"], 0)["delta"]["content"], F.get(v["choices"], 0)["message"]["content"])), _last(e, lambda v: F.get(v["choices"], 0)["finish_reason"]), _last(e, lambda v: v["model"])]
-            cols[0] = F.when(_last(e, lambda v: v["usage"]["prompt_tokens"]).isNotNull(), cols[0])
-        elif name == "responses":
-            u = lambda v: F.coalesce(v["response"]["usage"], v["usage"])
-            cached = n(_last(e, lambda v: u(v)["input_tokens_details"]["cached_tokens"]))
-            said = F.coalesce(_last(e, lambda v: F.array_join(F.flatten(F.coalesce(v["response"]["output"], v["output"])["content"])["text"], "")), _text(e, lambda v: v["delta"]))
-            cols = [F.when(_last(e, lambda v: u(v)["input_tokens"]).isNotNull(), F.greatest(zero, _last(e, lambda v: u(v)["input_tokens"]) - cached)), _last(e, lambda v: u(v)["output_tokens"]), cached, zero, said, F.lit(None).cast("string"), _last(e, lambda v: F.coalesce(v["response"]["model"], v["model"]))]
-        else:
-            cached = n(_last(e, lambda v: v["usageMetadata"]["cachedContentTokenCount"]))
-            cols = [F.when(_last(e, lambda v: v["usageMetadata"]["promptTokenCount"]).isNotNull(), F.greatest(zero, _last(e, lambda v: v["usageMetadata"]["promptTokenCount"]) - cached)), _last(e, lambda v: v["usageMetadata"]["candidatesTokenCount"]), cached, zero,
-                    _text(e, lambda v: F.array_join(F.get(v["candidates"], 0)["content"]["parts"]["text"], "")), _last(e, lambda v: F.get(v["candidates"], 0)["finishReason"]), _last(e, lambda v: v["modelVersion"])]
-        names = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "answer", "finish", "response_model"]
-        parts.append(x.select(*exchanges.columns, "req", *[c.alias(k) for c, k in zip(cols, names, strict=True)]))
-    done = parts[0]
-    for p in parts[1:]:
-        done = done.unionByName(p)
-    said = F.concat_ws(
-        "\n", F.col("req.system"), F.col("req.instructions"), F.col("req.input"), F.array_join(F.transform("req.messages", lambda m: m["content"]), "\n"),
-        F.array_join(F.transform("req.contents", lambda m: F.array_join(m["parts"]["text"], "\n")), "\n"),
-    )
-    return done.select(
-        *exchanges.columns, F.coalesce("req.model", "response_model").alias("request_model"),
-        F.coalesce("input_tokens", token_estimate(said)).alias("input_tokens"), F.coalesce("output_tokens", token_estimate(F.col("answer"))).alias("output_tokens"), "cache_read_tokens", "cache_creation_tokens",
-        (F.col("input_tokens").isNull() | F.col("output_tokens").isNull()).alias("tokens_estimated"), "answer", "finish",
+    shape = F.expr("CASE WHEN coalesce(response_api, false) THEN 'responses' WHEN provider = 'anthropic' THEN 'anthropic' WHEN provider = 'google' THEN 'gemini' ELSE 'openai' END")
+    items = F.when(F.col("_streamed"), sse_data(F.col("response_raw"))).otherwise(F.array("response_raw"))
+    own = [c for c in exchanges.columns if c != "streamed"]
+    rows = exchanges.withColumn("_streamed", F.coalesce("streamed", F.lit(False)))
+    rows = rows.select(F.struct(*own, F.col("streamed")).alias("row"), F.col("_streamed").alias("streamed"), shape.alias("shape"), F.try_parse_json("request_json").alias("req"), F.filter(F.transform(items, F.try_parse_json), lambda x: x.isNotNull()).alias("e"))
+
+    def pick(field: str) -> str:
+        return "CASE shape " + " ".join(f"WHEN '{s}' THEN {of.get(field, _EMPTY.get(field))}" for s, of in _SHAPES.items()) + " END"
+
+    rows = rows.selectExpr("*", *[f"{pick(c)} AS {c}" for c in ("messages", "opened", "usage", "answer", "response_model")], f"filter({pick('finish_reasons')}, x -> x <> '') AS finish_reasons")
+    rows = rows.selectExpr("*", *[f"{pick(c)} AS {c}" for c in ("input", "output", "read", "written")])
+    asked = F.array_join(F.filter(F.transform("messages", lambda m: m["content"]), lambda x: x != ""), "\n")
+    bare = F.col("streamed") & (F.col("shape") == "openai") & F.col("usage").isNull()
+    guess_out = bare | (F.col("streamed") & (F.col("output") == 0) & (F.col("answer") != ""))
+    guess_in = bare | (F.col("streamed") & (F.col("input") == 0) & (F.col("read") == 0) & (F.size("messages") > 0))
+    model = F.coalesce(F.nullif(F.expr(_get("req", "model")), F.lit("")), F.col("response_model"))
+    return rows.select(
+        *[F.col(f"row.{c}").alias(c) for c in exchanges.columns], model.alias("request_model"), F.coalesce("response_model", model).alias("response_model"),
+        F.when(guess_in, token_estimate(asked)).otherwise(F.col("input")).alias("input_tokens"), F.when(guess_out, token_estimate(F.col("answer"))).otherwise(F.col("output")).alias("output_tokens"),
+        F.col("read").alias("cache_read_tokens"), F.col("written").alias("cache_creation_tokens"), (guess_in | guess_out).alias("tokens_estimated"), "messages", "answer", "finish_reasons", F.try_element_at("finish_reasons", F.lit(-1)).alias("finish"),
     )
 
 
 def vendor_usage(rows: DataFrame) -> DataFrame:
     """Vendor usage events with several field names; a row without an id gets one of vendor, user and time."""
     have = set(rows.columns)
-    first = lambda kind, *names: F.coalesce(*[F.col(n).cast(kind) for n in names if n in have], F.lit(None).cast(kind))
-    user = first("string", "userEmail", "user", "email")
-    ts = first("double", "timestamp", "ts", "time")
+    zero = F.lit(0).cast("long")
+
+    def first(kind: str, *names: str) -> Column:
+        values = [F.col(n).cast(kind) for n in names if n in have]
+        return F.coalesce(*[F.nullif(v, F.lit("")) if kind == "string" else v for v in values], F.lit(None).cast(kind))
+
+    user = F.coalesce(first("string", "userEmail", "user", "userId", "email"), F.lit("unknown"))
+    ts = F.coalesce(first("double", "timestamp", "ts", "time"), F.lit(0.0))
+    model = first("string", "model", "modelIntent", "modelName")
+    count = lambda *names: F.coalesce(first("long", *names), zero)
     return rows.select(
         F.coalesce(first("string", "id", "eventId"), F.concat_ws(":", F.lit("cursor"), user, ts.cast("bigint").cast("string"))).alias("event_id"), F.timestamp_seconds(ts).alias("ts"), F.lit("tier3_vendor").alias("tier"),
-        pseudonym(user).alias("actor_pseudonym"), first("string", "model", "modelName").alias("request_model"), F.coalesce(first("long", "inputTokens", "input_tokens"), F.lit(0).cast("long")).alias("input_tokens"),
-        F.coalesce(first("long", "outputTokens", "output_tokens"), F.lit(0).cast("long")).alias("output_tokens"), F.coalesce(first("long", "cacheReadTokens", "cache_read_tokens"), F.lit(0).cast("long")).alias("cache_read_tokens"),
-        F.lit(0).cast("long").alias("cache_creation_tokens"), F.lit(0).cast("long").alias("duplicate_history_tokens"), first("string", "repoName", "repo").alias("repo"), F.lit(None).cast("string").alias("git_branch"),
+        provider_of(model).alias("provider"), pseudonym(user).alias("actor_pseudonym"), model.alias("request_model"), count("inputTokens", "promptTokens", "input_tokens").alias("input_tokens"),
+        count("outputTokens", "completionTokens", "output_tokens").alias("output_tokens"), count("cacheReadTokens", "cacheReadInputTokens", "cache_read_tokens").alias("cache_read_tokens"),
+        zero.alias("cache_creation_tokens"), zero.alias("duplicate_history_tokens"), F.lit(False).alias("tokens_estimated"), F.lit("cursor-agent").alias("tool"), F.lit("ide").alias("app_category"),
+        first("string", "repoName", "repo").alias("repo"), F.lit(None).cast("string").alias("git_branch"),
     )
 
 
+def vendor_calls(rows: DataFrame, prices: DataFrame, objectives: DataFrame, prefixes: DataFrame, repos: DataFrame) -> DataFrame:
+    """Vendor usage events as priced rows of the call table; their repository is all that tells the objective."""
+    return upgrade(attribute(price_calls(vendor_usage(rows), prices), objectives, prefixes, repos))
+
+
 def outcome_feed(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Shipped changes: unknown fields dropped, objective from the ticket if missing, counts at least 0, nothing nameless."""
     flag = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("false"))).isin("true", "1", "yes")
