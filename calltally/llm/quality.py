@@ -5,8 +5,9 @@ give every document a Mahalanobis distance, the closest share ``SUPPORT`` gives
 start from three robust scatters (coordinate by coordinate, of bounded scores, of directions); after ``STEPS`` steps the
 start with the smallest determinant goes on until its determinant falls no more. Documents that then lie within the
 usual quantile give the final estimates, and a document whose distance from those is beyond the cutoff is rejected.
-Documents of small groups are judged by the estimates of their whole language, those of small languages by the whole
-corpus's.
+The same is done for every language and for the whole corpus. What documents are judged by is their group's estimates
+shrunk to their language's, those to the corpus's and those to PRIOR, the more the fewer documents each comes from, with
+no size at which the rule changes.
 
 A step is one aggregate: sums and cross products by group and octave part of the distance, with partial sums on the
 map side, so that a hot source costs no more than any other. The share is cut off within those few rows a group.
@@ -31,12 +32,12 @@ STEPS = 2
 TOLERANCE = 0.01
 #: Distances are binned by this part of an octave.
 PARTS = 8
-#: Smallest group that gets estimates of its own; smaller ones are judged by their language's, small languages by the corpus's.
-MIN_GROUP = 40
+#: A group of so many documents counts half beside its language, a language half beside the corpus: n * n / (n * n + 40 * 40).
+POOL_WEIGHT = 40.0
 #: Source of a language's pool, language and source of the corpus's.
 ALL = "\0all"
-#: Deviations that a corpus of fewer than MIN_GROUP documents is shrunk to, the more the fewer they are.
-PRIOR = (1.2, 0.15, 0.40, 0.50, 0.40)
+#: Deviations that the corpus's are shrunk to, and at how many documents by half.
+PRIOR, PRIOR_WEIGHT = (1.2, 0.15, 0.40, 0.50, 0.40), 10.0
 #: Distances aren't scaled up further than this: where most documents are alike, all scatter is FLOOR's.
 MAX_SCALE = 5.0
 #: Median of a chi-squared variable with five degrees of freedom, to which the median distance is scaled.
@@ -127,8 +128,7 @@ def _joined(rows: DataFrame, estimates: DataFrame, few: bool, by: list[str], how
 
 def _distances(rows: DataFrame, estimates: DataFrame, few: bool, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance under its group's estimates (left join: null without any)."""
-    scale = [c for c in ("scale",) if c in estimates.columns]
-    return _joined(rows, estimates, few, by, how).selectExpr(*rows.columns, *scale, *_SOLVED, f"{_D2} AS d2").select(*rows.columns, "d2", *scale)
+    return _joined(rows, estimates, few, by, how).selectExpr(*rows.columns, *_SOLVED, f"{_D2} AS d2").select(*rows.columns, "d2")
 
 
 def _factored(groups: DataFrame, entry: Callable[[int, int], str], by: list[str], means: list[str] = _M) -> DataFrame:
@@ -142,13 +142,12 @@ def _factored(groups: DataFrame, entry: Callable[[int, int], str], by: list[str]
     return groups.selectExpr(*by, *means, *cells, f"{log_det} AS log_det").select(*by, *_M, *_L, "log_det")
 
 
-def _estimated(sums: DataFrame, least: float, by: list[str]) -> DataFrame:
-    """Estimates from a group's sums, with FLOOR added to the scatter; few documents: shrunk to PRIOR."""
-    own = f"least(1D, n / {float(least)}D)"
+def _estimated(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Estimates from a group's sums, with FLOOR added to the scatter."""
 
     def entry(i: int, j: int) -> str:
         v = f"(s{i}{j} / n - m{i} * m{j})"
-        return f"{own} * greatest({v}, 0D) + (1 - {own}) * {PRIOR[i] ** 2}D + {FLOOR[i] ** 2}D" if i == j else f"{own} * {v}"
+        return f"greatest({v}, 0D) + {FLOOR[i] ** 2}D" if i == j else v
 
     return _factored(sums, entry, by, [f"s{i} / n AS m{i}" for i in range(DIM)])
 
@@ -169,35 +168,46 @@ def _closest(bins: DataFrame, support: float, by: list[str]) -> DataFrame:
 
 
 def _scale(bins: DataFrame, by: list[str]) -> DataFrame:
-    """``scale``, which brings the median distance of each group to CHI2_MEDIAN."""
+    """``scale``, which brings the median distance of each group to CHI2_MEDIAN, and ``size``, its documents."""
     inside = (F.col("_total") / 2 - F.col("_before")) / F.col("n")
     median = F.max(F.when(inside.between(0, 1), F.pow(F.lit(2.0), (F.col("_b") + inside) / PARTS)))
-    return bins.groupBy(*by).agg(F.least(F.lit(MAX_SCALE), CHI2_MEDIAN / F.greatest(F.coalesce(median, F.lit(0.0)), F.lit(1e-6))).alias("scale"))
+    return bins.groupBy(*by).agg(F.least(F.lit(MAX_SCALE), CHI2_MEDIAN / F.greatest(F.coalesce(median, F.lit(0.0)), F.lit(1e-6))).alias("scale"), F.max("_total").alias("size"))
 
 
-def _pools(rows: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
-    """Per (_lang, _source): ``judged``, the pool whose estimates its documents face, and ``pools``, all that they count for.
-
-    A pool is the group itself, its language or the corpus. Also whether there are few enough groups to broadcast.
-    """
-    groups = checkpointed(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n")))
-    few = groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+def _pooled(rows: DataFrame) -> DataFrame:
+    """``rows`` thrice: for their group, for their language (source ALL) and for the corpus (both ALL)."""
     pool = lambda lang, source: F.struct(lang.alias("_lang"), source.alias("_source"))
-    small = F.col("n") < min_group
-    langs = groups.groupBy("_lang").agg(F.sum("n").alias("n_lang"), F.max(small).alias("some"))
-    whole = langs.agg(F.coalesce(F.max(F.col("n_lang") < min_group), F.lit(False)).alias("whole"))
-    groups = groups.join(langs, "_lang").crossJoin(F.broadcast(whole))
     own, of_lang, of_all = pool(F.col("_lang"), F.col("_source")), pool(F.col("_lang"), F.lit(ALL)), pool(F.lit(ALL), F.lit(ALL))
-    rare = F.col("n_lang") < min_group
-    pools = F.array_compact(F.array(F.when(~small, own), F.when(F.col("some") & ~rare, of_lang), F.when(F.col("whole"), of_all)))
-    judged = F.when(~small, own).when(~rare, of_lang).otherwise(of_all)
-    return checkpointed(groups.select("_lang", "_source", judged.alias("judged"), pools.alias("pools"))), few
+    each = rows.select(*rows.drop("_lang", "_source").columns, F.explode(F.array(own, of_lang, of_all)).alias("_pool"))
+    return each.select("*", "_pool._lang", "_pool._source").drop("_pool")
+
+
+def _few_groups(rows: DataFrame) -> bool:
+    """Whether there are few enough groups, with their languages and the corpus, to broadcast estimates."""
+    return rows.select("_lang", "_source").distinct().limit(MAX_BROADCAST_GROUPS // 3 + 1).count() <= MAX_BROADCAST_GROUPS // 3
+
 
+def _shrunk(estimates: DataFrame, pool_weight: float = POOL_WEIGHT, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
+    """What each group's documents are judged by: its estimates shrunk to its language's and so on, scales worked in."""
+    pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
+    scatter = [f"({' + '.join(f'l{i}{k} * l{j}{k}' for k in range(j + 1))}) / scale AS c{i}{j}" for i, j in pairs]
+    flat = estimates.selectExpr("_lang", "_source", "size", *_M, *scatter)
 
-def _with_pool(rows: DataFrame, groups: DataFrame, few: bool, pool: Column, how: str) -> DataFrame:
-    """``rows`` with _lang and _source of a pool in the place of their own."""
-    joined = _joined(rows, groups, few, ["_lang", "_source"], how).select(*rows.drop("_lang", "_source").columns, pool.alias("_pool"))
-    return joined.select("*", "_pool._lang", "_pool._source").drop("_pool")
+    def level(kind: str) -> list[str]:
+        return [f"size AS {kind}_size", *[f"m{i} AS {kind}_m{i}" for i in range(DIM)], *[f"c{i}{j} AS {kind}_c{i}{j}" for i, j in pairs]]
+
+    corpus = flat.where(F.col("_lang") == ALL).selectExpr("_lang AS _root", *level("a"))
+    langs = flat.where((F.col("_source") == ALL) & (F.col("_lang") != ALL)).selectExpr("_lang", *level("b"))
+    both = flat.where(F.col("_source") != ALL).withColumn("_root", F.lit(ALL)).join(langs, "_lang").join(corpus, "_root")
+    share = lambda size, weight: f"{size} * {size} / ({size} * {size} + {float(weight) ** 2}D)"  # noqa: E731  # a handful's scatter tells nothing
+    both = both.selectExpr("*", f"{share('size', pool_weight)} AS w", f"{share('b_size', pool_weight)} AS bw", f"{share('a_size', prior_weight)} AS aw")
+
+    def entry(i: int, j: int) -> str:
+        prior = f"(1 - aw) * {PRIOR[i] ** 2 + FLOOR[i] ** 2}D" if i == j else "0D"
+        return f"w * c{i}{j} + (1 - w) * (bw * b_c{i}{j} + (1 - bw) * (aw * a_c{i}{j} + {prior}))"
+
+    mixed = both.selectExpr("_lang", "_source", *[f"w * m{i} + (1 - w) * (bw * b_m{i} + (1 - bw) * a_m{i}) AS m{i}" for i in range(DIM)], *[f"{entry(i, j)} AS d{i}{j}" for i, j in pairs])
+    return _factored(mixed, lambda i, j: f"d{i}{j}", ["_lang", "_source"])
 
 
 def _starts(rows: DataFrame, few: bool) -> DataFrame:
@@ -228,22 +238,22 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
     return checkpointed(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-def minimum_covariance(rows: DataFrame, few: bool, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """Estimates per (_lang, _source) from the columns x0 to x4: location, factor of the scatter, ``scale`` of distances.
+def minimum_covariance(rows: DataFrame, few: bool, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+    """Estimates per (_lang, _source) from x0 to x4: location, factor of the scatter, ``scale`` of distances, ``size``.
 
     Every step that is taken lowers a determinant that FLOOR bounds from below, so the steps end; groups leave as they
     converge.
     """
-    by, least = ["_lang", "_source"], support * min_group
+    by = ["_lang", "_source"]
     tried, each = _starts(rows, few), [*by, "_start"]
     wide = rows.withColumn("_start", F.explode(F.array(*map(F.lit, range(3)))))
     for _ in range(steps):
-        tried = checkpointed(_estimated(_closest(_binned(wide, tried, few, each), support, each), least, each))
+        tried = checkpointed(_estimated(_closest(_binned(wide, tried, few, each), support, each), each))
     held = [*_M, *_L, "log_det"]
     going = checkpointed(tried.groupBy(*by).agg(F.min_by(F.struct(*held), F.struct("log_det", "_start")).alias("e")).select(*by, "e.*"))
     ended = []
     while True:
-        new = _estimated(_closest(_binned(rows, going, few, by), support, by), least, by)
+        new = _estimated(_closest(_binned(rows, going, few, by), support, by), by)
         pairs = checkpointed(going.select(*by, F.struct(*held).alias("old")).join(new.select(*by, F.struct(*held).alias("new")), by))
         falls = F.col("new.log_det") < F.col("old.log_det") - TOLERANCE
         ended.append(pairs.where(~falls).select(*by, "old.*"))
@@ -255,7 +265,7 @@ def minimum_covariance(rows: DataFrame, few: bool, support: float = SUPPORT, ste
         best = best.unionByName(more)
     bins = _binned(rows, best, few, by)
     inner = bins.join(_scale(bins, by), by).where(F.pow(F.lit(2.0), F.col("_b") / PARTS) * F.col("scale") <= CHI2_INNER)
-    final = checkpointed(_estimated(inner.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *_S)]), min_group, by))
+    final = checkpointed(_estimated(inner.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *_S)]), by))
     return checkpointed(final.join(_scale(_binned(rows, final, few, by), by), by))
 
 
@@ -276,9 +286,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stats = stats.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     stats = checkpointed(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector(stats))]))
     passed = stats.where(~F.col("base_failed")).select("_lang", "_source", *[f"x{i}" for i in range(DIM)])
-    groups, few = _pools(passed, MIN_GROUP)
-    estimates = minimum_covariance(_with_pool(passed, groups, few, F.explode("pools"), "inner"), few)
-    out = _distances(_with_pool(stats, groups, few, F.col("judged"), "left"), estimates, few, ["_lang", "_source"], "left").withColumn("distance", F.sqrt(F.col("d2") * F.col("scale")))
+    few = _few_groups(passed)
+    estimates = checkpointed(_shrunk(minimum_covariance(_pooled(passed), few)))
+    out = _distances(stats, estimates, few, ["_lang", "_source"], "left").withColumn("distance", F.sqrt("d2"))
     kept = ~F.col("base_failed") & (F.col("distance") <= float(cutoff) ** 0.5)
     return out.withColumn("kept", kept).select("doc_id", "_k", "_k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
