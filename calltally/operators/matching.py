@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,31 +94,98 @@ def cells_of(own: Column, groups: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (F.least(own, g) * 1000 + F.greatest(own, g)).cast("int"))
 
 
-def broker_matches(signals: DataFrame, walls: tuple[str, ...] = WALLS, same_bar: float = SAME_BAR, cross_bar: float = CROSS_BAR, groups: int = 4, index: Hyperplanes | None = None) -> DataFrame:
+#: Vectors of a group, at most about so many; a task holds the two groups of a cell. Rows that meet at once in a cell.
+GROUP, STEP = 8192, 256
+
+
+def groups_of(rows: DataFrame, keys: list[str], most: int = GROUP, least: int = 4) -> int:
+    """So many groups that none holds much more than ``most`` rows of one of the ``keys``, 999 at most (see ``cells_of``)."""
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return min(999, max(least, -(-largest // most)))
+
+
+def in_cells(rows: DataFrame, dealt_by: str, groups: int) -> DataFrame:
+    """Each row in its group's cell with every group; ``lo`` and ``hi`` are a cell's groups, ``grp`` the row's."""
+    out = rows.withColumn("grp", group_of(F.col(dealt_by), groups)).withColumn("_cell", F.explode(cells_of(F.col("grp"), groups)))
+    return out.withColumns({"lo": F.floor(F.col("_cell") / 1000), "hi": F.col("_cell") % 1000}).drop("_cell")
+
+
+def units(t: pa.Table) -> np.ndarray:
+    """The vectors of ``t``, all of one width, at length one."""
+    v = np.asarray(t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Numbers for the values of columns that share them; -1 for null."""
+    of = pd.factorize(np.concatenate([c.to_numpy(zero_copy_only=False) for c in columns]))[0]
+    return np.split(of, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def sides(batches: Iterator[pa.RecordBatch], order: str) -> tuple[pa.Table, pa.Table, bool]:
+    """The two groups of a cell in order, and whether they are one."""
+    t = pa.Table.from_batches(list(batches)).sort_by(order)
+    lo, hi, grp = t["lo"][0].as_py(), t["hi"][0].as_py(), t["grp"].to_numpy()
+    a = t.filter(pa.array(grp == lo))
+    return a, a if lo == hi else t.filter(pa.array(grp == hi)), lo == hi
+
+
+PAIRS = "x string, y string, sim double, same_objective boolean, solved boolean"
+
+
+def near_pairs(signals: DataFrame, walls: tuple[str, ...], bar: float, groups: int) -> DataFrame:
+    """Pairs of actors behind the same walls at ``bar`` or a rounding below, each once: cells of two groups multiply their vectors."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, one = sides(batches, "actor")
+        if not (a.num_rows and b.num_rows):
+            return
+        u, v = units(a), units(b)
+        objectives, labels = codes(a["objective_id"], b["objective_id"]), codes(a["label"], b["label"])
+        solved = [t["is_solved"].to_numpy(zero_copy_only=False) for t in (a, b)]
+        for i in range(0, len(u), STEP):
+            first = i if one else 0  # of one group only those that come after
+            sims = u[i : i + STEP] @ v[first:].T
+            if one:
+                sims[np.tril_indices(len(sims), 0, sims.shape[1])] = -2
+            x, y = np.nonzero(sims >= bar - 1e-6)
+            sim, x, y = sims[x, y], x + i, y + first
+            both = (objectives[0][x] >= 0) & (objectives[1][y] >= 0)
+            same = np.where(both, objectives[0][x] == objectives[1][y], (labels[0][x] >= 0) & (labels[0][x] == labels[1][y]))
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"x": a["actor"].combine_chunks().take(pa.array(x)), "y": b["actor"].combine_chunks().take(pa.array(y)), "sim": sim, "same_objective": same, "solved": (solved[0][x] | solved[1][y]).astype(bool)})
+
+    s = signals.where("actor IS NOT NULL").select(
+        *walls, F.size("embedding").alias("width"), F.col("actor").cast("string").alias("actor"), F.col("objective_id").cast("string").alias("objective_id"), F.col("label").cast("string").alias("label"),
+        F.coalesce("is_solved", F.lit(False)).alias("is_solved"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    return in_cells(s, "actor", groups).groupBy(*walls, "width", "lo", "hi").applyInArrow(meet, PAIRS)
+
+
+def broker_matches(signals: DataFrame, walls: tuple[str, ...] = WALLS, same_bar: float = SAME_BAR, cross_bar: float = CROSS_BAR, groups: int | None = None, index: Hyperplanes | None = None) -> DataFrame:
     """Pairs of actors close enough, within the walls (null only with null), once each (a < b).
 
-    The walls are the equi-join keys, so only actors behind the same walls meet. The bar is the lower one for the same
-    objective (ids if both are known, else labels) or if either side solved it. A wall's actors are dealt to ``groups``;
-    every two groups are a join key of their own, so a wall that holds most actors is spread over groups squared keys.
+    The bar is the lower one for the same objective (ids if both are known, else labels) or if either side solved it. A
+    wall's actors are dealt to ``groups``, by default so many that a group has about ``GROUP`` of them; every two groups
+    are a cell whose vectors one task multiplies, so a cell's size stays as it is however many actors a wall holds.
     With ``index`` only actors that share a bucket meet: fewer pairs, and close ones are missed by ``index.chance``.
     """
-    s = latest_signals(signals).where(valid_embedding(F.col("embedding"))).withColumn("u", unit(F.col("embedding")))
+    s = latest_signals(signals).where(valid_embedding(F.col("embedding")))
     if index is None:
-        s = s.withColumn("_g", group_of(F.col("actor"), groups)).withColumn("_cell", F.explode(cells_of(F.col("_g"), groups)))
+        pairs = near_pairs(s, walls, min(same_bar, cross_bar), groups or groups_of(signals, list(walls)))
+        same, solved, a, b = F.col("same_objective"), F.col("solved"), F.least("x", "y"), F.greatest("x", "y")
+        pairs = pairs.withColumn("sim", F.round("sim", 6))
     else:
-        s = s.withColumn("_g", F.lit(0)).withColumn("_cell", F.explode(signatures(F.col("embedding"), index)))
-    cols = ["actor", "objective_id", "label", "is_solved", "u", "_g", "_cell"]
-    side = lambda x: s.select(*[F.col(w).alias(f"{w}_{x}") for w in walls], *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    on = (F.col("actor_a") < F.col("actor_b")) & (F.col("_cell_a") == F.col("_cell_b"))
-    for w in walls:
-        on = on & F.col(f"{w}_a").eqNullSafe(F.col(f"{w}_b"))
-    if index is None:  # a pair of one group counts in that group's own cell only
-        on = on & ((F.col("_g_a") != F.col("_g_b")) | (F.floor(F.col("_cell_a") / 1000) == F.col("_cell_a") % 1000))
-    pairs = side("a").join(side("b"), on).withColumn("sim", F.round(_dot("u_a", "u_b"), 6))
-    same = F.coalesce(F.when(F.col("objective_id_a").isNotNull() & F.col("objective_id_b").isNotNull(), F.col("objective_id_a") == F.col("objective_id_b")).otherwise(F.col("label_a") == F.col("label_b")), F.lit(False))
-    solved = F.col("is_solved_a") | F.col("is_solved_b")
+        s = s.withColumn("u", unit(F.col("embedding"))).withColumn("_cell", F.explode(signatures(F.col("embedding"), index)))
+        side = lambda x: s.select(*[F.col(c).alias(f"{c}_{x}") for c in (*walls, "actor", "objective_id", "label", "is_solved", "u", "_cell")])
+        on = (F.col("actor_a") < F.col("actor_b")) & (F.col("_cell_a") == F.col("_cell_b"))
+        for w in walls:
+            on = on & F.col(f"{w}_a").eqNullSafe(F.col(f"{w}_b"))
+        pairs = side("a").join(side("b"), on).withColumn("sim", F.round(_dot("u_a", "u_b"), 6))
+        same = F.coalesce(F.when(F.col("objective_id_a").isNotNull() & F.col("objective_id_b").isNotNull(), F.col("objective_id_a") == F.col("objective_id_b")).otherwise(F.col("label_a") == F.col("label_b")), F.lit(False))
+        solved, a, b = F.col("is_solved_a") | F.col("is_solved_b"), F.col("actor_a"), F.col("actor_b")
     bar = F.when(same | solved, same_bar).otherwise(cross_bar)
-    out = pairs.where(F.col("sim") >= bar).select(F.col("actor_a").alias("a"), F.col("actor_b").alias("b"), "sim", same.alias("same_objective"), F.when(solved, "solved_reuse").otherwise("live_duplication").alias("mode"))
+    out = pairs.where(F.col("sim") >= bar).select(a.alias("a"), b.alias("b"), "sim", same.alias("same_objective"), F.when(solved, "solved_reuse").otherwise("live_duplication").alias("mode"))
     return out if index is None else out.distinct()
 
 

@@ -222,3 +222,14 @@ def test_ingest_books_what_it_matches(spark, tmp_path):
     assert {r.dedup_key for r in booked} == {f"px_{i}|px_{j}|obj1|fix" for i in range(4) for j in range(i + 1, 4)}
     assert {(r.tenant_id, r["mode"], r.cluster_label) for r in booked} == {("t1", "live_duplication", "One")}
     assert jobs.committed(spark, out, "matches").count() == 6
+
+
+def test_groups_grow_with_a_wall_and_cells_of_many_steps_find_every_pair(spark):
+    """A cell's size doesn't grow with its wall, and 700 people of one wall (several steps a cell) are all compared."""
+    v = _vectors(700, 8, kinds=40)
+    rows = [(f"p{i}", f"e{i}", datetime(2024, 1, 1), x, "o", "eu", None if i % 2 else "c", "x" if i % 3 else None, f"L{i % 2}" if i % 5 else None, i % 7 == 0) for i, x in enumerate(v)]
+    people = spark.createDataFrame(rows, SIGNAL)
+    assert [matching.groups_of(people, ["org"], most) for most in (70, 350, 700)] == [10, 4, 4]
+    got = {(r.a, r.b): (r.sim, r.same_objective, r.mode) for r in matching.broker_matches(people, same_bar=0.8, cross_bar=0.9, groups=2).collect()}
+    want = {(a, b): (sim, same, mode) for a, b, sim, same, mode, *_ in _plain_matches(rows[0::2], 0.8, 0.9) + _plain_matches(rows[1::2], 0.8, 0.9)}
+    assert got == want and len(want) > 1000
