@@ -199,25 +199,60 @@ def memory_tiers(best: DataFrame, serve: float = SERVE, warm: float = WARM) -> D
     )
 
 
-def team_memory(rows: DataFrame, serve: float = SERVE, warm: float = WARM, shards: int = 4, index: Hyperplanes | None = None) -> DataFrame:
+FOUND = "seq_a long, language_a string, request_model_a string, sim double, o long, actor_b string, language_b string, request_model_b string, cost_usd_b double"
+
+
+def best_earlier(rows: DataFrame, shards: int) -> DataFrame:
+    """Each row's best earlier row in every cell that it is in: cells of two shards multiply their vectors, which serves both."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, one = sides(batches, "seq")
+        if not (a.num_rows and b.num_rows):
+            return
+        v, actors, seqs = (units(a), units(b)), codes(a["actor"], b["actor"]), (a["seq"].to_numpy(), b["seq"].to_numpy())
+        for asks, holds in ((0, 1),) if one else ((0, 1), (1, 0)):
+            for i in range(0, len(v[asks]), STEP):
+                own, seq = actors[asks][i : i + STEP], seqs[asks][i : i + STEP]
+                n = np.searchsorted(seqs[holds], seq[-1])  # those before the last of these
+                if not n:
+                    continue
+                sims = np.round(v[asks][i : i + STEP] @ v[holds][:n].T, 6)
+                # A null actor is never excluded.
+                sims[(seqs[holds][None, :n] >= seq[:, None]) | ((own[:, None] == actors[holds][None, :n]) & (own >= 0)[:, None])] = -2
+                top = sims.argmax(1)  # of equal ones the first, as they are in order
+                found = np.flatnonzero(sims[np.arange(len(top)), top] > -2)
+                x, y, sim = pa.array(found + i), pa.array(top[found]), sims[found, top[found]]
+                take = lambda t, c, at: t[c].combine_chunks().take(at)
+                q, m = (a, b)[asks], (a, b)[holds]
+                yield pa.RecordBatch.from_pydict(
+                    {"seq_a": take(q, "seq", x), "language_a": take(q, "language", x), "request_model_a": take(q, "request_model", x), "sim": sim, "o": -seqs[holds][top[found]]}
+                    | {f"{c}_b": take(m, c, y) for c in ("actor", "language", "request_model", "cost_usd")}
+                )
+
+    s = rows.where("seq IS NOT NULL AND tenant_id IS NOT NULL").select(
+        "tenant_id", F.size("embedding").alias("width"), F.col("seq").cast("long").alias("seq"), *[F.col(c).cast("string").alias(c) for c in ("actor", "language", "request_model")],
+        F.col("cost_usd").cast("double").alias("cost_usd"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    return in_cells(s, "seq", shards).groupBy("tenant_id", "width", "lo", "hi").applyInArrow(meet, FOUND)
+
+
+def team_memory(rows: DataFrame, serve: float = SERVE, warm: float = WARM, shards: int | None = None, index: Hyperplanes | None = None) -> DataFrame:
     """Each row's best earlier row of its tenant by another actor (a null actor is never excluded), and what it offers.
 
     Serve: near enough, same language and model; warm start: near enough. Equal similarity: the earliest row. A tenant's
-    rows are kept in one of ``shards`` and looked up in all, so a tenant that holds most rows is spread; with ``index``
-    they are kept and looked up in their buckets, which finds near ones by ``index.chance`` and few others.
+    rows are dealt to ``shards``, by default so many that a shard has about ``GROUP`` of them; every two shards are a
+    cell whose vectors one task multiplies, so a cell's size stays as it is however many rows a tenant has. With
+    ``index`` rows are kept and looked up in their buckets, which finds near ones by ``index.chance`` and few others.
     """
-    s = rows.where(valid_embedding(F.col("embedding"))).withColumn("u", unit(F.col("embedding")))
+    s = rows.where(valid_embedding(F.col("embedding")))
     if index is None:
-        kept, asked = F.array(group_of(F.col("seq"), shards)), F.sequence(F.lit(0), F.lit(shards - 1))
+        scored = best_earlier(s, shards or groups_of(rows, ["tenant_id"])).select("seq_a", "language_a", "request_model_a", F.struct("sim", "o", "actor_b", "language_b", "request_model_b", "cost_usd_b").alias("m"))
     else:
-        s = s.withColumn("_sig", signatures(F.col("embedding"), index))
-        kept = asked = F.col("_sig")
-    cols = ["seq", "actor", "language", "request_model", "cost_usd", "u"]
-    side = lambda x, cells: s.select(F.col("tenant_id").alias(f"tenant_{x}"), F.explode(cells).alias(f"cell_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    other = ~F.coalesce(F.col("actor_a") == F.col("actor_b"), F.lit(False))
-    on = (F.col("tenant_a") == F.col("tenant_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("seq_b") < F.col("seq_a")) & other
-    pairs = side("a", asked).join(side("b", kept), on)
-    scored = pairs.select("seq_a", "language_a", "request_model_a", F.struct(F.round(_dot("u_a", "u_b"), 6).alias("sim"), F.negate("seq_b").alias("o"), "actor_b", "language_b", "request_model_b", "cost_usd_b").alias("m"))
+        s = s.withColumn("u", unit(F.col("embedding"))).withColumn("_cell", F.explode(signatures(F.col("embedding"), index)))
+        side = lambda x: s.select(*[F.col(c).alias(f"{c}_{x}") for c in ("tenant_id", "_cell", "seq", "actor", "language", "request_model", "cost_usd", "u")])
+        other = ~F.coalesce(F.col("actor_a") == F.col("actor_b"), F.lit(False))
+        on = (F.col("tenant_id_a") == F.col("tenant_id_b")) & (F.col("_cell_a") == F.col("_cell_b")) & (F.col("seq_b") < F.col("seq_a")) & other
+        scored = side("a").join(side("b"), on).select("seq_a", "language_a", "request_model_a", F.struct(F.round(_dot("u_a", "u_b"), 6).alias("sim"), F.negate("seq_b").alias("o"), "actor_b", "language_b", "request_model_b", "cost_usd_b").alias("m"))
     best = scored.groupBy("seq_a").agg(F.max("m").alias("m"), F.first("language_a").alias("language_a"), F.first("request_model_a").alias("model_a"))
     return memory_tiers(best, serve, warm)
 

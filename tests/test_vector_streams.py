@@ -233,3 +233,18 @@ def test_groups_grow_with_a_wall_and_cells_of_many_steps_find_every_pair(spark):
     got = {(r.a, r.b): (r.sim, r.same_objective, r.mode) for r in matching.broker_matches(people, same_bar=0.8, cross_bar=0.9, groups=2).collect()}
     want = {(a, b): (sim, same, mode) for a, b, sim, same, mode, *_ in _plain_matches(rows[0::2], 0.8, 0.9) + _plain_matches(rows[1::2], 0.8, 0.9)}
     assert got == want and len(want) > 1000
+
+
+def test_memory_shards_grow_with_a_tenant_and_give_the_earliest_of_equals(spark):
+    rows = [(s, "t" if s % 9 else "u", a, la, m, v[:4], c) for (s, _, a, la, m, v, c) in _memory(900)]
+    rows += [(s + 900, *x) for s, *x in rows[:300]]  # the same vectors again: ties
+    df = spark.createDataFrame(rows, MEMORY)
+    assert matching.groups_of(df, ["tenant_id"], 100) > 10
+    best = {r.seq_a: (r.sim, -r.o) for r in matching.best_earlier(df, 2).groupBy("seq_a").agg(F.max(F.struct("sim", "o")).alias("m")).select("seq_a", "m.*").collect()}
+    u = np.array([r[5] for r in rows]) / np.linalg.norm([r[5] for r in rows], axis=1)[:, None]
+    want = {}
+    for i, (s, t, a, *_) in enumerate(rows):
+        past = [(round(float(u[i] @ u[j]), 6), -rows[j][0]) for j in range(i) if rows[j][1] == t and (a is None or rows[j][2] != a)]
+        if past:
+            want[s] = (max(past)[0], -max(past)[1])
+    assert best == want
