@@ -82,13 +82,14 @@ def prefix_length(size: Column, bar: float) -> Column:
     return (size - F.ceil(size * bar - 1e-9) + 1).cast("int")
 
 
-def similar_before(prompts: DataFrame, back: int, bar: float, ratio=sequence_ratio, answered: Column | None = None, bucket: Column | None = None) -> DataFrame:
+def similar_before(prompts: DataFrame, back: int, bar: float, ratio=sequence_ratio, answered: Column | None = None, bucket: Column | None = None, apart=None) -> DataFrame:
     """Prompts like one of the actor's last ``back`` (of the ``answered`` ones, if given): half token Jaccard, half ``ratio``.
 
     The Jaccard half bounds the whole, so pairs below ``2 * bar - 1`` are left out. They are found by ids: each prompt's
     rarest words, as many as two such prompts must share one of, meet those of the actor's prompts in the two blocks of
     ``back`` that the last ``back`` lie in. Texts are joined to what is left, for ``ratio`` (pluggable). Prompts
-    without a word are like none. (ts, event_id) order an actor's prompts; ``bucket`` cuts that order, see ``numbered``.
+    without a word are like none. ``apart`` gives one less the ratio instead, and is taken off last, as in SQL: a pair
+    right at the bar falls to either side with the order of the sum. (ts, event_id) order an actor's prompts; ``bucket`` cuts that order, see ``numbered``.
     """
     least, taught = 2 * bar - 1, F.lit(True) if answered is None else answered
     words = F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit("[a-z0-9_]+"), F.lit(0)))
@@ -108,13 +109,18 @@ def similar_before(prompts: DataFrame, back: int, bar: float, ratio=sequence_rat
     scored = ids.join(known("a"), ["actor", "ts_a", "id_a"]).join(known("b"), ["actor", "ts_b", "id_b"]).withColumn("j", jaccard(F.col("words_a"), F.col("words_b"))).where(F.col("j") >= least)
     text = lambda x: prompts.select("actor", F.col("ts").alias(f"ts_{x}"), F.col("event_id").alias(f"id_{x}"), F.lower("prompt").alias(f"text_{x}"))
     pairs = scored.select("actor", "ts_a", "id_a", "ts_b", "id_b", "j").join(text("a"), ["actor", "ts_a", "id_a"]).join(text("b"), ["actor", "ts_b", "id_b"])
-    best = pairs.withColumn("sim", (F.col("j") + ratio(F.col("text_a"), F.col("text_b"))) / 2).where(F.col("sim") >= bar)
+    both = F.col("j") + ratio(F.col("text_a"), F.col("text_b")) if apart is None else F.col("j") + 1 - apart(F.col("text_a"), F.col("text_b"))
+    best = pairs.withColumn("sim", both / 2).where(F.col("sim") >= bar)
     return best.groupBy("actor", F.col("id_a").alias("event_id")).agg(F.round(F.max("sim"), 4).alias("similarity"))
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
     """One less the share of characters to edit: a similarity that needs no Python."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return 1 - edit_share(a, b)
+
+
+def edit_share(a: Column, b: Column) -> Column:
+    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 #: Seconds of a block of time, in TTLs.

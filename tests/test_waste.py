@@ -76,3 +76,13 @@ def test_exact_repeats(spark, step, ttl):
     got = {x.event_id: (x.hit, x.saved_input_tokens) for x in waste.exact_repeats(df, ttl).collect()}
     assert got == _plain_repeats(rows, ttl)
     assert waste.exact_repeats(df.limit(0), ttl).count() == 0
+
+
+def test_a_pair_right_at_the_bar_is_summed_as_in_sql(spark):
+    """14 words and 68 characters, then "please": 14/15 + 1 - 7/75 is 1.84, but 14/15 + (1 - 7/75) is a bit less."""
+    words = [f"w{i:02d}" for i in range(13)]
+    text = " ".join([*words, "x" * (68 - 13 * 4)])
+    assert len(text) == 68 and (14 / 15 + 1 - 7 / 75) / 2 >= 0.92 > (14 / 15 + (1 - 7 / 75)) / 2
+    df = spark.createDataFrame([(1, 1, "a", text, True), (1, 2, "b", text + " please", True)], "actor long, ts long, event_id string, prompt string, answered boolean")
+    assert [(r.event_id, r.similarity) for r in waste.similar_before(df, 4, 0.92, apart=waste.edit_share).collect()] == [("b", 0.92)]
+    assert waste.similar_before(df, 4, 0.92, waste.edit_ratio).count() == 0
