@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,48 +18,62 @@ CHANGE = "term string, label string, support long, total long"
 SUPPORT, SHARE = 4, 0.8
 
 
+HELD = ["term", "label", "n", "stands"]
+
+
 class _Vocabulary(StatefulProcessor):
-    """The terms of one bucket: how often each was seen with each label, and what it stands for at present."""
+    """The terms of one bucket, read and written as one value: how often each was seen with each label, and which it stands for at present."""
 
     def __init__(self, support: int, share: float, most: int | None):
         self.support, self.share, self.most = support, share, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.terms = handle.getMapState("terms", "term string", "labels array<string>, counts array<long>, stands string")
-        self.size = handle.getValueState("size", "n long")
+        self.held = handle.getValueState("held", "term array<string>, label array<string>, n array<long>, stands array<boolean>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        new: dict[str, dict[str, int]] = {}
-        for pdf in rows:  # sums of a batch's rows, in any order
-            for term, label, n in zip(pdf.term, pdf.label, pdf.n, strict=True):
-                own = new.setdefault(term, {})
-                own[label] = own.get(label, 0) + int(n)
-        size, out = int(self.size.get()[0]) if self.size.exists() else 0, []
-        for term in sorted(new):
-            known = self.terms.getValue((term,)) if self.terms.containsKey((term,)) else None
-            counts = dict(zip(known[0], map(int, known[1]))) if known else {}
-            size += known is None
-            for label, n in new[term].items():
-                counts[label] = counts.get(label, 0) + n
-            total, (top, label) = sum(counts.values()), max((n, x) for x, n in counts.items())
-            stands = label if top >= self.support and top >= self.share * total else None
-            if stands is not None or (known and known[2] is not None):
-                out.append((term, stands, top, total))
-            self.terms.updateValue((term,), (list(counts), list(counts.values()), stands))
-        if self.most is not None and size > self.most:
-            held = [(sum(map(int, v[1])), k[0]) for k, v in self.terms.iterator() if v[2] is None]
-            for _, term in sorted(held)[: size - self.most]:  # the least seen that stand for nothing
-                self.terms.removeKey((term,))
-                size -= 1
-        self.size.update((size,))
-        if out:
-            yield pd.DataFrame(out, columns=["term", "label", "support", "total"])
+        new = pd.concat(list(rows))[["term", "label", "n"]].assign(stands=False)
+        parts = [pd.DataFrame(dict(zip(HELD, map(list, self.held.get()), strict=True))), new] if self.held.exists() else [new]
+        held = pd.concat(parts).groupby(["term", "label"], as_index=False).agg({"n": "sum", "stands": "max"})
+        of = held.groupby("term")
+        held["total"], held["stood"] = of.n.transform("sum"), of.stands.transform("max")
+        held = held.sort_values(["term", "n", "label"])
+        top = ~held.term.duplicated(keep="last")
+        held["stands"] = top & (held.n >= self.support) & (held.n >= self.share * held.total)
+        now = held[top]
+        said = now[now.term.isin(new.term) & (now.stands | now.stood.astype(bool))]
+        if self.most is not None and len(now) > self.most:  # the least seen that stand for nothing
+            out = now[~now.stands].sort_values(["total", "term"]).term[: len(now) - self.most]
+            held = held[~held.term.isin(out)]
+        self.held.update(tuple(held[c].tolist() for c in HELD))
+        if len(said):
+            yield pd.DataFrame({"term": said.term, "label": said.label.where(said.stands, None), "support": said.n, "total": said.total})
 
     def close(self) -> None:
         pass
 
 
-def standings(stream: DataFrame, terms: Column, label: str, support: int = SUPPORT, share: float = SHARE, buckets: int = 32, most: int | None = None) -> DataFrame:
+#: Rows of a task that are summed before they are shuffled.
+SUMMED = 1_000_000
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Uses of each (bucket, term, label), summed over stretches of a task's rows."""
+    stretch, n = [], 0
+
+    def total() -> Iterator[pa.RecordBatch]:
+        sums = pa.Table.from_batches(stretch).group_by(["bucket", "term", "label"]).aggregate([([], "count_all")])
+        yield from sums.rename_columns(["bucket", "term", "label", "n"]).select(["bucket", "term", "label", "n"]).to_batches(max_chunksize=100_000)
+
+    for b in batches:
+        stretch, n = [*stretch, b], n + b.num_rows
+        if n >= SUMMED:
+            yield from total()
+            stretch, n = [], 0
+    if n:
+        yield from total()
+
+
+def standings(stream: DataFrame, terms: Column, label: str, support: int = SUPPORT, share: float = SHARE, buckets: int = 512, most: int | None = None) -> DataFrame:
     """Changes of what terms stand for: ``label`` is null where one has become ambiguous. ``term``, ``support``, ``total``.
 
     Rows teach their terms by their label; unknown and null labels teach nothing. A term stands for a label once it was
@@ -67,7 +82,7 @@ def standings(stream: DataFrame, terms: Column, label: str, support: int = SUPPO
     """
     taught = stream.where(F.col(label).isNotNull() & (F.col(label) != "unknown")).select(F.explode(terms).alias("term"), F.col(label).alias("label"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    keyed = taught.select(bucket, "term", "label", F.lit(1).cast("long").alias("n"))
+    keyed = taught.select(bucket, "term", "label").mapInArrow(summed, "bucket int, term string, label string, n long")
     return keyed.groupBy("bucket").transformWithStateInPandas(_Vocabulary(support, share, most), CHANGE, "Append", "None")
 
 

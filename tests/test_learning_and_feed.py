@@ -156,3 +156,29 @@ def test_state_that_is_not_written_can_be_forgotten(spark, tmp_path):
     w = state.debounce(s, 10, 3_600_000).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "ck"))
     assert w.trigger(once=True).start().awaitTermination(120)
     assert {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {"a": True, "b": True}
+
+
+def test_uses_are_summed_before_the_shuffle_and_a_bucket_is_one_value():
+    """No state call and no shuffled row a use: stretches of a task's rows are summed, and a bucket's terms are read at once."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = [(0, t, la) for t, la in [("a", "x")] * 5 + [("a", "y"), ("b", "y")] * 3]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("bucket", "term", "label"), r, strict=True)) for r in rows])
+    sums = pa.Table.from_batches(list(learning.summed(iter([batch, batch])))).to_pandas()
+    assert sorted(sums.itertuples(index=False, name=None)) == [(0, "a", "x", 10), (0, "a", "y", 6), (0, "b", "y", 6)]
+
+    class Value:
+        kept, calls = None, 0
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, v):
+            self.kept, self.calls = v, self.calls + 1
+
+    v = learning._Vocabulary(4, 0.8, 2)
+    v.held = Value()
+    feed_rows = lambda *r: [tuple(x) for out in v.handleInputRows((0,), iter([pd.DataFrame(r, columns=["term", "label", "n"])]), None) for x in out.astype(object).where(out.notna(), None).values]
+    assert feed_rows(("a", "x", 4), ("b", "y", 1), ("c", "y", 1)) == [("a", "x", 4, 4)] and v.held.calls == 1
+    assert sorted(set(v.held.kept[0])) == ["a", "c"]  # two terms a bucket: the least seen that stand for nothing go
+    assert feed_rows(("a", "y", 2)) == [("a", None, 4, 6)] and feed_rows(("c", "y", 1)) == []
