@@ -355,3 +355,14 @@ def test_broadcast_hint_only_for_small_dims(spark):
     assert hinted(20) and not hinted(19)
     rows = spark.range(50).toDF("k")
     assert {r.k for r in rows.join(small(dim, 19), "k").collect()} == {r.k for r in rows.join(small(dim), "k").collect()} == set(range(20))
+
+
+def test_what_customers_and_parts_decide_is_worked_out_before_they_meet_the_calls(spark):
+    """Pseudonyms and price patterns once a customer and a part, not once a call; names lose a region each, in order."""
+    plan = catalog.QUERIES["fact_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") > plan.index("(l_orderkey") and plan.index("gemini-2.5-flash") > plan.index("(l_partkey")
+    said = {"us.claude-opus-4-8": "claude-opus-4", "eu.us.claude-opus-4": "", "us.apac.Anthropic.gpt-4o-mini": "gpt-4o-mini", " a/us.eu.o3 ": "o3", "x/": "", None: None}
+    got = pricing.with_prices(spark.createDataFrame([(m,) for m in said], "request_model string"), dims.prices(spark)).collect()
+    assert {r.request_model: r.price_key for r in got} == {m: k or None for m, k in said.items()}
+    names = spark.createDataFrame([("feature_x/y",), ("fix",), (" A-b",), (None,)], "b string").select(C.branch_head(F.col("b")).alias("h")).collect()
+    assert [r.h for r in names] == ["feature", "fix", "a", None]
