@@ -366,3 +366,10 @@ def test_what_customers_and_parts_decide_is_worked_out_before_they_meet_the_call
     assert {r.request_model: r.price_key for r in got} == {m: k or None for m, k in said.items()}
     names = spark.createDataFrame([("feature_x/y",), ("fix",), (" A-b",), (None,)], "b string").select(C.branch_head(F.col("b")).alias("h")).collect()
     assert [r.h for r in names] == ["feature", "fix", "a", None]
+
+
+def test_only_routed_calls_look_up_prices(spark):
+    rows = [("claude-opus-4", "gpt-4o-mini"), ("claude-opus-4", None), (None, "gpt-4o-mini")]
+    df = spark.createDataFrame(rows, "request_model string, route_target string")
+    got = pricing.with_both_prices(df, dims.prices(spark), "request_model").collect()
+    assert {(r.request_model, r.route_target): (r.a_price_key, r.b_price_key) for r in got} == {rows[0]: ("claude-opus-4", "gpt-4o-mini"), rows[1]: (None, None), rows[2]: (None, "gpt-4o-mini")}
