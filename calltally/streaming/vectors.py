@@ -49,59 +49,89 @@ MATCH = "a string, b string, sim double, same_objective boolean, mode string, to
 
 
 class _Broker(StatefulProcessor):
-    """One cell of a wall: the latest signal of each person, and the pairs that were told."""
+    """One cell of a wall: the latest signal of each person, and with whom the first by name of a pair was told of."""
 
     def __init__(self, same_bar: float, cross_bar: float, ttl_ms: int | None):
         self.same_bar, self.cross_bar, self.ttl_ms = same_bar, cross_bar, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getMapState("latest", "actor string", "grp int, client string, objective_id string, label string, is_solved boolean, v binary", self.ttl_ms)
-        self.told = handle.getMapState("told", "pair string", "one boolean", self.ttl_ms)
+        self.told = handle.getMapState("told", "a string", "b array<string>, at array<long>", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # a batch's signals of one cell
-        lo, hi = key[2] // 1000, key[2] % 1000
+        rows = pd.concat(list(rows)).sort_values(["ts", "event_id"], ignore_index=True)  # a batch's signals of one cell
+        one = key[2] // 1000 == key[2] % 1000
         held = [(k[0], tuple(v)) for k, v in self.latest.iterator()]
-        at = {a: i for i, (a, _) in enumerate(held)}
-        facts = [v[:5] for _, v in held]
-        new = _unit(rows.embedding)
-        matrix = np.zeros((len(held) + len(rows), new.shape[1]))
-        for i, (_, v) in enumerate(held):
-            matrix[i] = np.frombuffer(v[5])
-        names, out, changed = [a for a, _ in held], [], set()
-        for r, v in zip(rows.itertuples(), new, strict=True):
-            sims = np.round(matrix[: len(names)] @ v, 6)
-            for i in np.flatnonzero(sims >= min(self.same_bar, self.cross_bar)).tolist():
-                grp, client, objective, label, solved = facts[i]
-                if names[i] == r.actor or (lo != hi and grp == r.grp):
-                    continue  # two of one group meet in that group's own cell
-                if client != (r.client if _given(r.client) else None):
-                    continue
-                both = _given(r.objective_id) and _given(objective)
-                same = bool(r.objective_id == objective if both else _given(r.label) and r.label == label)
-                reuse = bool(solved or r.is_solved)
-                if sims[i] < (self.same_bar if same or reuse else self.cross_bar):
-                    continue
-                a, b = sorted((names[i], r.actor))
-                if not self.told.containsKey((f"{a}|{b}",)):
-                    self.told.updateValue((f"{a}|{b}",), (True,))
-                    out.append((a, b, float(sims[i]), same, "solved_reuse" if reuse else "live_duplication", label, r.event_id, r.ts))
-            i = at.setdefault(r.actor, len(names))
-            if i == len(names):
-                names.append(r.actor)
-                facts.append(())
-            facts[i] = (int(r.grp), r.client if _given(r.client) else None, r.objective_id if _given(r.objective_id) else None, r.label if _given(r.label) else None, bool(r.is_solved))
-            matrix[i] = v
-            changed.add(i)
-        for i in sorted(changed):
-            self.latest.updateValue((names[i],), (*facts[i], matrix[i].tobytes()))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCH.split(", ")])
+        n, before = len(rows), len(held)
+        # Signals are those that are held, then the batch's; each counts from its own arrival until its person's next.
+        names = sorted({*rows.actor, *(a for a, _ in held)})
+        at = {a: i for i, a in enumerate(names)}
+        who = np.array([at[a] for a, _ in held] + [at[a] for a in rows.actor])
+        given = [[x if _given(x) else None for x in rows[c]] for c in ("client", "objective_id", "label")]
+        client, objective, label = (pd.factorize(np.array([v[i] for _, v in held] + x, object))[0] for i, x in enumerate(given, 1))
+        topic = np.array([v[3] for _, v in held] + given[2], object)
+        grp, solved = np.array([v[0] for _, v in held] + rows.grp.tolist()), np.array([v[4] for _, v in held] + rows.is_solved.tolist(), bool)
+        vectors = _unit(rows.embedding)
+        if held:
+            vectors = np.vstack([np.frombuffer(b"".join(v[5] for _, v in held)).reshape(before, -1), vectors])
+        start = np.concatenate([np.full(before, -1), np.arange(n)])
+        until, following = np.full(before + n, n), {}
+        for i in range(before + n - 1, -1, -1):
+            until[i] = following.get(who[i], n)
+            following[who[i]] = start[i]
+        told = np.zeros((len(names), -(-len(names) // 8)), np.uint8)  # a bit for each pair, in the row of its first by name
+        old: dict[int, tuple[list, list]] = {}
+        was_told, now = self.told.exists(), timers.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
+        people = np.array(names, object)
+        for i in range(0, n, matching.STEP):
+            live = np.flatnonzero((start < i + matching.STEP) & (until > i))
+            sims = vectors[before + i : before + i + matching.STEP] @ vectors[live].T
+            x, y = np.nonzero(sims >= min(self.same_bar, self.cross_bar) - 1e-6)
+            sim, x, y = np.round(sims[x, y], 6), x + before + i, live[y]
+            both = (objective[x] >= 0) & (objective[y] >= 0)
+            same = np.where(both, objective[x] == objective[y], (label[x] >= 0) & (label[x] == label[y]))
+            reuse = solved[x] | solved[y]
+            meet = (start[y] < start[x]) & (until[y] > start[x]) & (who[x] != who[y]) & (client[x] == client[y]) & (sim >= np.where(same | reuse, self.same_bar, self.cross_bar))
+            if not one:
+                meet &= grp[x] != grp[y]  # two of one group meet in that group's own cell
+            a, b = np.minimum(who[x], who[y]), np.maximum(who[x], who[y])
+            for k in np.unique(a[meet]).tolist():
+                if k not in old:
+                    old[k] = self._told_before(names[k], now) if was_told else ([], [])
+                    _mark(told, k, np.array([at[p] for p in old[k][0] if p in at], int))
+            found = np.flatnonzero(meet)
+            found = found[(told[a[found], b[found] >> 3] >> (b[found] & 7) & 1) == 0]
+            found = np.sort(found[np.unique(a[found] * len(names) + b[found], return_index=True)[1]])  # of a pair's the first to arrive
+            if not len(found):
+                continue
+            a, b, x = a[found], b[found], x[found]
+            _mark(told, a, b)
+            own = rows.iloc[x - before]
+            yield pd.DataFrame({"a": people[a], "b": people[b], "sim": sim[found], "same_objective": same[found].astype(bool), "mode": np.where(reuse[found], "solved_reuse", "live_duplication").astype(object), "topic": topic[y[found]], "event_id": own.event_id.to_numpy(), "ts": own.ts.array})
+        for k, (others, times) in old.items():
+            had = set(others)
+            more = [p for p in people[np.flatnonzero(np.unpackbits(told[k], count=len(names), bitorder="little"))] if p not in had]
+            if more:
+                self.told.updateValue((names[k],), (others + more, times + [now] * len(more)))
+        for k, i in {w: i for i, w in enumerate(who[before:].tolist(), before)}.items():
+            facts = [x[i - before] for x in given]
+            self.latest.updateValue((names[k],), (int(grp[i]), *facts, bool(solved[i]), vectors[i].tobytes()))
+
+    def _told_before(self, name: str, now: int) -> tuple[list, list]:
+        """With whom, and when; without pairs whose time is over."""
+        if not self.told.containsKey((name,)):
+            return [], []
+        pairs = [(b, t) for b, t in zip(*self.told.getValue((name,)), strict=True) if not self.ttl_ms or t + self.ttl_ms > now]
+        return [b for b, _ in pairs], [t for _, t in pairs]
 
     def close(self) -> None:
         pass
 
 
+def _mark(bits: np.ndarray, a, b: np.ndarray) -> None:
+    np.bitwise_or.at(bits, (a, b >> 3), (1 << (b & 7)).astype(np.uint8))
+
+
 def _given(x) -> bool:
     return isinstance(x, str)
 
@@ -111,7 +141,8 @@ def match_arrivals(signals: DataFrame, walls: tuple[str, ...] = ("org", "residen
 
     Columns as for ``matching.broker_matches``; signals of a batch arrive by (ts, event_id). A person stays behind the
     same ``walls``, which key the state; the client is that of the signal, and only equal ones (or none) match. ``groups`` deals the people
-    of a wall to so many groups, whose pairs are cells (999 at most). ``mutual`` (a, b) holds pairs who agreed already;
+    of a wall to so many groups, whose pairs are cells (999 at most); a task holds a cell's people, so let them grow with
+    the largest wall (``matching.groups_of``). ``mutual`` (a, b) holds pairs who agreed already;
     they are left out. With ``ttl_ms`` state that isn't written for so long is forgotten; without it, it stays.
     """
     good = signals.where(valid_embedding(F.col("embedding")) & F.col("actor").isNotNull())

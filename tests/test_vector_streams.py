@@ -7,6 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,70 @@ def test_memory_shards_grow_with_a_tenant_and_give_the_earliest_of_equals(spark)
         if past:
             want[s] = (max(past)[0], -max(past)[1])
     assert best == want
+
+
+class _State(dict):
+    """Keyed state in memory that counts what is written."""
+
+    written = 0
+
+    def exists(self):
+        return bool(self)
+
+    def containsKey(self, k):
+        return k in self
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self.written += 1
+        self[k] = v
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Clock:
+    now = 0
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def _cell(ttl_ms=None):
+    b = vectors._Broker(0.6, 0.8, ttl_ms)
+    b.latest, b.told = _State(), _State()
+    return b
+
+
+def _batch(rows, groups=1):
+    r = pd.DataFrame(rows, columns=[c.split()[0] for c in SIGNAL.split(", ")])
+    return r.assign(grp=[int(a[1:]) % groups for a in r.actor], embedding=[np.array(v) for v in r.embedding])
+
+
+@pytest.mark.parametrize("cell", [0, 1])
+def test_a_cell_of_many_steps_writes_once_a_person_and_batch(cell):
+    rows = [(*r[:4], "o", *r[5:]) for r in _signals(1500, 200)]
+    b, got, pairs = _cell(), [], 0
+    for part in (rows[:900], rows[900:910], rows[910:]):
+        b.told.written = b.latest.written = 0
+        found = pd.concat([pd.DataFrame(), *b.handleInputRows(("w", 8, cell), iter([_batch(part, cell + 1)]), _Clock())])
+        assert b.told.written <= 200 and b.latest.written == len({r[0] for r in part})
+        got += [tuple(x) for x in found.drop(columns="ts").itertuples(index=False)] if len(found) else []
+    want = [x for x in _plain_matches(rows, 0.6, 0.8) if not cell or int(x[0][1:]) % 2 != int(x[1][1:]) % 2]
+    assert sorted(got, key=repr) == want and len(want) > 2000
+    assert sum(len(others) for others, _ in b.told.values()) == len(want)
+
+
+def test_a_pair_is_told_again_when_its_time_is_over():
+    row = lambda who, second: (who, f"e{second}", datetime(2024, 1, 1) + timedelta(seconds=second), [1.0, 0.1], "o", "eu", None, "x", "L", False)
+    b, clock = _cell(ttl_ms=100), _Clock()
+
+    def told(at, *rows):
+        clock.now = at
+        return sorted((a, c) for x in b.handleInputRows(("w", 2, 0), iter([_batch(rows)]), clock) for a, c in zip(x.a, x.b, strict=True))
+
+    assert told(0, row("p1", 1), row("p2", 2)) == [("p1", "p2")]
+    assert told(60, row("p1", 3), row("p3", 4)) == [("p1", "p3"), ("p2", "p3")]  # that p1 and p3 met keeps p1 and p2 no longer
+    assert told(99, row("p2", 5)) == [] and told(100, row("p2", 6)) == [("p1", "p2")] and told(159, row("p3", 7)) == []
