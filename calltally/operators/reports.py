@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -110,13 +111,14 @@ def cost_to_solve(costs: DataFrame, by: list[str]) -> DataFrame:
     return ranked.where((F.col("r") > trim) & (F.col("r") <= F.col("n") - trim)).groupBy(*by).agg(F.round(F.avg("cost") + 1e-9, 6).alias("cost_to_solve"), F.max("n").alias("cohort"))
 
 
-def book(opportunities: DataFrame) -> DataFrame:
-    """One entry for each key: first time stays, and a live duplicate may become a solved reuse but not the reverse."""
+def book(opportunities: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One entry for each key: first time stays, and a live duplicate may become a solved reuse but not the reverse. The greatest of ``more``."""
     solved = F.col("mode") == "solved_reuse"
     return opportunities.groupBy("dedup_key", "tenant_id", "objective_id", "work_type").agg(
         F.min("ts").alias("ts"), F.when(F.max(solved), "solved_reuse").otherwise("live_duplication").alias("mode"),
         F.min("actor_a").alias("actor_a"), F.min("actor_b").alias("actor_b"),
         F.coalesce(F.max_by(F.when(solved, F.col("cluster_label")), F.when(solved, F.col("ts"))), F.min_by("cluster_label", "ts")).alias("cluster_label"),
+        *[F.max(c).alias(c) for c in more],
     )
 
 

@@ -373,3 +373,9 @@ def test_only_routed_calls_look_up_prices(spark):
     df = spark.createDataFrame(rows, "request_model string, route_target string")
     got = pricing.with_both_prices(df, dims.prices(spark), "request_model").collect()
     assert {(r.request_model, r.route_target): (r.a_price_key, r.b_price_key) for r in got} == {rows[0]: ("claude-opus-4", "gpt-4o-mini"), rows[1]: (None, None), rows[2]: (None, "gpt-4o-mini")}
+
+
+@pytest.mark.parametrize("name", ["capsules_on_matches", "ledger_booking"])
+def test_pairs_to_book_and_capsules_read_the_calls_once(spark, name):
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet [l_orderkey") == 1
