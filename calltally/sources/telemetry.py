@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import provider_of, token_estimate
+from ..functions.columns import let, provider_of, token_estimate
 from ..functions.privacy import pseudonym
 from ..operators.attribution import attribute
 from ..operators.pricing import price_calls
@@ -46,9 +46,10 @@ def _plain(v: Column) -> Column:
 def attribute_map(attributes: Column) -> Column:
     """Key/value list to a map of strings; of a repeated key the last value stays."""
     entries = F.filter(F.coalesce(attributes, F.array().cast(_ATTRS)), lambda a: a["key"].isNotNull())
-    keys = F.transform(entries, lambda a: a["key"])
-    last = F.filter(entries, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), a["key"]))
-    return F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"].alias("key"), _plain(a["value"]).alias("value"))))
+    keys = lambda e: F.transform(e, lambda a: a["key"])
+    last = lambda e, k: F.filter(e, lambda a, i: ~F.array_contains(F.slice(k, i + 2, F.greatest(F.size(k) - i - 1, F.lit(0))), a["key"]))
+    unrepeated = let(entries, lambda e: let(keys(e), lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), e).otherwise(last(e, k))))
+    return F.map_from_entries(F.transform(unrepeated, lambda a: F.struct(a["key"].alias("key"), _plain(a["value"]).alias("value"))))
 
 
 def message_texts(value: Column, role: str = "user") -> Column:
@@ -89,18 +90,29 @@ def _is_call(attrs: str = "attrs") -> Column:
     return F.exists(F.map_keys(attrs), lambda k: k.startswith("gen_ai."))
 
 
+def _items(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """One row for each item. What is exploded is worked out once, not anew by every condition and column that reads it.
+
+    Spark puts a condition on the list before an inner explode, which would work the list out twice more; so it is an outer one.
+    """
+    return rows.select(F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def calls_from_traces(exports: DataFrame) -> DataFrame:
-    spans = exports.select(F.explode(F.from_json("payload", TRACES)["resourceSpans"]).alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("x"))
-    rows = spans.select(F.col("x.spanId").alias("id"), F.col("x.startTimeUnixNano").alias("nanos"), attribute_map(F.col("x.attributes")).alias("attrs"), F.lit(False).alias("vendor"))
-    return _calls(rows.where(_is_call()))
+    spans = _items(_items(exports, F.from_json("payload", TRACES)["resourceSpans"], "r"), F.col("r.scopeSpans"), "s")
+    row = lambda x: F.struct(x["spanId"].alias("id"), x["startTimeUnixNano"].alias("nanos"), attribute_map(x["attributes"]).alias("attrs"), F.lit(False).alias("vendor"))
+    return _calls(_items(spans, F.transform("s.spans", row), "x").select("x.*").where(_is_call()))
 
 
 def _log_records(exports: DataFrame) -> DataFrame:
-    logs = exports.select(F.explode(F.from_json("payload", LOGS)["resourceLogs"]).alias("r")).select(F.explode("r.scopeLogs").alias("s")).select(F.explode("s.logRecords").alias("x"))
-    attrs = attribute_map(F.col("x.attributes"))
-    body = F.coalesce(_pairs_map(F.col("x.body.kvlistValue")), F.create_map().cast("map<string,string>"))
-    body = F.map_filter(body, lambda k, v: ~F.map_contains_key(attrs, k))  # attributes win
-    return logs.select(F.sha2(F.to_json("x"), 256).alias("id"), F.col("x.timeUnixNano").alias("nanos"), F.map_concat(body, attrs).alias("attrs"), F.col("x.body.stringValue").alias("event"))
+    logs = _items(_items(exports, F.from_json("payload", LOGS)["resourceLogs"], "r"), F.col("r.scopeLogs"), "s")
+
+    def merged(attrs: Column, x: Column) -> Column:
+        body = F.coalesce(_pairs_map(x["body"]["kvlistValue"]), F.create_map().cast("map<string,string>"))
+        return F.map_concat(F.map_filter(body, lambda k, v: ~F.map_contains_key(attrs, k)), attrs)  # attributes win
+
+    row = lambda x: F.struct(F.sha2(F.to_json(x), 256).alias("id"), x["timeUnixNano"].alias("nanos"), let(attribute_map(x["attributes"]), lambda a: merged(a, x)).alias("attrs"), x["body"]["stringValue"].alias("event"))
+    return _items(logs, F.transform("s.logRecords", row), "x").select("x.*")
 
 
 def calls_from_logs(exports: DataFrame) -> DataFrame:

@@ -76,3 +76,17 @@ def test_vendor_rows_without_anything(spark):
 @pytest.mark.parametrize(("model", "provider"), [("omni-2", "openai"), ("o3", "openai"), ("Claude-x", "anthropic"), (None, "unknown"), ("llama", "unknown")])
 def test_provider_of_a_model(spark, model, provider):
     assert spark.range(1).select(provider_of(F.lit(model).cast("string")).alias("p")).collect()[0].p == provider
+
+
+def test_a_payload_is_read_once_and_its_attributes_are_worked_out_once(spark):
+    rows = spark.range(3).select(F.lit("logs").alias("signal"), F.concat(F.lit('{"resourceLogs": '), F.col("id").cast("string"), F.lit("}")).alias("payload"))
+    plan = telemetry.calls_from_logs(rows).select("ts", "provider", "input_tokens")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("from_json("), plan.count("map_concat(")) == (1, 1)
+
+
+def test_of_repeated_attributes_the_last_counts_and_of_body_and_attributes_the_latter(spark):
+    pair = lambda k, v: {"key": k, "value": {"stringValue": v}}
+    log = {"body": {"kvlistValue": {"values": [pair("gen_ai.request.model", "body"), pair("gen_ai.usage.output_tokens", "4")]}}, "attributes": [pair("gen_ai.request.model", "x"), pair("gen_ai.usage.input_tokens", "1"), pair("gen_ai.request.model", "y")]}
+    payloads = [json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [log, None]}, None]}, None]}), "{}", None, "no json"]
+    got = telemetry.calls_from_logs(spark.createDataFrame([(p,) for p in payloads], "payload string")).collect()
+    assert [(r.request_model, r.input_tokens, r.output_tokens) for r in got] == [("y", 1, 4)]
