@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import entropy
+from .columns import entropy, let
 
 #: Redaction patterns in the order they run (fixed values): private keys first, then secrets, then personal data.
 SECRETS = [
@@ -31,26 +31,38 @@ HEX_TOKEN = ("hex_secret", r"\b[0-9a-fA-F]{24,}\b")
 LONG_TOKEN, ENTROPY_BAR = r"\b[A-Za-z0-9+/_=-]{24,}\b", 4.0
 
 
+#: What any match of a pattern holds; a text without it isn't searched.
+HOLDS = {"private_key": "-----BEGIN ", "aws_access_key": "AKIA", "github_token": "gh", "openai_key": "sk-", "anthropic_key": "sk-ant-", "slack_token": "xox", "jwt": "eyJ", "conn_string": "://", "email": "@"}
+
+
+def _replaced(text: Column, kind: str, pattern: str) -> Column:
+    new = F.regexp_replace(text, pattern, f"[{kind.upper()}]")
+    return F.when(text.contains(HOLDS[kind]), new).otherwise(text) if kind in HOLDS else new
+
+
 def redact_patterns(text: Column) -> Column:
     """Every named pattern replaced by its kind in brackets, in order."""
     for kind, pattern in [*SECRETS, *PERSONAL, HEX_TOKEN]:
-        text = F.regexp_replace(text, pattern, f"[{kind.upper()}]")
+        text = let(text, lambda t: _replaced(t, kind, pattern)) if kind in HOLDS else _replaced(text, kind, pattern)  # noqa: B023
     return text
 
 
 def redact(text: Column) -> Column:
     """The named patterns, then long tokens of high entropy."""
-    clean = redact_patterns(text)
-    tokens = F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit(LONG_TOKEN), F.lit(0))), lambda t: entropy(t) >= ENTROPY_BAR)
-    return F.aggregate(tokens, clean, lambda acc, t: F.replace(acc, t, F.lit("[SECRET]")))
+
+    def tokens_out(clean: Column) -> Column:
+        tokens = F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit(LONG_TOKEN), F.lit(0))), lambda t: entropy(t) >= ENTROPY_BAR)
+        return F.aggregate(tokens, clean, lambda acc, t: F.replace(acc, t, F.lit("[SECRET]")))
+
+    return let(redact_patterns(text), tokens_out)
 
 
 def redaction_counts(rows: DataFrame, text_col: str) -> DataFrame:
-    """(kind, total) over a table: each pattern counted on what the ones before left."""
-    pairs, text = [], F.col(text_col)
-    out = rows.select(text.alias("_t"))
+    """(kind, total) over a table: each pattern counted on what the ones before left, in texts that it changes (no match starts as its mark does)."""
+    pairs, out = [], rows.select(F.col(text_col).alias("_t"))
     for kind, pattern in [*SECRETS, *PERSONAL, HEX_TOKEN]:
-        out = out.withColumn(f"n_{kind}", F.regexp_count("_t", F.lit(pattern))).withColumn("_t", F.regexp_replace("_t", pattern, f"[{kind.upper()}]"))
+        out = out.withColumn("_new", _replaced(F.col("_t"), kind, pattern))
+        out = out.withColumn(f"n_{kind}", F.when(F.col("_new") == F.col("_t"), 0).otherwise(F.regexp_count("_t", F.lit(pattern)))).drop("_t").withColumnRenamed("_new", "_t")
         pairs += [F.lit(kind), F.col(f"n_{kind}").cast("long")]
     return out.select(F.explode(F.create_map(*pairs)).alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("total")).where("total > 0")
 
