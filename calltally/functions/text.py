@@ -90,7 +90,8 @@ def work_type_of_prompt(text: Column) -> Column:
 def with_learned_terms(rows: DataFrame, learned: DataFrame, id_col: str, text_col: str, terms: Column) -> DataFrame:
     """Work type of prompts with learned vocabulary: two points for each learned term that the prompt holds."""
     base = rows.select(id_col, F.explode(F.array(*[F.struct((F.regexp_count(text_col, F.lit(p)) * w).alias("s"), F.lit(label).alias("label")) for label, p, w in PROMPT_SIGNALS])).alias("b")).select(id_col, "b.label", "b.s")
-    extra = rows.select(id_col, F.explode(F.array_distinct(terms)).alias("term")).join(learned.select("term", "label"), "term").groupBy(id_col, "label").agg((2 * F.count("*")).cast("int").alias("s"))
+    # Outer, as Spark would work the list out again for a condition before an inner explode.
+    extra = rows.select(id_col, F.explode_outer(F.array_distinct(terms)).alias("term")).join(learned.select("term", "label"), "term").groupBy(id_col, "label").agg((2 * F.count("*")).cast("int").alias("s"))
     order = F.create_map(*[x for i, (label, _, _) in enumerate(PROMPT_SIGNALS) for x in (F.lit(label), F.lit(-i))])
     total = base.unionByName(extra.select(id_col, "label", "s")).groupBy(id_col, "label").agg(F.sum("s").alias("s"))
     best = total.groupBy(id_col).agg(F.max(F.struct("s", F.coalesce(order[F.col("label")], F.lit(-99)).alias("o"), "label")).alias("m"))
@@ -99,6 +100,6 @@ def with_learned_terms(rows: DataFrame, learned: DataFrame, id_col: str, text_co
 
 def learn_vocabulary(labelled: DataFrame, terms: Column, label_col: str, support: int = 4, share: float = 0.8) -> DataFrame:
     """Terms that stand for one label: seen often enough, and with it in a dominant share of cases."""
-    counts = labelled.where((F.col(label_col) != "unknown") & F.col(label_col).isNotNull()).select(F.explode(terms).alias("term"), F.col(label_col).alias("label")).groupBy("term", "label").agg(F.count("*").alias("n"))
+    counts = labelled.where((F.col(label_col) != "unknown") & F.col(label_col).isNotNull()).select(F.explode_outer(terms).alias("term"), F.col(label_col).alias("label")).where("term IS NOT NULL").groupBy("term", "label").agg(F.count("*").alias("n"))
     best = counts.groupBy("term").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
     return best.where((F.col("m.n") >= support) & (F.col("m.n") >= share * F.col("total"))).select("term", F.col("m.label").alias("label"), F.col("m.n").alias("support"), "total")

@@ -396,3 +396,8 @@ def test_a_match_holds_what_its_pattern_needs():
 
     patterns = dict([*X.SECRETS, *X.PERSONAL])
     assert set(found) == set(X.HOLDS) and all(re.fullmatch(patterns[k], t) and X.HOLDS[k] in t for k, t in found.items())
+
+
+def test_learning_terms_reads_the_words_once(spark):
+    plan = spark.range(1).select(C.learning_terms(F.col("id").cast("string"), ("the",)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
