@@ -103,12 +103,25 @@ def renewal_pack(rows: DataFrame, k: int = K) -> DataFrame:
 SOLVED, LIVE = 1.0, 0.5
 
 
-def cost_to_solve(costs: DataFrame, by: list[str]) -> DataFrame:
-    """Trimmed mean of the people's costs: from four on, a tenth (at least one) goes from either end."""
+def _ranked(costs: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
-    ranked = costs.withColumns({"r": F.row_number().over(w.orderBy("cost", "actor_pseudonym")), "n": F.count("*").over(w)})
+    return costs.withColumns({"r": F.row_number().over(w.orderBy("cost", "actor_pseudonym")), "n": F.count("*").over(w)})
+
+
+def _middle() -> Column:
+    """From four people on, a tenth (at least one) goes from either end."""
     trim = F.when(F.col("n") >= 4, F.greatest(F.lit(1), F.floor(F.col("n") / 10))).otherwise(0)
-    return ranked.where((F.col("r") > trim) & (F.col("r") <= F.col("n") - trim)).groupBy(*by).agg(F.round(F.avg("cost") + 1e-9, 6).alias("cost_to_solve"), F.max("n").alias("cohort"))
+    return (F.col("r") > trim) & (F.col("r") <= F.col("n") - trim)
+
+
+def _solve_cost(of: Column) -> list[Column]:
+    """The mean cost of the people that ``of`` holds for, and how many there were before the ends went."""
+    return [F.round(F.avg(F.when(of, F.col("cost"))) + 1e-9, 6).alias("cost_to_solve"), F.max(F.when(of, F.col("n"))).alias("cohort")]
+
+
+def cost_to_solve(costs: DataFrame, by: list[str]) -> DataFrame:
+    """Trimmed mean of the people's costs: from four on, a tenth (at least one) goes from either end."""
+    return _ranked(costs, by).where(_middle()).groupBy(*by).agg(*_solve_cost(F.lit(True)))
 
 
 def book(opportunities: DataFrame, more: Sequence[str] = ()) -> DataFrame:
@@ -127,10 +140,30 @@ def ledger_summary(booked: DataFrame, costs: DataFrame, k: int = K) -> DataFrame
     by = ["tenant_id", "objective_id", "work_type"]
     people = booked.select(*by, "mode", F.explode(F.array("actor_a", "actor_b")).alias("actor"))
     clusters = people.groupBy(*by).agg(F.count_distinct("actor").alias("participants"), F.max(F.col("mode") == "solved_reuse").alias("solved"))
-    joined = clusters.join(cost_to_solve(costs, by), by, "left").fillna({"cohort": 0, "cost_to_solve": 0.0})
+    return _credited(clusters.join(cost_to_solve(costs, by), by, "left"), by, k)
+
+
+def _credited(clusters: DataFrame, by: list[str], k: int) -> DataFrame:
+    known = clusters.fillna({"cohort": 0, "cost_to_solve": 0.0})
     value = F.round((F.col("participants") - 1) * F.col("cost_to_solve") * F.when(F.col("solved"), SOLVED).otherwise(LIVE) + 1e-9, 6)
     ok = F.col("cohort") >= k
-    return joined.select(*by, "participants", "solved", (F.col("participants") - 1).alias("avoided_solves"), F.when(ok, value).otherwise(0.0).alias("credited_usd"), (~ok).alias("suppressed"))
+    return known.select(*by, "participants", "solved", (F.col("participants") - 1).alias("avoided_solves"), F.when(ok, value).otherwise(0.0).alias("credited_usd"), (~ok).alias("suppressed"))
+
+
+def ledger_of_months(months: DataFrame, k: int = K) -> DataFrame:
+    """The same summary straight from people's months: ``actor_b``, the month's first ``actor_a``, ``mode``, ``cost``.
+
+    A month's first actor pairs with everyone else there, so all people of a month of two or more take part, and booked
+    pairs needn't be made. Every step is by (tenant, objective, work type), as the months may lie already.
+    """
+    by = ["tenant_id", "objective_id", "work_type"]
+    paired = F.max("actor_b").over(Window.partitionBy(*by, "m")) != F.col("actor_a")
+    people = months.where("actor_b IS NOT NULL").withColumn("paired", paired).groupBy(*by, F.col("actor_b").alias("actor_pseudonym")).agg(
+        F.max("paired").alias("paired"), F.max((F.col("mode") == "solved_reuse") & (F.col("actor_a") != F.col("actor_b"))).alias("solved"), F.round(F.sum("cost"), 6).alias("cost")
+    )
+    ranked = _ranked(people.withColumn("priced", F.coalesce(F.col("cost") > 0, F.lit(False))), [*by, "priced"])
+    clusters = ranked.groupBy(*by).agg(F.count_if("paired").alias("participants"), F.max("solved").alias("solved"), *_solve_cost(F.col("priced") & _middle()))
+    return _credited(clusters.where("participants > 0"), by, k)
 
 
 def participants(matches: DataFrame, cluster: str) -> DataFrame:

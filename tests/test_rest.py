@@ -401,3 +401,37 @@ def test_a_match_holds_what_its_pattern_needs():
 def test_learning_terms_reads_the_words_once(spark):
     plan = spark.range(1).select(C.learning_terms(F.col("id").cast("string"), ("the",)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_dealt_twice_for_the_fact_table(spark):
+    """By order, for the latest write and the orders alike, and by part; customers meet the orders."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.QUERIES["fact_table"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning(l_") == 2
+
+
+def _months(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"e{i}", datetime(2024, r.randint(1, 4), r.randint(1, 28)), r.choice(["t1", "t2"]), r.choice(["o1", "o2", None]), r.choice(["fix", "docs"]), r.choice(["a", "b", "c", "d", "e", "f", "g", None]), r.random() < 0.2, r.choice([0.0, 0.5, 1.25, 3.0])) for i in range(90)]
+    return spark.createDataFrame([*rows, ("x", datetime(2024, 9, 1), "t3", "o1", "fix", "a", True, 1.0)], "event_id string, ts timestamp, tenant_id string, objective_id string, work_type string, actor_pseudonym string, is_retry_loop boolean, cost_usd double")
+
+
+def test_the_ledger_of_months_is_that_of_booked_pairs(spark):
+    f = _months(spark)
+    by = lambda df: {(r.tenant_id, r.objective_id, r.work_type): tuple(r[3:]) for r in df.collect()}
+    got = by(reports.ledger_of_months(catalog.person_months(f), k=3))
+    assert got == by(reports.ledger_summary(reports.book(catalog.opportunities(f)), A.actor_costs(f), k=3)) and len(got) > 4 and ("t3", "o1", "fix") not in got
+
+
+def test_the_ledger_reads_the_calls_once_and_deals_them_once(spark):
+    plan = _plan(catalog.QUERIES["ledger_summary"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and plan.count("hashpartitioning(tenant_id") == 1 and plan.count("hashpartitioning(") == 2
