@@ -435,3 +435,17 @@ def test_the_ledger_of_months_is_that_of_booked_pairs(spark):
 def test_the_ledger_reads_the_calls_once_and_deals_them_once(spark):
     plan = _plan(catalog.QUERIES["ledger_summary"](spark, "/root/testdata/sf0.001"))
     assert plan.count("FileScan parquet [l_orderkey") == 1 and plan.count("hashpartitioning(tenant_id") == 1 and plan.count("hashpartitioning(") == 2
+
+
+def test_capsules_are_dealt_by_person_then_booked_where_they_lie(spark):
+    plan = _plan(catalog.QUERIES["capsules_on_matches"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("hashpartitioning(") == 3  # lines by order, calls by person and objective, months by cluster
+
+
+def test_capsules_of_months_are_the_latest_of_all_solving_calls(spark):
+    f = _months(spark).withColumns({"output_tokens": F.when(F.col("event_id").endswith("3"), 0).otherwise(9), "request_model": F.concat(F.lit("m"), F.right("event_id", F.lit(1)))})
+    booked = reports.book(catalog.opportunities(f, capsules=True), tables.CAPSULE).select(F.col("actor_b").alias("peer"), "objective_id", "dedup_key", "tenant_id", "mode", *tables.CAPSULE)
+    plain = reports.book(catalog.opportunities(f)).select(F.col("actor_b").alias("peer"), "objective_id", "dedup_key", "tenant_id", "mode")
+    cols = ["dedup_key", "tenant_id", "peer", "objective_id", "mode", *tables.CAPSULE]
+    got, want = (Counter(map(tuple, df.select(*cols).collect())) for df in (booked, tables.with_capsules(plain, tables.capsules(f))))
+    assert got == want and len({x[5] for x in got}) > 2
