@@ -449,3 +449,13 @@ def test_capsules_of_months_are_the_latest_of_all_solving_calls(spark):
     cols = ["dedup_key", "tenant_id", "peer", "objective_id", "mode", *tables.CAPSULE]
     got, want = (Counter(map(tuple, df.select(*cols).collect())) for df in (booked, tables.with_capsules(plain, tables.capsules(f))))
     assert got == want and len({x[5] for x in got}) > 2
+
+
+def test_rollups_are_summed_where_a_person_lies(spark):
+    f = _months(spark).withColumns({"input_tokens": F.lit(2), "output_tokens": F.lit(1), "objective_label": F.col("objective_id"), "tool": F.when(F.col("work_type") == "fix", "(unattributed)")})
+    by = ("objective_label", "tool", "work_type")
+    out = A.all_rollups(f, by)
+    want = Counter((d, *r) for d in by for r in A.rollup(f, d).collect())
+    assert Counter(map(tuple, out.select("dimension", "label", "calls", "tokens", "cost", "actors").collect())) == want and ("tool", "(unattributed)", 91) in {x[:3] for x in want}
+    plan = _plan(out)
+    assert "Expand" not in plan and plan.count("hashpartitioning(") == 2
