@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from calltally.functions import columns as C
 from calltally.functions import text as X
 from calltally.operators import attribution, evaluation, waste
+from calltally.plans import catalog
 from calltally.sources import dims
 from calltally.streaming import feed, jobs, learning, state, vectors
 
@@ -182,3 +183,16 @@ def test_uses_are_summed_before_the_shuffle_and_a_bucket_is_one_value():
     assert feed_rows(("a", "x", 4), ("b", "y", 1), ("c", "y", 1)) == [("a", "x", 4, 4)] and v.held.calls == 1
     assert sorted(set(v.held.kept[0])) == ["a", "c"]  # two terms a bucket: the least seen that stand for nothing go
     assert feed_rows(("a", "y", 2)) == [("a", None, 4, 6)] and feed_rows(("c", "y", 1)) == []
+
+
+def _late_words(spark, folder):
+    """Four texts of 450 words of their own and one in common, all of one label."""
+    texts = [(i, " ".join([f"w{'abcd'[i]}{j}" for j in range(450)] + ["zonk"])) for i in range(4)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 0, 1) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_work_types_are_learned_from_whole_texts(spark, tmp_path):
+    got = catalog.QUERIES["learned_work_types"](spark, _late_words(spark, tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, "fix") for i in range(4)]
