@@ -87,14 +87,16 @@ def work_type_of_prompt(text: Column) -> Column:
     return F.when(best["s"] > 0, best["label"]).otherwise("unknown")
 
 
-def with_learned_terms(rows: DataFrame, learned: DataFrame, id_col: str, text_col: str, terms: Column) -> DataFrame:
-    """Work type of prompts with learned vocabulary: two points for each learned term that the prompt holds."""
+def with_learned_terms(rows: DataFrame, learned: DataFrame | None, id_col: str, text_col: str, terms: Column) -> DataFrame:
+    """Work type of prompts with learned vocabulary: two points for each learned term that the prompt holds. ``None``: nothing is learned yet."""
     base = rows.select(id_col, F.explode(F.array(*[F.struct((F.regexp_count(text_col, F.lit(p)) * w).alias("s"), F.lit(label).alias("label")) for label, p, w in PROMPT_SIGNALS])).alias("b")).select(id_col, "b.label", "b.s")
-    # Outer, as Spark would work the list out again for a condition before an inner explode.
-    extra = rows.select(id_col, F.explode_outer(F.array_distinct(terms)).alias("term")).join(learned.select("term", "label"), "term").groupBy(id_col, "label").agg((2 * F.count("*")).cast("int").alias("s"))
+    total = base
+    if learned is not None:
+        # Outer, as Spark would work the list out again for a condition before an inner explode.
+        extra = rows.select(id_col, F.explode_outer(F.array_distinct(terms)).alias("term")).join(learned.select("term", "label"), "term").groupBy(id_col, "label").agg((2 * F.count("*")).cast("int").alias("s"))
+        total = base.unionByName(extra.select(id_col, "label", "s"))
     order = F.create_map(*[x for i, (label, _, _) in enumerate(PROMPT_SIGNALS) for x in (F.lit(label), F.lit(-i))])
-    total = base.unionByName(extra.select(id_col, "label", "s")).groupBy(id_col, "label").agg(F.sum("s").alias("s"))
-    best = total.groupBy(id_col).agg(F.max(F.struct("s", F.coalesce(order[F.col("label")], F.lit(-99)).alias("o"), "label")).alias("m"))
+    best = total.groupBy(id_col, "label").agg(F.sum("s").alias("s")).groupBy(id_col).agg(F.max(F.struct("s", F.coalesce(order[F.col("label")], F.lit(-99)).alias("o"), "label")).alias("m"))
     return best.select(id_col, F.when(F.col("m.s") > 0, F.col("m.label")).otherwise("unknown").alias("work_type"))
 
 

@@ -108,7 +108,8 @@ def learning_stream(stream: DataFrame, folder: str, checkpoint: str, terms: Colu
         rows = batch.where("came IS NOT NULL").select("came.*")
         before = log.read(spark, "vocabulary", change).where(F.col("batch") < batch_id)
         now = before.groupBy("term").agg(F.max_by("label", "batch").alias("label")).where("label IS NOT NULL")
-        typed = X.with_learned_terms(rows.select(F.col(id_col).cast("string").alias("event_id"), F.coalesce(text_col, F.lit("")).alias(text_col)), now, "event_id", text_col, terms)
+        # A batch before which nothing was learned isn't taken apart for terms.
+        typed = X.with_learned_terms(rows.select(F.col(id_col).cast("string").alias("event_id"), F.coalesce(text_col, F.lit("")).alias(text_col)), None if now.isEmpty() else now, "event_id", text_col, terms)
         log.write(batch_id, {"classified": typed, "vocabulary": batch.where("change IS NOT NULL").select("change.*")})
         batch.unpersist()
 

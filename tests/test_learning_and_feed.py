@@ -196,3 +196,8 @@ def _late_words(spark, folder):
 def test_work_types_are_learned_from_whole_texts(spark, tmp_path):
     got = catalog.QUERIES["learned_work_types"](spark, _late_words(spark, tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, "fix") for i in range(4)]
+
+
+def test_the_vocabulary_of_the_stream_is_that_of_whole_texts(spark, tmp_path):
+    got = catalog.QUERIES["stream_vocabulary"](spark, _late_words(spark, tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("zonk", "fix", 4, 4)]
